@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.packing import op3_packing
+from quillspark.llm.quality import op2_quality
 from quillspark.llm.token_files import op5_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": op2_quality,
         "op3_packing": op3_packing,
         "op5_token_files": op5_token_files,
     }
