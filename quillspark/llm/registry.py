@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm.decontamination import OP6_SQL, op6_decontamination
 from quillspark.llm.packing import op3_packing
 from quillspark.llm.quality import op2_quality
 from quillspark.llm.token_files import op5_token_files
@@ -16,8 +17,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_packing": op3_packing,
         "op5_token_files": op5_token_files,
+        "op6_decontamination": op6_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_decontamination": OP6_SQL,
+    }
