@@ -10,18 +10,24 @@ from quillspark.llm.decontamination import OP6_SQL, op6_decontamination
 from quillspark.llm.packing import op3_packing
 from quillspark.llm.quality import op2_quality
 from quillspark.llm.token_files import op5_token_files
+from quillspark.llm.url_filter import OP10_SQL, op10_url_filters
+from quillspark.llm.warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op2_quality": op2_quality,
         "op3_packing": op3_packing,
         "op5_token_files": op5_token_files,
         "op6_decontamination": op6_decontamination,
+        "op10_url_filters": op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": OP1_SQL,
         "op6_decontamination": OP6_SQL,
+        "op10_url_filters": OP10_SQL,
     }
