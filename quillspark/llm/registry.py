@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.decontamination import OP6_SQL, op6_decontamination
+from quillspark.llm.line_dedup import OP8_SQL, op8_line_dedup
 from quillspark.llm.packing import op3_packing
 from quillspark.llm.quality import op2_quality
 from quillspark.llm.token_files import op5_token_files
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op5_token_files": op5_token_files,
         "op6_decontamination": op6_decontamination,
+        "op8_line_dedup": op8_line_dedup,
         "op10_url_filters": op10_url_filters,
     }
 
@@ -29,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1_SQL,
         "op6_decontamination": OP6_SQL,
+        "op8_line_dedup": OP8_SQL,
         "op10_url_filters": OP10_SQL,
     }
