@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.decontamination import OP6_SQL, op6_decontamination
+from quillspark.llm.jaccard_join import OP4_SQL, op4_jaccard_join
 from quillspark.llm.line_dedup import OP8_SQL, op8_line_dedup
 from quillspark.llm.packing import op3_packing
 from quillspark.llm.quality import op2_quality
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_quality": op2_quality,
         "op3_packing": op3_packing,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_token_files": op5_token_files,
         "op6_decontamination": op6_decontamination,
         "op8_line_dedup": op8_line_dedup,
@@ -30,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1_SQL,
+        "op4_jaccard_join": OP4_SQL,
         "op6_decontamination": OP6_SQL,
         "op8_line_dedup": OP8_SQL,
         "op10_url_filters": OP10_SQL,
