@@ -11,6 +11,7 @@ from quillspark.llm.jaccard_join import OP4_SQL, op4_jaccard_join
 from quillspark.llm.line_dedup import OP8_SQL, op8_line_dedup
 from quillspark.llm.packing import op3_packing
 from quillspark.llm.quality import op2_quality
+from quillspark.llm.suffix_tree import op7_suffix_tree
 from quillspark.llm.token_files import op5_token_files
 from quillspark.llm.url_filter import OP10_SQL, op10_url_filters
 from quillspark.llm.warc import OP1_SQL, op1_warc
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_jaccard_join": op4_jaccard_join,
         "op5_token_files": op5_token_files,
         "op6_decontamination": op6_decontamination,
+        "op7_suffix_tree": op7_suffix_tree,
         "op8_line_dedup": op8_line_dedup,
         "op10_url_filters": op10_url_filters,
     }
