@@ -40,19 +40,22 @@ def hashed_lines(docs: DataFrame, min_words: int) -> DataFrame:
     return worded.select("doc_id", "line_no", F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), F.lit("line"), "words").alias("b")).alias("line"), half_keys(F.col("n"), F.col("words")).alias("halves"))
 
 
-def variants(n: Column, words: Column) -> Column:
-    """The hash of the line without each of its words, in their order, and at the end that of the whole line.
-
-    A sequence's hash is the XOR of its words' hashes with their places, so the hash without word k joins
-    the XOR of the words before k with that of the words after k, each one place earlier.
-    """
+def prefix_hashes(words: Column) -> Column:
+    """For each number of words from 0: the XOR of the first words' hashes with their places, and with the places before those."""
     steps = F.transform(words, lambda w, k: F.struct(F.xxhash64(w, k).alias("here"), F.xxhash64(w, k - 1).alias("earlier")))
     zero = F.expr("array(struct(0L as here, 0L as earlier))")
     add = lambda got, s: F.array_append(got, F.struct(F.element_at(got, -1)["here"].bitwiseXOR(s["here"]).alias("here"), F.element_at(got, -1)["earlier"].bitwiseXOR(s["earlier"]).alias("earlier")))
-    prefix = F.aggregate(steps, zero, add)
-    total = F.element_at(F.col("prefix"), -1)
-    without = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(F.col("prefix"), k)["here"].bitwiseXOR(total["earlier"].bitwiseXOR(F.get(F.col("prefix"), k + 1)["earlier"])))
-    return prefix, F.concat(without, F.array(total["here"]))
+    return F.aggregate(steps, zero, add)
+
+
+def variants(prefix: Column, n: Column) -> Column:
+    """The hash of the line without each of its words, in their order, and at the end that of the whole line.
+
+    The hash without word k joins the XOR of the words before k with that of the words after it, each one place
+    earlier. prefix must be a stored column, or Spark computes it again for each k.
+    """
+    without = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(prefix, k)["here"].bitwiseXOR(F.element_at(prefix, -1)["earlier"].bitwiseXOR(F.get(prefix, k + 1)["earlier"])))
+    return F.concat(without, F.array(F.element_at(prefix, -1)["here"]))
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -71,9 +74,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     texts = taken.join(sized(of_doc, places.count(), 300_000), taken.doc_id == of_doc["of"]).select("line", "first", line_words(F.get(F.split("text", "\n"), F.col("at"))).alias("words"))
     # Rows with equal doc_ids may differ: the hash tells which of them has the line.
     texts = texts.where((F.xxhash64("words") == F.col("line.a")) & (F.xxhash64(F.lit(7), F.lit("line"), "words") == F.col("line.b"))).dropDuplicates(["line"])
-    texts = written(texts.withColumn("n", F.size("words")), "close-words")
-    prefix, hashes = variants(F.col("n"), F.col("words"))
-    spread = texts.withColumn("prefix", prefix).withColumn("hashes", hashes).select("line", "first", "n", F.posexplode("hashes").alias("k", "key"))
+    texts = written(texts.withColumn("n", F.size("words")).withColumn("prefix", prefix_hashes(F.col("words"))), "close-words")
+    spread = texts.select("line", "first", "n", F.posexplode(variants(F.col("prefix"), F.col("n"))).alias("k", "key"))
     spread = written(spread, "variants")
     one_less, whole = spread.where("k < n"), spread.where("k = n").select("key", F.col("line").alias("other"), F.col("first").alias("other_first"), F.col("n").alias("other_n"))
     # Replaced: the same word left out of lines of equal length. The earliest line of each group stands for it.
