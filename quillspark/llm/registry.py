@@ -10,6 +10,7 @@ from quillspark.llm.decontamination import OP6_SQL, op6_decontamination
 from quillspark.llm.jaccard_join import OP4_SQL, op4_jaccard_join
 from quillspark.llm.line_dedup import OP8_SQL, op8_line_dedup
 from quillspark.llm.packing import op3_packing
+from quillspark.llm.pii import op9_personal_data
 from quillspark.llm.quality import op2_quality
 from quillspark.llm.suffix_tree import op7_suffix_tree
 from quillspark.llm.token_files import op5_token_files
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": op6_decontamination,
         "op7_suffix_tree": op7_suffix_tree,
         "op8_line_dedup": op8_line_dedup,
+        "op9_personal_data": op9_personal_data,
         "op10_url_filters": op10_url_filters,
     }
 
