@@ -1 +1,550 @@
+"""Queries over attempts, results, findings, links, jobs and library tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as T
+from quillspark.operators import links
+from quillspark.operators.findings import findings
+from quillspark.plans.registry import query
+from quillspark.plans.views import ATTEMPTS, FIGURES, FLAGS, JOB_EVENTS, RESULTS, TURNS, attempts, figures, flags, job_events, results, turns
+
+C = F.col
+n_if = lambda c: F.count_if(c)
+
+
+@query("A01_score_report", f"SELECT attempt, count(*) FILTER (WHERE correct) AS score, count(*) AS total, CAST(floor(100.0 * count(*) FILTER (WHERE correct) / count(*) + 0.5) AS BIGINT) AS pct, count(*) FILTER (WHERE answered AND NOT correct) AS wrong, count(*) FILTER (WHERE chosen IS NULL) AS skipped, round(avg(seconds), 4) AS avg_seconds FROM ({RESULTS}) GROUP BY attempt")
+def a01(t):
+    score = n_if(C("correct"))
+    return results(t).groupBy(C("attempt")).agg(score.alias("score"), F.count("*").alias("total"), F.floor(100 * score / F.count("*") + 0.5).cast("long").alias("pct"), n_if(C("answered") & ~C("correct")).alias("wrong"), n_if(C("chosen").isNull()).alias("skipped"), F.round(F.avg("seconds"), 4).alias("avg_seconds"))
+
+
+@query("A02_topics", f"WITH x AS (SELECT tag AS g, correct FROM ({RESULTS}) UNION ALL SELECT tag2, correct FROM ({RESULTS})), s AS (SELECT g, 100.0 * count(*) FILTER (WHERE correct) / count(*) AS p FROM x GROUP BY g), r AS (SELECT *, row_number() OVER (ORDER BY p DESC, g) AS best, row_number() OVER (ORDER BY p, g) AS worst FROM s) SELECT g, round(p, 6) AS p, CASE WHEN best <= 5 THEN 'top' ELSE 'bottom' END AS side FROM r WHERE best <= 5 OR worst <= 5")
+def a02(t):
+    each = results(t).select(F.explode(F.array_distinct(F.array("tag", "tag2"))).alias("g"), "correct")
+    s = each.groupBy("g").agg((100 * n_if(C("correct")) / F.count("*")).alias("p"))
+    top = s.orderBy(F.desc("p"), "g").limit(5).withColumn("side", F.lit("top"))
+    bottom = s.orderBy("p", "g").limit(5).withColumn("side", F.lit("bottom"))
+    both = top.unionByName(bottom).groupBy("g", "p").agg(F.max("side").alias("side"))
+    return both.select("g", F.round("p", 6).alias("p"), "side")
+
+
+@query("A03_library_cards", f"SELECT test, count(*) AS attempts, max_by(price, (date, attempt)) AS latest, count(*) FILTER (WHERE status = 'F') AS done FROM ({ATTEMPTS}) GROUP BY test")
+def a03(t):
+    return attempts(t).groupBy("test").agg(F.count("*").alias("attempts"), F.max_by("price", F.struct("date", "attempt")).alias("latest"), n_if(C("status") == "F").alias("done"))
+
+
+FACETS = "SELECT 'brand' AS facet, lower(p_brand) AS v FROM part UNION ALL SELECT 'type', lower(p_type) FROM part UNION ALL SELECT 'size', CAST(p_size AS VARCHAR) FROM part"
+
+
+def facets(t):
+    return t("part").select(F.explode(F.create_map(F.lit("brand"), F.lower("p_brand"), F.lit("type"), F.lower("p_type"), F.lit("size"), C("p_size").cast("string"))).alias("facet", "v"))
+
+
+@query("A04_usage", f"SELECT facet, v, count(*) AS n FROM ({FACETS}) WHERE v <> '' GROUP BY facet, v")
+def a04(t):
+    return facets(t).where("v <> ''").groupBy("facet", "v").agg(F.count("*").alias("n"))
+
+
+@query("A05_top_per_map", f"SELECT facet, v, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, v) AS r FROM (SELECT facet, v, count(*) AS n FROM ({FACETS}) GROUP BY facet, v)) WHERE r <= 20")
+def a05(t):
+    r = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "v"))
+    return a04(t).withColumn("r", r).where("r <= 20").drop("r")
+
+
+@query("A06_over_use", f"SELECT facet, v, n FROM (SELECT facet, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY facet) AS total FROM ({FACETS}) GROUP BY facet, v) WHERE n >= 3 AND n > total * CASE facet WHEN 'brand' THEN 0.04 WHEN 'type' THEN 0.01 ELSE 0.02 END")
+def a06(t):
+    limits = F.when(C("facet") == "brand", 0.04).when(C("facet") == "type", 0.01).otherwise(0.02)
+    return a04(t).withColumn("total", F.sum("n").over(Window.partitionBy("facet"))).where((C("n") >= 3) & (C("n") > C("total") * limits)).drop("total")
+
+
+@query("A07_usage_limits", "SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) > 2")
+def a07(t):
+    return t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n")).where("n > 2")
+
+
+COUNTS = f"SELECT chunk, count(*) AS expected, count(*) FILTER (WHERE event = 'SUCCESS') AS accepted, count(*) FILTER (WHERE event = 'PLAN') AS reviewed, count(*) FILTER (WHERE event = 'DROP') AS dropped FROM ({JOB_EVENTS}) GROUP BY chunk"
+
+
+def chunk_counts(t):
+    return job_events(t).groupBy("chunk").agg(F.count("*").alias("expected"), n_if(C("event") == "SUCCESS").alias("accepted"), n_if(C("event") == "PLAN").alias("reviewed"), n_if(C("event") == "DROP").alias("dropped"))
+
+
+@query("A08_reconcile", f"SELECT *, accepted + reviewed + dropped AS accounted, accepted + reviewed + dropped <> expected AS mismatch, greatest(0, accepted + reviewed + dropped - expected) AS overflow, greatest(0, expected - accepted - reviewed - dropped) AS underflow FROM ({COUNTS})")
+def a08(t):
+    a = C("accepted") + C("reviewed") + C("dropped")
+    return chunk_counts(t).select("*", a.alias("accounted"), (a != C("expected")).alias("mismatch"), F.greatest(F.lit(0), a - C("expected")).alias("overflow"), F.greatest(F.lit(0), C("expected") - a).alias("underflow"))
+
+
+LAST = f"SELECT job, chunk, max_by(event, (ts, event_id)) AS state FROM ({JOB_EVENTS}) GROUP BY job, chunk"
+
+
+@query("A09_job_progress", f"SELECT job, count(*) AS chunks, count(*) FILTER (WHERE state IN ('SUCCESS', 'DROP')) AS terminal, CASE WHEN count(*) FILTER (WHERE state IN ('SUCCESS', 'DROP')) = count(*) THEN 'completed' WHEN count(*) FILTER (WHERE state IN ('START', 'HEARTBEAT')) > 0 THEN 'running' ELSE 'unchanged' END AS status FROM ({LAST}) GROUP BY job")
+def a09(t):
+    terminal, active = n_if(C("state").isin("SUCCESS", "DROP")), n_if(C("state").isin("START", "HEARTBEAT"))
+    return x01_batch(t).groupBy("job").agg(F.count("*").alias("chunks"), terminal.alias("terminal"), F.when(terminal == F.count("*"), "completed").when(active > 0, "running").otherwise("unchanged").alias("status"))
+
+
+@query("X01_chunk_state", LAST)
+def x01_batch(t):
+    return job_events(t).groupBy("job", "chunk").agg(F.max_by("event", F.struct("ts", "event_id")).alias("state"))
+
+
+@query("A10_completion", "SELECT source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs FROM documents GROUP BY source")
+def a10(t):
+    return t("documents").groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"))
+
+
+@query("A11_rollup", "SELECT source, lang, grouping_id(source, lang) AS level, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (source, lang)")
+def a11(t):
+    return t("documents").rollup("source", "lang").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("A12_chunk_report", "SELECT p_brand, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS types, CAST(sum(CAST(p_size > 25 AS INT)) AS BIGINT) AS large FROM part GROUP BY p_brand")
+def a12(t):
+    return t("part").groupBy("p_brand").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("p_type")), ",").alias("types"), F.sum((C("p_size") > 25).cast("int")).alias("large"))
+
+
+@query("A13_outcome", f"SELECT job, e AS errors, w AS warnings, CASE WHEN e > 90 THEN 'failed_fatal' WHEN w > 0 THEN 'completed_with_warnings' ELSE 'completed' END AS outcome FROM (SELECT job, count(*) FILTER (WHERE event = 'DROP') AS e, count(*) FILTER (WHERE event = 'PLAN') AS w FROM ({JOB_EVENTS}) GROUP BY job)")
+def a13(t):
+    s = job_events(t).groupBy("job").agg(n_if(C("event") == "DROP").alias("errors"), n_if(C("event") == "PLAN").alias("warnings"))
+    return s.withColumn("outcome", F.when(C("errors") > 90, "failed_fatal").when(C("warnings") > 0, "completed_with_warnings").otherwise("completed"))
+
+
+@query("A14_tiers", "SELECT tier, count(*) AS n FROM (SELECT CASE WHEN m >= 70 THEN 'strong' WHEN m >= 50 THEN 'acceptable' ELSE 'poor' END AS tier FROM (SELECT least(CASE WHEN p_size > 10 THEN 85 ELSE 55 END, 90 - CASE WHEN p_retailprice > 1500 THEN 25 ELSE 0 END, 90 - CASE WHEN p_partkey % 2 = 0 THEN 30 ELSE 0 END - CASE WHEN p_partkey % 3 = 0 THEN 10 ELSE 0 END) AS m FROM part)) GROUP BY tier")
+def a14(t):
+    cut = lambda c, n: F.when(c, n).otherwise(0)
+    m = F.least(F.when(C("p_size") > 10, 85).otherwise(55), 90 - cut(C("p_retailprice") > 1500, 25), 90 - cut(C("p_partkey") % 2 == 0, 30) - cut(C("p_partkey") % 3 == 0, 10))
+    return t("part").select(F.when(m >= 70, "strong").when(m >= 50, "acceptable").otherwise("poor").alias("tier")).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query("A15_information", "SELECT doc_id, 5 * len(string_split(text, chr(10))) + len(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS score FROM documents")
+def a15(t):
+    return t("documents").select("doc_id", (5 * F.size(F.split("text", "\n")) + F.size(T.tokens(C("text")))).cast("long").alias("score"))
+
+
+@query("A16_evidence", "SELECT l_orderkey, max_by(l_returnflag, (l_discount, l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS best FROM lineitem GROUP BY l_orderkey")
+def a16(t):
+    return t("lineitem").groupBy("l_orderkey").agg(F.max_by("l_returnflag", F.struct("l_discount", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")).alias("best"))
+
+
+@query("A17_best_duplicate", "SELECT p_brand, p_type, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY 10 * p_size + p_retailprice DESC, p_partkey) AS r FROM part) WHERE r = 1")
+def a17(t):
+    best = F.struct(-(10 * C("p_size") + C("p_retailprice")), "p_partkey")
+    return t("part").groupBy("p_brand", "p_type").agg(F.min_by("p_partkey", best).alias("p_partkey"))
+
+
+@query("A18_shortfall", f"SELECT chunk, expected // 4 AS wanted, least(accepted, expected // 4) AS kept, greatest(0, accepted - expected // 4) AS overflow, greatest(0, expected // 4 - accepted) AS deficit FROM ({COUNTS})")
+def a18(t):
+    w = F.floor(C("expected") / 4)
+    return chunk_counts(t).select("chunk", w.alias("wanted"), F.least("accepted", w).alias("kept"), F.greatest(F.lit(0), C("accepted") - w).alias("overflow"), F.greatest(F.lit(0), w - C("accepted")).alias("deficit"))
+
+
+@query("A19_distribution", "SELECT n, count(*) AS orders FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) GROUP BY n")
+def a19(t):
+    return t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("orders"))
+
+
+@query("A20_redundancy", f"SELECT attempt, round(avg(CAST(c > 1 AS INT)), 6) AS redundancy FROM (SELECT attempt, c FROM (SELECT attempt, question FROM ({RESULTS})) JOIN (SELECT l_partkey, count(*) AS c FROM lineitem GROUP BY l_partkey) ON question = l_partkey) GROUP BY attempt")
+def a20(t):
+    each = results(t).select("attempt", "question")
+    seen = each.groupBy("question").agg(F.count("*").alias("c"))
+    return each.join(seen, "question").groupBy("attempt").agg(F.round(F.avg((C("c") > 1).cast("int")), 6).alias("redundancy"))
+
+
+@query("A21_lineage", "SELECT o_orderstatus AS plan, CASE WHEN n IS NULL THEN 'dropped' WHEN r > 0 THEN 'repaired' ELSE 'kept' END AS disposition, count(*) AS c FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey GROUP BY 1, 2")
+def a21(t):
+    s = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), n_if(C("l_returnflag") == "R").alias("r"))
+    d = F.when(C("n").isNull(), "dropped").when(C("r") > 0, "repaired").otherwise("kept")
+    return t("orders").join(s, C("l_orderkey") == C("o_orderkey"), "left").groupBy(C("o_orderstatus").alias("plan"), d.alias("disposition")).agg(F.count("*").alias("c"))
+
+
+# Windows
+
+
+@query("W01_attempt_number", f"SELECT attempt, test, row_number() OVER (PARTITION BY test ORDER BY date, attempt) AS n, row_number() OVER (PARTITION BY test ORDER BY date DESC, attempt DESC) = 1 AS latest FROM ({ATTEMPTS})")
+def w01(t):
+    w = Window.partitionBy("test")
+    return attempts(t).select("attempt", "test", F.row_number().over(w.orderBy("date", "attempt")).cast("long").alias("n"), (F.row_number().over(w.orderBy(F.desc("date"), F.desc("attempt"))) == 1).alias("latest"))
+
+
+@query("W02_renumber", f"SELECT set_id, n, 100 + row_number() OVER (PARTITION BY set_id ORDER BY n) AS number FROM ({TURNS})")
+def w02(t):
+    return turns(t).select("set_id", "n", (100 + F.row_number().over(Window.partitionBy("set_id").orderBy("n"))).cast("long").alias("number"))
+
+
+@query("W03_duplicate_of", "SELECT p_partkey, lag(p_partkey) OVER w AS previous, first_value(p_partkey) OVER w AS first FROM part WINDOW w AS (PARTITION BY p_brand, p_type, p_size ORDER BY p_partkey)")
+def w03(t):
+    w = Window.partitionBy("p_brand", "p_type", "p_size").orderBy("p_partkey")
+    return t("part").select("p_partkey", F.lag("p_partkey").over(w).alias("previous"), F.first("p_partkey").over(w).alias("first"))
+
+
+@query("W04_prior_redundancy", "SELECT o_custkey, o_orderkey, greatest(0, 2 - CAST(n > 0 AS INT) - CAST(n > 3 AS INT)) AS share FROM (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM orders)")
+def w04(t):
+    w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.count("*").over(w)
+    return t("orders").select("o_custkey", "o_orderkey", F.greatest(F.lit(0), 2 - (n > 0).cast("int") - (n > 3).cast("int")).alias("share"))
+
+
+@query("W05_budget_cap", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(greatest(0, least(q, 60 - (s - q))) AS BIGINT) AS kept FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS s FROM lineitem)")
+def w05(t):
+    q = C("l_quantity").cast("long")
+    s = F.sum(q).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.greatest(F.lit(0), F.least(q, 60 - (s - q))).alias("kept"))
+
+
+@query("W06_quota_split", "SELECT n_regionkey, n_nationkey, greatest(1, 7 // c) + CASE WHEN r <= 7 - c * greatest(1, 7 // c) THEN 1 ELSE 0 END AS quota FROM (SELECT *, count(*) OVER (PARTITION BY n_regionkey) AS c, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation)")
+def w06(t):
+    w = Window.partitionBy("n_regionkey")
+    base = F.greatest(F.lit(1), F.floor(7 / F.count("*").over(w)))
+    extra = F.row_number().over(w.orderBy("n_nationkey")) <= 7 - F.count("*").over(w) * base
+    return t("nation").select("n_regionkey", "n_nationkey", (base + extra.cast("int")).cast("long").alias("quota"))
+
+
+@query("W07_first_title", "SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1 THEN 1 ELSE 0 END AS n FROM part")
+def w07(t):
+    return t("part").select("p_partkey", F.when(F.row_number().over(Window.partitionBy("p_name").orderBy("p_partkey")) == 1, 1).otherwise(0).alias("n"))
+
+
+@query("W09_sessions", "SELECT user_id, CAST(s AS BIGINT) AS s, count(*) AS n, min(ts) AS first, max(ts) AS last FROM (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS g FROM events)) GROUP BY user_id, s")
+def w09(t):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    g = F.when(C("ts") - F.lag("ts").over(w) >= F.expr("INTERVAL 6 HOUR"), 1).otherwise(0)
+    return t("events").withColumn("g", g).withColumn("s", F.sum("g").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "s").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query("W10_forward_fill", "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS header FROM events")
+def w10(t):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return t("events").select("event_id", F.last(F.when(C("event_type") == "signup", C("event_id")), ignorenulls=True).over(w).alias("header"))
+
+
+@query("W11_attempt_counter", f"SELECT event_id, job, row_number() OVER (PARTITION BY job ORDER BY ts, event_id) AS n FROM ({JOB_EVENTS})")
+def w11(t):
+    return job_events(t).select("event_id", "job", F.row_number().over(Window.partitionBy("job").orderBy("ts", "event_id")).cast("long").alias("n"))
+
+
+@query("C07_batches", f"SELECT set_id, b, count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM (SELECT *, (row_number() OVER (PARTITION BY set_id ORDER BY n) - 1) // 2 AS b FROM ({TURNS})) GROUP BY set_id, b")
+def c07(t):
+    b = F.floor((F.row_number().over(Window.partitionBy("set_id").orderBy("n")) - 1) / 2)
+    return turns(t).withColumn("b", b).groupBy("set_id", "b").agg(F.count("*").alias("c"), F.sum("n").alias("total")).withColumnRenamed("c", "n")
+
+
+@query("C08_pages_to_items", "SELECT conv_id, item, string_agg(text, chr(10) ORDER BY turn) AS text FROM (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS item FROM conversations) WHERE item IS NOT NULL GROUP BY conv_id, item")
+def c08(t):
+    item = F.last(F.when(C("role") == "user", C("turn")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    filled = t("conversations").withColumn("item", item).where("item IS NOT NULL")
+    return filled.groupBy("conv_id", "item").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x")).select("conv_id", "item", F.array_join(F.transform("x", lambda r: r["text"]), "\n").alias("text"))
+
+
+# Sorts and sets
+
+
+@query("K01_sorted", "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_regionkey, n_name) AS place FROM nation")
+def k01(t):
+    return t("nation").select("n_nationkey", "n_name", F.row_number().over(Window.orderBy("n_regionkey", "n_name")).cast("long").alias("place"))
+
+
+@query("K02_top_per_group", f"SELECT tag, question, n FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY n DESC, question) AS r FROM (SELECT tag, question, count(*) AS n FROM ({RESULTS}) GROUP BY tag, question)) WHERE r <= 5")
+def k02(t):
+    s = results(t).groupBy("tag", "question").agg(F.count("*").alias("n"))
+    return s.withColumn("r", F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("n"), "question"))).where("r <= 5").drop("r")
+
+
+@query("K03_global_cap", "SELECT event_id, ts FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 50")
+def k03(t):
+    return t("events").where("event_type = 'error'").orderBy("ts", "event_id").limit(50).select("event_id", "ts")
+
+
+@query("D03_union", "SELECT doc_id AS id, 'short' AS code FROM documents WHERE n_chars < 100 UNION ALL SELECT item_id, 'item' FROM benchmark UNION ALL SELECT page_id, 'page' FROM pages")
+def d03(t):
+    named = lambda df, c, code: df.select(C(c).alias("id"), F.lit(code).alias("code"))
+    return named(t("documents").where("n_chars < 100"), "doc_id", "short").unionByName(named(t("benchmark"), "item_id", "item")).unionByName(named(t("pages"), "page_id", "page"))
+
+
+@query("D04_set_operations", "SELECT 'both' AS op, k FROM (SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT 'only', k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)")
+def d04(t):
+    o, c = t("orders").select(C("o_custkey").alias("k")), t("customer")
+    both = o.intersect(c.where("c_acctbal > 0").select(C("c_custkey").alias("k")))
+    return both.select(F.lit("both").alias("op"), "k").unionByName(c.select(C("c_custkey").alias("k")).subtract(o).select(F.lit("only").alias("op"), "k"))
+
+
+TOKENS = "SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS token FROM documents"
+PAIRS = f"SELECT a, b, i / CAST(x.n + y.n - i AS DOUBLE) AS similarity FROM (SELECT p.id AS a, q.id AS b, count(*) AS i FROM ({TOKENS}) p JOIN ({TOKENS}) q ON p.token = q.token AND p.id < q.id GROUP BY 1, 2) JOIN (SELECT id, count(*) AS n FROM ({TOKENS}) GROUP BY id) x ON a = x.id JOIN (SELECT id, count(*) AS n FROM ({TOKENS}) GROUP BY id) y ON b = y.id WHERE i >= {{t}} * (x.n + y.n - i)"
+
+
+def token_sets(t):
+    return t("documents").select(C("doc_id").alias("id"), F.explode(T.tokens(C("text"))).alias("token"))
+
+
+@query("J07_similarity_join", f"SELECT a, b, round(similarity, 6) AS similarity FROM ({PAIRS.replace('{t}', '0.65')})")
+def j07(t):
+    return links.token_similarity(token_sets(t), 0.65).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("D05_consolidate", f"WITH RECURSIVE e AS (SELECT a, b FROM ({PAIRS.replace('{t}', '0.85')})), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a) SELECT a AS node, min(least(a, b)) AS component FROM r GROUP BY a")
+def d05(t):
+    return links.components(links.token_similarity(token_sets(t), 0.85))
+
+
+@query("W12_time_penalty", f"SELECT a, b, round(similarity - CASE WHEN abs(a - b) > 10 THEN 0.2 ELSE 0 END, 6) AS score FROM ({PAIRS.replace('{t}', '0.65')})")
+def w12(t):
+    return links.token_similarity(token_sets(t), 0.65).select("a", "b", F.round(C("similarity") - F.when(F.abs(C("a") - C("b")) > 10, 0.2).otherwise(0.0), 6).alias("score"))
+
+
+# Joins
+
+
+@query("J01_answer_key", f"SELECT q.set_id, q.n, coalesce(a.k, 0) AS key, a.k IS NULL AS review FROM ({TURNS}) q LEFT JOIN (SELECT * FROM ({TURNS}) WHERE (set_id + n - 1) % 7 <> 0) a ON a.set_id = q.set_id AND a.n = q.n")
+def j01(t):
+    q = turns(t)
+    key = q.where((C("set_id") + C("n") - 1) % 7 != 0).select("set_id", "n", C("k").alias("a"))
+    return q.join(key, ["set_id", "n"], "left").select("set_id", "n", F.coalesce("a", F.lit(0)).alias("key"), C("a").isNull().alias("review"))
+
+
+@query("J03_flagged", f"SELECT f.test, f.question, r.attempt, r.correct FROM ({FLAGS}) f LEFT JOIN (SELECT * FROM (SELECT a.test, a.attempt, r.question, r.correct, row_number() OVER (PARTITION BY a.test, r.question ORDER BY a.date DESC, a.attempt DESC, r.q_no, r.l_suppkey, r.seconds, r.correct) AS rn FROM ({RESULTS}) r JOIN ({ATTEMPTS}) a ON r.attempt = a.attempt) WHERE rn = 1) r ON r.test = f.test AND r.question = f.question")
+def j03(t):
+    a = attempts(t).select("test", "attempt", "date")
+    each = results(t).join(a, "attempt")
+    w = Window.partitionBy("test", "question").orderBy(F.desc("date"), F.desc("attempt"), "q_no", "l_suppkey", "seconds", "correct")
+    latest = each.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("test", "question", "attempt", "correct")
+    return flags(t).join(latest, ["test", "question"], "left")
+
+
+@query("J04_figure_links", "SELECT o_orderkey, page, score FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, page) AS r FROM (SELECT o_orderkey, page, round(best - 0.1 * abs(page - o_orderkey), 6) AS score FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0) JOIN (SELECT l_orderkey AS page, max(l_discount * 10) AS best FROM lineitem GROUP BY l_orderkey) ON abs(page - o_orderkey) <= 2)) WHERE r <= 3")
+def j04(t):
+    """The band of two pages on each side is spread, so the join is on equal pages."""
+    best = t("lineitem").groupBy(C("l_orderkey").alias("page")).agg(F.max(C("l_discount") * 10).alias("best"))
+    band = t("orders").where("o_orderkey % 5 = 0").select("o_orderkey", F.explode(F.sequence(C("o_orderkey") - 2, C("o_orderkey") + 2)).alias("page"))
+    score = band.join(best, "page").select("o_orderkey", "page", F.round(C("best") - 0.1 * F.abs(C("page") - C("o_orderkey")), 6).alias("score"))
+    return score.withColumn("r", F.row_number().over(Window.partitionBy("o_orderkey").orderBy(F.desc("score"), "page"))).where("r <= 3").drop("r")
+
+
+SHINGLES = "SELECT DISTINCT id, array_to_string(w[p:p + 7], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS p FROM (SELECT {k} AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM {t}) WHERE len(w) >= 8)"
+
+
+@query("J08_copied_passages", f"SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM ({SHINGLES.format(k='doc_id', t='documents')}) d JOIN ({SHINGLES.format(k='item_id', t='benchmark')}) b ON d.s = b.s GROUP BY 1, 2")
+def j08(t):
+    d = links.passages(t("documents").select(C("doc_id").alias("id"), "text"), 8).withColumnRenamed("id", "doc_id")
+    b = links.passages(t("benchmark").select(C("item_id").alias("id"), "text"), 8).withColumnRenamed("id", "item_id")
+    return d.join(b, "passage").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+
+
+@query("J05_containment", "SELECT item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 90)) WHERE length(b.text) >= 60 GROUP BY item_id")
+def j05(t):
+    """Candidates share a passage of four words inside the prefix; the substring test then decides."""
+    items = t("benchmark").where(F.length("text") >= 60).select("item_id", F.substring("text", 1, 90).alias("prefix"))
+    words = lambda c: F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda w: w != "")
+    # The prefix's first and last words may be cut, so its inner words are looked up.
+    inner = items.select("item_id", "prefix", words(C("prefix")).alias("w")).select("item_id", "prefix", F.xxhash64(F.slice("w", 2, 4)).alias("h"))
+    grams = t("documents").select("doc_id", words(C("text")).alias("w")).where(F.size("w") >= 5).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda k: F.xxhash64(F.slice("w", k, 4)))).alias("h")).distinct()
+    pairs = grams.join(inner, "h").select("doc_id", "item_id", "prefix").distinct()
+    return pairs.join(t("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", C("prefix"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("J06_intervals", "SELECT o_orderkey, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM orders JOIN lineitem ON l_orderkey BETWEEN o_orderkey AND o_orderkey + 3 WHERE o_orderkey % 4 = 0 GROUP BY o_orderkey")
+def j06(t):
+    spread = t("orders").where("o_orderkey % 4 = 0").select("o_orderkey", F.explode(F.sequence(C("o_orderkey"), C("o_orderkey") + 3)).alias("l_orderkey"))
+    return spread.join(t("lineitem"), "l_orderkey").groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("parts"))
+
+
+@query("J09_cache_lookup", "SELECT d.doc_id, CASE WHEN c.id IS NULL THEN 'miss' WHEN c.version <> 2 THEN 'version' WHEN c.digest <> sha256(d.text) THEN 'text' ELSE 'hit' END AS state FROM documents d LEFT JOIN (SELECT doc_id AS id, sha256(text) AS digest, CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 2 END AS version FROM documents WHERE doc_id % 3 = 0) c ON c.id = d.doc_id")
+def j09(t):
+    d = t("documents").select("doc_id", F.sha2("text", 256).alias("now"))
+    cache = d.where("doc_id % 3 = 0").select(C("doc_id").alias("id"), C("now").alias("digest"), F.when(C("doc_id") % 10 == 0, 1).otherwise(2).alias("version"))
+    state = F.when(C("id").isNull(), "miss").when(C("version") != 2, "version").when(C("digest") != C("now"), "text").otherwise("hit")
+    return d.join(cache, C("id") == C("doc_id"), "left").select("doc_id", state.alias("state"))
+
+
+@query("J10_cache_upsert", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.created, b.created) AS created, coalesce(b.v, a.v) AS v FROM (SELECT o_orderkey AS k, o_orderdate AS created, o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0) a FULL JOIN (SELECT o_orderkey AS k, o_orderdate + INTERVAL 1 DAY AS created, o_totalprice + 1 AS v FROM orders WHERE o_orderkey % 3 = 0) b ON a.k = b.k")
+def j10(t):
+    o = t("orders")
+    a = o.where("o_orderkey % 2 = 0").select(C("o_orderkey").alias("k"), C("o_orderdate").alias("c1"), C("o_totalprice").alias("v1"))
+    b = o.where("o_orderkey % 3 = 0").select(C("o_orderkey").alias("k"), (C("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("c2"), (C("o_totalprice") + 1).alias("v2"))
+    return a.join(b, "k", "full").select("k", F.coalesce("c1", "c2").alias("created"), F.coalesce("v2", "v1").alias("v"))
+
+
+@query("J11_decisions", "SELECT CASE WHEN p_size % 3 = 0 THEN 'accepted' WHEN p_size % 3 = 1 THEN 'rejected' ELSE 'pending' END AS decision, count(*) AS n FROM part GROUP BY 1")
+def j11(t):
+    d = F.when(C("p_size") % 3 == 0, "accepted").when(C("p_size") % 3 == 1, "rejected").otherwise("pending")
+    return t("part").groupBy(d.alias("decision")).agg(F.count("*").alias("n"))
+
+
+@query("J12_reconcile", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.s = 'F' THEN 'completed' WHEN a.k IS NULL THEN b.s WHEN a.s = 'O' THEN 'interrupted' ELSE a.s END AS status FROM (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 2 = 0) b ON a.k = b.k")
+def j12(t):
+    side = lambda cond, s: t("orders").where(cond).select(C("o_orderkey").alias("k"), C("o_orderstatus").alias(s), F.lit(True).alias(f"in_{s}"))
+    both = side("o_orderkey % 3 <> 0", "a").join(side("o_orderkey % 2 = 0", "b"), "k", "full")
+    return both.select("k", F.when(C("b") == "F", "completed").when(C("in_a").isNull(), C("b")).when(C("a") == "O", "interrupted").otherwise(C("a")).alias("status"))
+
+
+@query("J13_membership", f"SELECT f.test, f.question FROM ({FLAGS}) f WHERE f.test IN (SELECT test FROM ({ATTEMPTS}) WHERE folder = 3)")
+def j13(t):
+    return flags(t).join(attempts(t).where("folder = 3"), "test", "left_semi")
+
+
+@query("J14_rehome", "SELECT c_custkey, CASE WHEN n_nationkey IS NULL THEN 0 ELSE c_nationkey END AS folder FROM customer LEFT JOIN (SELECT n_nationkey FROM nation WHERE n_nationkey % 4 <> 1) ON n_nationkey = c_nationkey")
+def j14(t):
+    n = t("nation").where("n_nationkey % 4 <> 1").select("n_nationkey")
+    return t("customer").join(n, C("n_nationkey") == C("c_nationkey"), "left").select("c_custkey", F.when(C("n_nationkey").isNull(), 0).otherwise(C("c_nationkey")).alias("folder"))
+
+
+@query("J15_update_by_key", "SELECT p_partkey, coalesce(nullif(CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE s_name END, ''), p_name) AS tag FROM part LEFT JOIN supplier ON s_suppkey = p_partkey")
+def j15(t):
+    s = t("supplier").select("s_suppkey", F.when(C("s_suppkey") % 2 == 0, "").otherwise(C("s_name")).alias("new"))
+    return t("part").join(s, C("s_suppkey") == C("p_partkey"), "left").select("p_partkey", F.coalesce(F.nullif("new", F.lit("")), "p_name").alias("tag"))
+
+
+EDGES = "SELECT DISTINCT p_partkey % 40 AS a, CAST(p_size AS BIGINT) AS b FROM part WHERE p_partkey % 97 = 0 AND p_size < 40"
+
+
+def edges(t):
+    return t("part").where("p_partkey % 97 = 0 AND p_size < 40").select((C("p_partkey") % 40).alias("a"), C("p_size").cast("long").alias("b")).distinct()
+
+
+@query("J16_edge_policy", f"SELECT a, b FROM ({EDGES}) WHERE a % 3 = 0 AND b % 3 = 2")
+def j16(t):
+    return edges(t).where("a % 3 = 0 AND b % 3 = 2")
+
+
+@query("J17_reach", f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, b FROM r")
+def j17(t):
+    return links.reachable(edges(t))
+
+
+@query("J18_fingerprints", "SELECT doc_id, array_to_string(list_filter([CASE WHEN source IS DISTINCT FROM 'src' || (doc_id % 20) THEN 'source' END, CASE WHEN lang IS DISTINCT FROM 'en' THEN 'lang' END], lambda x: x IS NOT NULL), ',') AS reasons FROM documents")
+def j18(t):
+    differ = lambda a, b, r: F.when(~a.eqNullSafe(b), r)
+    reasons = F.array_compact(F.array(differ(C("source"), F.concat(F.lit("src"), (C("doc_id") % 20).cast("string")), "source"), differ(C("lang"), F.lit("en"), "lang")))
+    return t("documents").select("doc_id", F.array_join(reasons, ",").alias("reasons"))
+
+
+@query("J19_before_after", "SELECT coalesce(a.test, b.test) AS test, coalesce(a.n, b.n) AS n, a.v IS DISTINCT FROM b.v AS changed FROM (SELECT o_custkey AS test, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderstatus AS v FROM orders WHERE o_orderkey % 2 = 0) a FULL JOIN (SELECT o_custkey AS test, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 = 0) b ON a.test = b.test AND a.n = b.n")
+def j19(t):
+    side = lambda cond, v: t("orders").where(cond).select(C("o_custkey").alias("test"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("n"), C("o_orderstatus").alias(v))
+    return side("o_orderkey % 2 = 0", "a").join(side("o_orderkey % 3 = 0", "b"), ["test", "n"], "full").select("test", "n", (~C("a").eqNullSafe(C("b"))).alias("changed"))
+
+
+@query("J20_box_overlaps", f"SELECT a.page, a.fig AS a, b.fig AS b, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 4) AS shared FROM ({FIGURES}) a JOIN ({FIGURES}) b ON a.page = b.page AND a.fig < b.fig WHERE least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)")
+def j20(t):
+    f = figures(t)
+    x, y = (f.select("page", *[C(c).alias(f"{k}_{c}") for c in ("fig", "x0", "y0", "x1", "y1")]) for k in "ab")
+    w, h = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0"), F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0")
+    return x.join(y, "page").where((C("a_fig") < C("b_fig")) & (w > 0) & (h > 0)).select("page", C("a_fig").alias("a"), C("b_fig").alias("b"), F.round(w * h, 4).alias("shared"))
+
+
+# Contracts
+
+
+@query("V02_question_contract", f"SELECT set_id, n, code FROM (SELECT set_id, n, unnest(list_filter([CASE WHEN length(stem) < 400 THEN 'SHORT' END, CASE WHEN NOT ends_with(stem, '?') THEN 'NO_QUESTION' END, CASE WHEN k > 2 THEN 'KEY' END], lambda x: x IS NOT NULL)) AS code FROM ({TURNS}))")
+def v02(t):
+    rules = [("SHORT", "warning", F.length("stem") < 400), ("NO_QUESTION", "error", ~F.endswith("stem", F.lit("?"))), ("KEY", "error", C("k") > 2)]
+    return findings(turns(t), ["set_id", "n"], rules).select("set_id", "n", "code")
+
+
+@query("V01_bundle_contract", "SELECT doc_id, severity, code FROM (SELECT doc_id, unnest(list_filter([CASE WHEN lang NOT IN ('en', 'de') THEN {'severity': 'warning', 'code': 'TYPE'} END, CASE WHEN n_chars <> length(text) THEN {'severity': 'error', 'code': 'COUNT'} END, CASE WHEN c > 1 THEN {'severity': 'error', 'code': 'REPEATED'} END], lambda x: x IS NOT NULL), recursive := true) FROM (SELECT *, count(*) OVER (PARTITION BY sha256(text)) AS c FROM documents))")
+def v01(t):
+    d = t("documents").withColumn("h", F.sha2("text", 256))
+    counted = d.join(d.groupBy("h").agg(F.count("*").alias("c")), "h")
+    rules = [("TYPE", "warning", ~C("lang").isin("en", "de")), ("COUNT", "error", C("n_chars") != F.length("text")), ("REPEATED", "error", C("c") > 1)]
+    return findings(counted, ["doc_id"], rules)
+
+
+@query("V05_contamination", "SELECT doc_id, phrase FROM documents, (VALUES ('idiot'), ('worthless'), ('token =')) v(phrase) WHERE contains(lower(text), phrase)")
+def v05(t):
+    found = F.filter(F.array(F.lit("idiot"), F.lit("worthless"), F.lit("token =")), lambda p: F.contains(F.lower("text"), p))
+    return t("documents").select("doc_id", F.explode(found).alias("phrase"))
+
+
+@query("V09_key_coverage", "SELECT coalesce(o_orderkey, k) AS k, CASE WHEN k IS NULL THEN 'missing' WHEN o_orderkey IS NULL THEN 'unknown' WHEN n > 4 THEN 'repeated' END AS code FROM orders FULL JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON k = o_orderkey WHERE k IS NULL OR o_orderkey IS NULL OR n > 4")
+def v09(t):
+    n = t("lineitem").groupBy(C("l_orderkey").alias("k2")).agg(F.count("*").alias("n"))
+    code = F.when(C("k2").isNull(), "missing").when(C("o_orderkey").isNull(), "unknown").when(C("n") > 4, "repeated")
+    return t("orders").join(n, C("k2") == C("o_orderkey"), "full").select(F.coalesce("o_orderkey", "k2").alias("k"), code.alias("code")).where("code IS NOT NULL")
+
+
+@query("V10_event_fields", "SELECT event_id, CASE WHEN event_type IN ('purchase', 'click') AND value < 10 THEN 'value' ELSE 'k' END AS missing FROM events WHERE (event_type IN ('purchase', 'click') AND value < 10) OR (event_type = 'error' AND CAST(json_extract(props, '$.k') AS BIGINT) < 20)")
+def v10(t):
+    k = F.get_json_object("props", "$.k").cast("long")
+    missing = F.when(C("event_type").isin("purchase", "click") & (C("value") < 10), "value").when((C("event_type") == "error") & (k < 20), "k")
+    return t("events").select("event_id", missing.alias("missing")).where("missing IS NOT NULL")
+
+
+@query("V15_completeness", "SELECT source, count(*) AS n, count(*) FILTER (WHERE n_chars < 300) AS lacking FROM documents GROUP BY source")
+def v15(t):
+    return t("documents").groupBy("source").agg(F.count("*").alias("n"), n_if(C("n_chars") < 300).alias("lacking"))
+
+
+@query("V16_number_gaps", "SELECT l_orderkey, array_to_string(list_sort(list_filter(r, lambda x: NOT list_contains(s, x))), ',') AS gaps FROM (SELECT l_orderkey, range(min(l_linenumber), max(l_linenumber) + 1) AS r, list(DISTINCT l_linenumber) AS s FROM lineitem GROUP BY l_orderkey)")
+def v16(t):
+    s = t("lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"), F.collect_set("l_linenumber").alias("s"))
+    return s.select("l_orderkey", F.array_join(F.array_sort(F.array_except(F.sequence("lo", "hi"), "s")), ",").alias("gaps"))
+
+
+@query("V25_plan_integrity", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders) WHERE o_orderkey % 5 <> p % 5")
+def v25(t):
+    p = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return t("orders").withColumn("p", p).where("o_orderkey % 5 <> p % 5").select("o_custkey", "o_orderkey")
+
+
+# Batch twins of the stream operators
+
+
+@query("X02_stalls", f"SELECT job, chunk, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY job, chunk ORDER BY ts, event_id) - ts AS gap FROM ({JOB_EVENTS})) WHERE gap > INTERVAL 6 HOUR")
+def x02(t):
+    gap = F.lead("ts").over(Window.partitionBy("job", "chunk").orderBy("ts", "event_id")) - C("ts")
+    return job_events(t).withColumn("gap", gap).where(C("gap") > F.expr("INTERVAL 6 HOUR")).select("job", "chunk", "event_id")
+
+
+@query("X04_attempt_bound", f"SELECT job, chunk, count(*) AS attempts FROM ({JOB_EVENTS}) WHERE event = 'START' GROUP BY job, chunk HAVING count(*) > 3")
+def x04(t):
+    return job_events(t).where("event = 'START'").groupBy("job", "chunk").agg(F.count("*").alias("attempts")).where("attempts > 3")
+
+
+@query("X05_quota_latch", f"SELECT event_id, coalesce(max(CAST(event = 'DROP' AND value > 90 AS INT)) OVER (PARTITION BY job ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS skipped FROM ({JOB_EVENTS})")
+def x05(t):
+    w = Window.partitionBy("job").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return job_events(t).select("event_id", (F.coalesce(F.max(((C("event") == "DROP") & (C("value") > 90)).cast("int")).over(w), F.lit(0)) == 1).alias("skipped"))
+
+
+@query("X07_dwell", "SELECT user_id, event_type, max_by(value, (ts, event_id)) AS seconds FROM events GROUP BY user_id, event_type")
+def x07(t):
+    return t("events").groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("seconds"))
+
+
+@query("X08_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def x08(t):
+    s = t("events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return s.select(C("window.start").alias("start"), "event_type", "n", "total")
+
+
+# Library tables
+
+
+@query("M01_trash", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '2026-01-01' END AS deleted FROM customer WHERE c_custkey % 25 <> 0")
+def m01(t):
+    return t("customer").where("c_custkey % 25 <> 0").select("c_custkey", F.when(C("c_custkey") % 5 == 0, F.lit("2026-01-01")).alias("deleted"))
+
+
+@query("M02_insert_if_absent", f"SELECT test, question FROM ({FLAGS}) UNION SELECT o_custkey, o_orderkey % 2000 FROM orders")
+def m02(t):
+    new = t("orders").select(C("o_custkey").alias("test"), (C("o_orderkey") % 2000).alias("question")).distinct()
+    old = flags(t)
+    return old.unionByName(new.join(old, ["test", "question"], "left_anti"))
+
+
+@query("M03_replace_partition", f"SELECT test, question FROM ({FLAGS}) WHERE test <> 7 UNION ALL SELECT 7, p_partkey FROM part WHERE p_size = 1")
+def m03(t):
+    return flags(t).where("test <> 7").unionByName(t("part").where("p_size = 1").select(F.lit(7).cast("long").alias("test"), C("p_partkey").alias("question")))
+
+
+@query("M04_copy_for_redo", f"SELECT 1000000 + attempt AS attempt, test, folder, 'new' AS status FROM ({ATTEMPTS}) WHERE status = 'F'")
+def m04(t):
+    return attempts(t).where("status = 'F'").drop("date", "price", "status").select((1000000 + C("attempt")).alias("attempt"), "test", "folder", F.lit("new").alias("status"))
+
+
+@query("M05_update_rows", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'renamed ' || n_nationkey ELSE n_name END AS name FROM nation UNION ALL SELECT 1000 + r_regionkey, r_name FROM region")
+def m05(t):
+    n = t("nation").select("n_nationkey", F.when(C("n_nationkey") % 3 == 0, F.concat(F.lit("renamed "), C("n_nationkey").cast("string"))).otherwise(C("n_name")).alias("name"))
+    return n.unionByName(t("region").select((1000 + C("r_regionkey")).alias("n_nationkey"), C("r_name").alias("name")))

@@ -278,7 +278,7 @@ def s07(t):
     return t("documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("size"))
 
 
-@query("C04_blocks", f"SELECT doc_id, island, min(k) AS first, max(k) AS last, count(*) AS n FROM (SELECT doc_id, k, short, sum(CAST(short AS INT)) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM (SELECT doc_id, k, length(l) < 40 AS short FROM ({LINES}))) WHERE NOT short GROUP BY doc_id, island")
+@query("C04_blocks", f"SELECT doc_id, CAST(island AS BIGINT) AS island, min(k) AS first, max(k) AS last, count(*) AS n FROM (SELECT doc_id, k, short, sum(CAST(short AS INT)) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM (SELECT doc_id, k, length(l) < 40 AS short FROM ({LINES}))) WHERE NOT short GROUP BY doc_id, island")
 def c04(t):
     """Short lines stand for blank ones, which these texts lack."""
     marked = lines(t).withColumn("short", F.length("l") < 40)
