@@ -128,3 +128,17 @@ def test_snapshot_keeps_the_latest(spark, tmp_path):
     merge(events(spark).where("event_id >= 3"), 1)
     merge(events(spark).where("event_id >= 3"), 1)
     assert [(r.job, r.event_id) for r in spark.read.parquet(str(tmp_path / "snap/1")).collect()] == [(1, 5)]
+
+
+def test_stalls_once_each(spark, tmp_path):
+    got = replay(spark, tmp_path, jobs.stalls, "append")
+    assert sorted((r.chunk, r.since.second) for r in got) == [(10, 10), (11, 12)]
+
+
+def test_windows_end_as_the_batch(spark, tmp_path):
+    def progress_windows(stream):
+        return jobs.progress_windows(stream, "30 seconds", None, "1 minute")
+
+    got = {(r.start, r.event): r.n for r in replay(spark, tmp_path, progress_windows, "update")}
+    batch = events(spark).groupBy(F.window("ts", "30 seconds"), "event").count().collect()
+    assert got == {(r.window.start, r.event): r["count"] for r in batch}
