@@ -11,8 +11,9 @@ from quillspark.llm.shared import ragged
 
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """Offsets (len(texts) + 1) and all words `[^\\x20\\x09-\\x0D]+`; null has none. lower: A-Z only."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    # Lower first: of a slice that was cast, ascii_lower reads the wrong bytes.
+    texts = pc.fill_null((pc.ascii_lower(texts) if lower else texts).cast(pa.large_string()), "")
+    lists = pc.ascii_split_whitespace(texts)
     words, ends = lists.flatten(), np.asarray(lists.offsets, np.int64)
     ends = ends - ends[0]
     full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)

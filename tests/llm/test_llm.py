@@ -17,6 +17,7 @@ import pytest
 from quillspark.llm import decontamination, jaccard_join, line_dedup, packing, pii, quality, registry, suffix_tree, token_files, url_filter, warc
 from quillspark.llm.shared import new_folder
 from quillspark.llm.tokens import Encoder, tokenizer_path
+from quillspark.llm.words import words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, extra string"
@@ -273,3 +274,14 @@ def test_pipeline(spark):
 
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and got.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").isEmpty()
+
+
+def test_words_of_slices():
+    texts = pa.array([f"Wörd{i} A b " * (i % 7) if i % 5 else None for i in range(300)])
+    for typ in (pa.string(), pa.large_string()):
+        for lower in (False, True):
+            part = texts.cast(typ).slice(100, 120)
+            ends, found = words_of(part, lower=lower)
+            want = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in part.to_pylist()]
+            want = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in x] if lower else x for x in want]
+            assert [found[s:e].to_pylist() for s, e in zip(ends[:-1], ends[1:], strict=True)] == want
