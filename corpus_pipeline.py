@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document that has no word left, though it had repeated lines, goes with them."""
-    out = dedup_lines(docs.select(*COLUMNS))
+    out = dedup_lines(docs.select(*COLUMNS), exact_from=1)
     kept = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

@@ -33,11 +33,15 @@ def sized(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def hashed_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line_no (from 0), line (128 bits of hash), halves, for lines of min_words words and more."""
+def hashed_lines(docs: DataFrame, min_words: int, exact_from: int) -> DataFrame:
+    """doc_id, line_no (from 0), line (128 bits of hash), halves, for lines of exact_from words and more.
+
+    Lines under min_words words have no halves, so they meet equal lines only.
+    """
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line_no", "line"))
-    worded = lines.select("doc_id", "line_no", line_words(F.col("line")).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
-    return worded.select("doc_id", "line_no", F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), F.lit("line"), "words").alias("b")).alias("line"), half_keys(F.col("n"), F.col("words")).alias("halves"))
+    worded = lines.select("doc_id", "line_no", line_words(F.col("line")).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= exact_from)
+    halves = F.when(F.col("n") >= min_words, half_keys(F.col("n"), F.col("words"))).otherwise(F.array().cast("array<bigint>"))
+    return worded.select("doc_id", "line_no", F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), F.lit("line"), "words").alias("b")).alias("line"), halves.alias("halves"))
 
 
 def prefix_hashes(words: Column) -> Column:
@@ -92,9 +96,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return pairs.join(a, "later").join(b, "earlier").where(same).select(F.col("later").alias("line")).distinct()
 
 
-def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int, exact_from: int) -> DataFrame:
     """of, dropped: the line numbers of each document that repeat an earlier line, or nearly so."""
-    lines = written(hashed_lines(docs, min_words), "lines")
+    lines = written(hashed_lines(docs, min_words, exact_from), "lines")
     distinct = written(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves")), "distinct-lines")
     near = written(near_lines(docs, distinct), "near-lines")
     marked = distinct.select("line", "first", "copies").join(near.withColumn("near", F.lit(True)), "line", "left").where("copies > 1 OR near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -103,15 +107,18 @@ def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
     return written(hit.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("line_no").alias("dropped")), "dropped-lines")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 8, exact_from: int | None = None) -> DataFrame:
     """docs (doc_id, text; other columns stay) with n_lines, n_dropped, and text without repeated lines.
 
-    Lines end at \\n. A line is dropped if an earlier line, by (doc_id, place), has the same words or is within
-    one word edit; the earliest stays. Lines of fewer than min_words words always stay. Null and empty texts
-    stay as they are, with one empty line. Rows with equal doc_ids are taken for one document, so
-    what repeats between them at equal places stays. No documents: no rows.
+    Lines end at \\n. A line of exact_from words and more (min_words if None) is dropped if an earlier line, by
+    (doc_id, place), has the same words; one of min_words words and more also if an earlier line of min_words words
+    and more is within one word edit. The earliest stays. Edits need a length because a word is much of a short
+    line: any two lines of one word are one edit apart, as are numbered headings. Lines without words part
+    paragraphs and always stay. Null and empty texts stay as they are, with one empty line. Rows with
+    equal doc_ids are taken for one document, so what repeats between them at equal places stays. No documents: no
+    rows.
     """
-    gone = repeated_lines(docs, min_words)
+    gone = repeated_lines(docs, min_words, min_words if exact_from is None else exact_from)
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
     joined = docs.join(sized(gone, gone.count(), 300_000), F.col("doc_id").cast("long") == F.col("of"), "left")
     kept = F.filter(lines, lambda line, k: ~F.array_contains("dropped", k))
@@ -120,7 +127,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), exact_from=1)
 
 
 OP8_SQL = r"""

@@ -208,6 +208,28 @@ def test_lines(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_short_lines_that_repeat_go(spark, tmp_path):
+    import corpus_pipeline
+
+    r, seen, want = random.Random(12), set(), {}
+    made = [None, "", "  \n\n ", "home", "home\n\nhome\n home ", "a b c d e f g\na b c d e f x\na  b c d e f g"]
+    made += ["\n".join(" ".join(r.choice("uvw") for _ in range(r.randint(0, 7))) for _ in range(r.randint(1, 6))) for _ in range(40)]
+    for k, t in enumerate(made):
+        kept = []
+        for line in (t or "").split("\n"):
+            w = tuple(WORD.findall(line))
+            if not w or w not in seen:
+                kept.append(line)
+            seen.add(w)
+        n = len((t or "").split("\n"))
+        want[k] = (t if len(kept) == n else "\n".join(kept), n, n - len(kept))
+    frame = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(made)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: (x.text, x.n_lines, x.n_dropped) for x in registry.queries()["op8_line_dedup"](spark, str(tmp_path)).collect()} == want
+    left = {k: t for k, (t, _, dropped) in want.items() if not dropped or WORD.search(t)}
+    assert {x.doc_id: x.text for x in corpus_pipeline.line_dedup(spark, frame, str(tmp_path)).collect()} == left
+
+
 def luhn(v):
     d = [int(c) for c in v if c.isdigit()][::-1]
     return sum(x if k % 2 == 0 else (x * 2 - 9 if x > 4 else x * 2) for k, x in enumerate(d)) % 10 == 0
