@@ -27,22 +27,27 @@ def sized_broadcast(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
 
 
 def test_items(benchmark: DataFrame) -> DataFrame:
-    """item_id and its words, for items that have any; equal rows once."""
-    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), words().alias("item_words")).where(F.size("item_words") > 0).distinct()
+    """key, item_id and its words, for items that have any; equal rows once.
+
+    Rows of one item_id, or of none, may differ in their texts: the key (128 bits of hash) tells them apart.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words().alias("item_words")).where(F.size("item_words") > 0).distinct()
+    half = lambda seed: F.hex(F.xxhash64(F.lit(seed), F.col("item_id").isNull(), "item_id", "item_words"))
+    return items.select(F.concat(half(0), F.lit("-"), half(1)).alias("key"), "item_id", "item_words")
 
 
 def anchors(items: DataFrame, counts: DataFrame, width: int, rarest: int) -> DataFrame:
-    """The rarest terms of each window: item_id, first (of the window), term, at (its place in the item).
+    """The rarest terms of each window: key (of the text), first (of the window), term, at (its place in the item).
 
     A term that the documents lack has no postings, so its windows can't occur and are left out.
     """
-    spread = items.select("item_id", F.size("item_words").alias("n"), F.posexplode("item_words").alias("at", "term")).join(counts, "term", "left")
+    spread = items.select("key", F.size("item_words").alias("n"), F.posexplode("item_words").alias("at", "term")).join(counts, "term", "left")
     starts = F.sequence(F.greatest(F.lit(0), F.col("at") - width + 1), F.least(F.col("at"), F.greatest(F.lit(0), F.col("n") - width)))
     inside = spread.withColumn("first", F.explode(starts))
-    rank = Window.partitionBy("item_id", "first").orderBy(F.col("hits").asc_nulls_first(), "at")
+    rank = Window.partitionBy("key", "first").orderBy(F.col("hits").asc_nulls_first(), "at")
     best = inside.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= rarest)
-    alive = best.groupBy("item_id", "first").agg(F.count("hits").alias("known"), F.count("*").alias("of")).where("known = of")
-    return best.join(alive, ["item_id", "first"]).select("item_id", "first", "term", "at")
+    alive = best.groupBy("key", "first").agg(F.count("hits").alias("known"), F.count("*").alias("of")).where("known = of")
+    return best.join(alive, ["key", "first"]).select("key", "first", "term", "at")
 
 
 def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -59,16 +64,16 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def alignments(index: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Where a window may lie: doc_id, item_id, shift (place in the document less place in the item).
+    """Where a window may lie: doc_id, key, shift (place in the document less place in the item).
 
     The rarest terms' posting lists, less the terms' places, meet on equal documents and shifts;
     a shift stays if all rarest terms of one window are there.
     """
-    places = chosen.select("item_id", "term", "at").distinct()
-    found = index.join(sized_broadcast(places, places.count()), "term").groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("there"))
-    needed = chosen.groupBy("item_id", "first").agg(F.array_sort(F.collect_set("at")).alias("need")).groupBy("item_id").agg(F.collect_set("need").alias("needs"))
-    both = found.join(needed, "item_id")
-    return both.where(F.exists("needs", lambda need: F.size(F.array_except(need, F.col("there"))) == 0)).select("doc_id", "item_id", "shift")
+    places = chosen.select("key", "term", "at").distinct()
+    found = index.join(sized_broadcast(places, places.count()), "term").groupBy("doc_id", "key", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("there"))
+    needed = chosen.groupBy("key", "first").agg(F.array_sort(F.collect_set("at")).alias("need")).groupBy("key").agg(F.collect_set("need").alias("needs"))
+    both = found.join(needed, "key")
+    return both.where(F.exists("needs", lambda need: F.size(F.array_except(need, F.col("there"))) == 0)).select("doc_id", "key", "shift")
 
 
 def exact_hits(docs: DataFrame, items: DataFrame, places: DataFrame, width: int) -> DataFrame:
@@ -76,7 +81,7 @@ def exact_hits(docs: DataFrame, items: DataFrame, places: DataFrame, width: int)
 
     Documents are joined by doc_id, so rows with equal doc_ids are compared each.
     """
-    joined = places.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").withColumn("doc_words", words()).join(items, "item_id")
+    joined = places.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").withColumn("doc_words", words()).join(items, "key")
     n, size = F.size("item_words"), F.least(F.lit(width), F.size("item_words"))
     # get() gives null outside the document.
     same = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.coalesce(F.when(F.col("shift") + k >= 0, F.get("doc_words", (F.col("shift") + k).cast("int"))) == F.get("item_words", k.cast("int")), F.lit(False)))
@@ -89,7 +94,7 @@ def exact_hits(docs: DataFrame, items: DataFrame, places: DataFrame, width: int)
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, span: int = 26, width: int = 13, rarest: int = 3) -> DataFrame:
-    """Where the `rarest` terms of a window stand within `span` words, in any order: doc_id, item_id, first, pos.
+    """Where the `rarest` terms of a window stand within `span` words, in any order: doc_id, item_id, first, pos; a row for each text of an item.
 
     pos is the place of the window's rarest term; terms meet it in the same or a neighbouring block of `span` places.
     Short items have fewer terms. A window with a term that no document has is left out.
@@ -97,13 +102,13 @@ def proximity(docs: DataFrame, benchmark: DataFrame, span: int = 26, width: int
     items = test_items(benchmark)
     chosen = written(anchors(items, written(term_counts(docs, items), "term-counts"), width, rarest), "anchors")
     index = written(postings(docs, chosen.select("term").distinct()), "postings")
-    numbered = chosen.withColumn("k", F.row_number().over(Window.partitionBy("item_id", "first").orderBy("at"))).withColumn("of", F.count("*").over(Window.partitionBy("item_id", "first")))
-    lead = index.join(numbered.where("k = 1"), "term").select("doc_id", "item_id", "first", "of", "pos").withColumn("block", F.explode(F.array(*[F.floor(F.col("pos") / span) + d for d in (-1, 0, 1)])))
-    other = index.join(numbered.where("k > 1"), "term").select("doc_id", "item_id", "first", "k", F.col("pos").alias("near"), F.floor(F.col("pos") / span).alias("block"))
-    met = lead.join(other, ["doc_id", "item_id", "first", "block"]).where(F.abs(F.col("near") - F.col("pos")) < span)
-    pairs = met.groupBy("doc_id", "item_id", "first", "pos", "of").agg(F.countDistinct("k").alias("met")).where("met = of - 1")
-    alone = index.join(numbered.where("of = 1"), "term").select("doc_id", "item_id", "first", "pos")
-    return pairs.select("doc_id", "item_id", "first", "pos").unionByName(alone)
+    numbered = chosen.withColumn("k", F.row_number().over(Window.partitionBy("key", "first").orderBy("at"))).withColumn("of", F.count("*").over(Window.partitionBy("key", "first")))
+    lead = index.join(numbered.where("k = 1"), "term").select("doc_id", "key", "first", "of", "pos").withColumn("block", F.explode(F.array(*[F.floor(F.col("pos") / span) + d for d in (-1, 0, 1)])))
+    other = index.join(numbered.where("k > 1"), "term").select("doc_id", "key", "first", "k", F.col("pos").alias("near"), F.floor(F.col("pos") / span).alias("block"))
+    met = lead.join(other, ["doc_id", "key", "first", "block"]).where(F.abs(F.col("near") - F.col("pos")) < span)
+    pairs = met.groupBy("doc_id", "key", "first", "pos", "of").agg(F.countDistinct("k").alias("met")).where("met = of - 1")
+    alone = index.join(numbered.where("of = 1"), "term").select("doc_id", "key", "first", "pos")
+    return pairs.select("doc_id", "key", "first", "pos").unionByName(alone).join(items.select("key", "item_id"), "key").select("doc_id", "item_id", "first", "pos")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest: int = 2, percent: int = 5) -> DataFrame:
@@ -112,7 +117,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest
     A window is `width` consecutive words of an item, or all of a shorter item; a document word in
     an occurrence is hit. Contaminated: hit words are `percent` of all words or more. Null and
     empty texts have no words and no hits; items without words are ignored; an empty benchmark
-    hits nothing. Rows with equal doc_ids share the hits of all of them.
+    hits nothing. Rows with equal doc_ids share the hits of all of them. Texts that share an item_id are each looked
+    for and count as one item; those without an item_id hit words, but are no item in n_items and items_sha256.
     """
     items = written(test_items(benchmark), "items")
     chosen = written(anchors(items, written(term_counts(docs, items), "term-counts"), width, rarest), "anchors")
@@ -120,7 +126,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest
     hits = written(exact_hits(docs, items, written(alignments(index, chosen), "alignments"), width), "hits")
     # An item's hits in a document are bounded by the document; documents hit often are summed place by place.
     n_hit = hits.select("doc_id", F.explode("hits").alias("place")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    found = hits.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_set("item_id"))).alias("found"))
+    found = hits.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.count("item_id").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_set("item_id"))).alias("found"))
     both = written(n_hit.join(found, "doc_id").select(F.col("doc_id").alias("hit_id"), "n_hit", "n_items", "found"), "hit-documents")
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), count_words().alias("n_words"))
     joined = counted.join(both, F.col("doc_id") == F.col("hit_id"), "left")

@@ -186,6 +186,23 @@ def test_decontamination_matches_sql_and_edges(spark, none):
     assert {(r.doc_id, r.item_id) for r in decontamination.proximity(frame, bench).collect()} >= {(2, "1"), (3, "2")}
 
 
+def test_texts_under_one_item_id_are_each_looked_for(spark, tmp_path):
+    a, b, absent, c = (" ".join(words(20, seed)) for seed in (70, 71, 72, 73))
+    gone = " ".join(f"absent{w}" for w in absent.split())
+    bench = [(1, a), (1, b), (1, gone), (None, c), (None, gone), (2, a), (2, a)]
+    docs = [(0, a), (1, b), (2, c), (3, f"{a} and {b}"), (4, " ".join(a.split()[:13])), (5, " ".join(b.split()[7:])), (6, f"{c} {a}"), (7, gone.replace("absent", "other"))]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in registry.queries()["op6_decontamination"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == set(con.execute(registry.oracle_sql()["op6_decontamination"]).fetchall())
+    assert {r[0]: (r[2], r[3]) for r in got} == {0: (20, 2), 1: (20, 1), 2: (20, 0), 3: (40, 2), 4: (13, 2), 5: (13, 1), 6: (40, 2), 7: (0, 0)}
+    near = decontamination.proximity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in near.collect()} >= {(0, "1"), (0, "2"), (1, "1"), (2, None)}
+
+
 def test_suffix_tree_base_scores(docs, none, texts):
     rows = {k: [*WORD.findall(lower(t)), None] for k, t in enumerate(texts)}
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in rows}
