@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +66,40 @@ def reachable(edges: DataFrame, rounds: int = 50) -> DataFrame:
             return grown
         paths = grown
     raise RuntimeError("paths did not settle")
+
+
+#: Characters that a passage has at least, and of a gram: so it has at least GRAMS_OF_PASSAGE grams.
+PASSAGE, GRAM = 60, 16
+GRAMS_OF_PASSAGE = PASSAGE - GRAM + 1
+
+
+def least_grams(text: str) -> np.ndarray:
+    """The least hash of the grams of each passage of PASSAGE characters, distinct; none for a shorter text.
+
+    What contains a passage has its least hash too, whatever stands around it and in whatever script.
+    """
+    if len(text) < PASSAGE:
+        return np.zeros(0, np.int64)
+    h = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for step in (1, 2, 4, 8):
+        h ^= h >> np.uint64(29)
+        h = h[:-step] * np.uint64(0xBF58476D1CE4E5B9) + h[step:]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    for step in (1, 2, 4, 8, 16, GRAMS_OF_PASSAGE - 32):
+        h = np.minimum(h[:-step], h[step:])
+    return np.unique(h).view(np.int64)
+
+
+def passage_keys(texts: DataFrame, first: bool = False) -> DataFrame:
+    """id (a long), key: the hashes of least_grams of each text, or of its first passage only; texts that meet no key share no passage."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                found = [least_grams((t or "")[:PASSAGE] if first else t or "") for t in part["text"].to_pylist()]
+                ids = np.repeat(part["id"].to_numpy(zero_copy_only=False), [len(x) for x in found])
+                yield pa.record_batch({"id": pa.array(ids, pa.int64()), "key": pa.array(np.concatenate(found) if found else [], pa.int64())})
+
+    return texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL").mapInArrow(keys, "id long, key long")

@@ -334,13 +334,11 @@ def j08(t):
 
 @query("J05_containment", "SELECT item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 90)) WHERE length(b.text) >= 60 GROUP BY item_id")
 def j05(t):
-    """Candidates share a passage of four words inside the prefix; the substring test then decides."""
-    items = t("benchmark").where(F.length("text") >= 60).select("item_id", F.substring("text", 1, 90).alias("prefix"))
-    words = lambda c: F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda w: w != "")
-    # The prefix's first and last words may be cut, so its inner words are looked up.
-    inner = items.select("item_id", "prefix", words(C("prefix")).alias("w")).select("item_id", "prefix", F.xxhash64(F.slice("w", 2, 4)).alias("h"))
-    grams = t("documents").select("doc_id", words(C("text")).alias("w")).where(F.size("w") >= 5).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda k: F.xxhash64(F.slice("w", k, 4)))).alias("h")).distinct()
-    pairs = grams.join(inner, "h").select("doc_id", "item_id", "prefix").distinct()
+    """Candidates have the least gram hash of the item's first 60 characters; the substring test then decides."""
+    items = t("benchmark").where(F.length("text") >= 60).select("item_id", F.substring("text", 1, 90).alias("prefix")).withColumn("id", F.xxhash64("prefix"))
+    wanted = links.passage_keys(items.select("id", C("prefix").alias("text")).distinct(), first=True)
+    keys = links.passage_keys(t("documents").select(C("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
+    pairs = keys.join(wanted, "key").select("doc_id", "id").distinct().join(items, "id")
     return pairs.join(t("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", C("prefix"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 
 

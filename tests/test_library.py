@@ -43,6 +43,20 @@ def test_same_as_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_containment_in_any_script_and_with_long_words(spark, tmp_path):
+    prefixes = ["Это начало длинного вопроса на русском языке, " * 3, "長い質問の始まり、" * 12, "أسئلة طويلة جدا باللغة العربية " * 4, "x" * 75 + " " + "y" * 40, "Donaudampfschifffahrtsgesellschaftskapitän " * 3, "😀 one two three four five six seven eight nine ten eleven twelve", "z" * 60, "z" * 59, None, ""]
+    items = [(k, p) for k, p in enumerate(prefixes)] + [(20, prefixes[0]), (21, "kein Text enthält dies, auch wenn es lang genug ist, um gesucht zu werden")]
+    docs = [(100 + k, f"vor {p[:90]}nach") for k, p in enumerate(prefixes) if p] + [(200 + k, p[:90]) for k, p in enumerate(prefixes) if p] + [(300, None), (301, ""), (302, prefixes[1][:89])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in all_queries.queries()["J05_containment"](spark, str(tmp_path)).select("item_id", "doc_id").collect()}
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == set(con.execute(all_queries.oracle_sql()["J05_containment"]).fetchall())
+    assert got == {(k, 100 + k) for k in range(7)} | {(20, 100)}
+
+
 def test_chunks_keep_the_text_and_the_cap(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = chunkers.chunk_documents(docs, 500).toPandas()
