@@ -170,9 +170,48 @@ def test_signatures_are_shared_by_all_similar_sets():
                 y = y[1:] if r.random() < 0.5 else np.append(y, np.uint64(r.integers(0, 2**63)))
             same = len(np.intersect1d(x, y))
             if 100 * same >= 75 * (len(x) + len(y) - same):
-                owner, value, unsure = jaccard_join.signatures(np.array([0, len(x), len(x) + len(y)]), np.concatenate([np.sort(x), np.sort(y)]))
-                # Two unsure sets may share none; they are joined on their elements.
-                assert np.intersect1d(value[owner == 0], value[owner == 1]).size or (unsure[owner == 0].any() and unsure[owner == 1].any())
+                owner, tag, value, need = jaccard_join.signatures(np.array([0, len(x), len(x) + len(y)]), np.concatenate([np.sort(x), np.sort(y)]))
+                bands = jaccard_join.band_of(np.array([len(x), len(y)]))
+                tags = [0, 0] if bands[0] == bands[1] else [int(bands[0] < bands[1]), int(bands[1] < bands[0])]
+                shared = np.intersect1d(value[(owner == 0) & (tag == tags[0])], value[(owner == 1) & (tag == tags[1])]).size
+                assert shared >= max(need[tags[0], 0], need[tags[1], 1]) >= 1
+
+
+def test_near_copies_with_common_passages_and_repeated_ids(spark):
+    r = random.Random(4)
+    base, passage = words(160, 50), words(60, 51)
+    made = [" ".join(base)] * 60
+    for k in range(120):  # near copies, some of them too far from all others
+        x = base.copy()
+        for _ in range(r.randint(1, 14)):
+            x[r.randrange(len(x))] = f"new{r.randint(0, 3000)}"
+        made.append(" ".join(x))
+    made += [" ".join(words(r.randint(20, 90), 600 + k) + passage) for k in range(120)]
+    rows = [(k - 5 if k < 300 else k - 150, t) for k, t in enumerate(made + made[40:60])] + [(None, made[0]), (2**62 + 7, made[100])]
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    at = {}
+    for a, (doc_id, _) in enumerate(rows):
+        for b in [at.setdefault(doc_id, a)] if doc_id is not None else []:
+            parent[root(a)] = root(b)
+    for a in range(len(rows)):
+        for b in range(a):
+            if None not in (rows[a][0], rows[b][0]) and root(a) != root(b) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    least = {}
+    for k, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[root(k)] = min(least.get(root(k), doc_id), doc_id)
+    want = sorted((str(d), len(s), str(None if d is None else least[root(k)])) for k, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+    frame = spark.createDataFrame([(*x, "clash", 1, 2) for x in rows], "doc_id long, text string, component_id string, size int, node int").repartition(6)
+    got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in jaccard_join.similar_groups(frame).collect())
+    assert got == want
 
 
 def test_decontamination_matches_sql_and_edges(spark, none):
