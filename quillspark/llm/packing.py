@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.shared import bound_batches, text_slices, written
-from quillspark.llm.tokens import Encoder, tokenizer_path
+from quillspark.llm.tokens import shared_encoder, tokenizer_path
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -26,7 +26,7 @@ def token_pieces(docs: DataFrame, capacity: int, unit: int, end_id: int, tokeniz
     bound_batches(docs.sparkSession, 4000)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = shared_encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity // unit + 1, np.int64)
         for batch in text_slices(batches, "text", 12_000_000):
             ids, ends = encoder.encode(batch["text"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.shared import bound_batches, local_path, new_folder, text_slices, written
-from quillspark.llm.tokens import Encoder, tokenizer_path
+from quillspark.llm.tokens import shared_encoder, tokenizer_path
 
 
 def write_token_files(docs: DataFrame, folder: str, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
@@ -33,6 +33,8 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 0, tokenizer:
     Texts move once, to be ordered by doc_id; ids never move. A task writes under a name of its
     own and renames, so a repeated attempt leaves the same file.
     """
+    if not docs.where("doc_id IS NULL").isEmpty():
+        raise ValueError("a document without doc_id has no place in the order")
     spark, path, tokenizer = docs.sparkSession, local_path(folder), tokenizer or tokenizer_path()
     bound_batches(spark, 4000)
     os.makedirs(path, exist_ok=True)
@@ -40,18 +42,21 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 0, tokenizer:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         number, mine = task.partitionId(), f".{task.taskAttemptId()}"
-        encoder = Encoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         width = np.uint16 if max(encoder.vocabulary() - 1, end_id) < 65536 else np.uint32
         names = {k: f"{path}/{k}-{number:06d}.bin" for k in ("ids", "offsets", "docs")}
         total = documents = 0
         files = {k: open(v + mine, "wb") for k, v in names.items()}
         for batch in text_slices(batches, "text", 12_000_000):
             ids, ends = encoder.encode(batch["text"])
-            out = np.insert(ids, ends[1:], end_id)
             ends = ends + np.arange(len(ends))
+            out = np.empty(ends[-1], np.uint32)
+            own = np.ones(len(out), bool)
+            own[ends[1:] - 1] = False
+            out[own], out[~own] = ids, end_id
             files["ids"].write(out.astype(width).tobytes())
             files["offsets"].write((total + ends[:-1]).astype("<i8").tobytes())
-            files["docs"].write(batch["doc_id"].to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            files["docs"].write(batch["doc_id"].to_numpy().astype("<i8").tobytes())
             total, documents = total + len(out), documents + batch.num_rows
         files["offsets"].write(np.array([total], "<i8").tobytes())
         for k, f in files.items():

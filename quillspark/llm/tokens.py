@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -33,9 +34,16 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that a piece which many tasks meet is encoded once a worker."""
+    return Encoder(path)
+
+
 class Encoder:
-    """Encodes texts with a byte-level tokenizers file.
+    """Encodes texts with a byte-level tokenizers file, as the library does with add_special_tokens=False.
 
+    Texts that hold an added token, such as an end mark, go to the library whole. Of the others:
     Its pre-tokenizer never joins what stands before and after (a) a lone ASCII white space
     between two other characters, or (b) a letter followed by a punctuation mark other than an
     apostrophe. Texts are cut there, and each distinct piece is encoded once.
@@ -46,14 +54,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cached = cached
         self._forget()
 
     def _forget(self) -> None:
-        """The pool holds the ids of the known pieces; piece k has lengths[k] ids from begins[k]."""
+        """The pool holds the ids of the known pieces; piece k has lengths[k] ids from begins[k]. Arrays are longer than what they hold."""
         self.known: dict[bytes, int] = {}
-        self.pool, self.begins, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = 0
+        self.pool, self.begins, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
@@ -61,6 +70,17 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts, one after the other, and len(texts) + 1 offsets. Null is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        marked = np.zeros(len(texts), bool)
+        for token in self.added:
+            marked |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._plain(texts)
+        ids, ends = self._plain(pc.if_else(pa.array(marked), pa.scalar("", pa.large_string()), texts))
+        whole = {k: np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32) for k in np.flatnonzero(marked).tolist()}
+        parts = [whole[k] if k in whole else ids[ends[k] : ends[k + 1]] for k in range(len(texts))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
@@ -83,12 +103,15 @@ class Encoder:
         missing = np.flatnonzero(got < 0)
         if len(missing):
             new = [pieces[k] for k in missing]
-            got[missing] = np.arange(len(self.known), len(self.known) + len(new))
-            self.known.update(zip(new, got[missing].tolist(), strict=True))
+            first, last = len(self.known), len(self.known) + len(new)
+            got[missing] = np.arange(first, last)
             ids, lengths = self._encoded(new)
-            self.begins = np.concatenate([self.begins, len(self.pool) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.pool = np.concatenate([self.pool, ids])
+            self.known.update(zip(new, got[missing].tolist(), strict=True))
+            self.begins, self.lengths, self.pool = _room(self.begins, last), _room(self.lengths, last), _room(self.pool, self.used + len(ids))
+            self.begins[first:last] = self.used + np.cumsum(lengths) - lengths
+            self.lengths[first:last] = lengths
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
         return got
 
     def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +138,15 @@ class Encoder:
         return np.concatenate(parts)[ragged(begins, lengths)], lengths
 
 
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or one of at least twice its length that begins with it."""
+    if size <= len(array):
+        return array
+    out = np.zeros(max(size, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 def _safe_cuts(data: np.ndarray) -> np.ndarray:
     """For each byte but the first: whether the text can be cut before it."""
     space, unsure = _SPACE[data], _UNSURE[data]

@@ -52,11 +52,16 @@ def lower(t):
 
 
 def test_encoder_equals_the_library(texts):
+    from tokenizers import Tokenizer
+
     e = Encoder(tokenizer_path())
     odd = [*texts, "it's John's. 'tis", " a", "a ", "a  b\n\nc", "\x1c a\x1f b", "×. ÷, x", "a\u0085b　c", "don't!'s\t\tx"]
-    ids, ends = e.encode(pa.array(odd))
-    for k, t in enumerate(odd):
-        assert ids[ends[k] : ends[k + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+    odd += ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b <|endoftext"]
+    library = Tokenizer.from_file(tokenizer_path())
+    for _ in range(2):
+        ids, ends = e.encode(pa.array(odd))
+        for k, t in enumerate(odd):
+            assert ids[ends[k] : ends[k + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
 def test_token_files(spark, docs, none, texts):
@@ -73,6 +78,11 @@ def test_token_files(spark, docs, none, texts):
     assert token_files.read_token_files(spark, folder).count() == 0
 
 
+def test_null_id_has_no_place_in_token_files(spark, tmp_path):
+    with pytest.raises(ValueError, match="doc_id"):
+        token_files.write_token_files(spark.createDataFrame([(None, "a")], "doc_id long, text string"), f"file://{tmp_path}/ids")
+
+
 def test_packing(docs, none, texts):
     e = Encoder(tokenizer_path())
     got = packing.pack(docs).collect()
