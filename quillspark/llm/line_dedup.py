@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import written
+from quillspark.llm.shared import free_shuffles, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -44,22 +44,20 @@ def hashed_lines(docs: DataFrame, min_words: int, exact_from: int) -> DataFrame:
     return worded.select("doc_id", "line_no", F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), F.lit("line"), "words").alias("b")).alias("line"), halves.alias("halves"))
 
 
-def prefix_hashes(words: Column) -> Column:
-    """For each number of words from 0: the XOR of the first words' hashes with their places, and with the places before those."""
-    steps = F.transform(words, lambda w, k: F.struct(F.xxhash64(w, k).alias("here"), F.xxhash64(w, k - 1).alias("earlier")))
-    zero = F.expr("array(struct(0L as here, 0L as earlier))")
-    add = lambda got, s: F.array_append(got, F.struct(F.element_at(got, -1)["here"].bitwiseXOR(s["here"]).alias("here"), F.element_at(got, -1)["earlier"].bitwiseXOR(s["earlier"]).alias("earlier")))
-    return F.aggregate(steps, zero, add)
+def variants(texts: DataFrame) -> DataFrame:
+    """key, id, n, k for texts (id, words): the hash of the line without word k (from 0), and that of the whole line with k = n.
 
-
-def variants(prefix: Column, n: Column) -> Column:
-    """The hash of the line without each of its words, in their order, and at the end that of the whole line.
-
-    The hash without word k joins the XOR of the words before k with that of the words after it, each one place
-    earlier. prefix must be a stored column, or Spark computes it again for each k.
+    The hash of a line is the XOR of its words' hashes with their places. Without word k it joins those of the words before
+    k with those of the words after it, each one place earlier; both come from running XORs along the line.
     """
-    without = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(prefix, k)["here"].bitwiseXOR(F.element_at(prefix, -1)["earlier"].bitwiseXOR(F.get(prefix, k + 1)["earlier"])))
-    return F.concat(without, F.array(F.element_at(prefix, -1)["here"]))
+    placed = texts.repartition("id").select("id", F.size("words").alias("n"), F.posexplode("words").alias("k", "word"))
+    hashed = placed.select("id", "n", "k", F.xxhash64("word", "k").alias("here"), F.xxhash64("word", F.col("k") - 1).alias("earlier"))
+    along = Window.partitionBy("id").orderBy("k")
+    before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("id")
+    less = hashed.select("id", "n", "k", (F.coalesce(F.bit_xor("here").over(before), F.lit(0)).bitwiseXOR(F.bit_xor("earlier").over(whole)).bitwiseXOR(F.bit_xor("earlier").over(after))).alias("key"), F.bit_xor("here").over(whole).alias("total"))
+    each = F.when(F.col("k") == 0, F.array(F.struct("key", "k"), F.struct(F.col("total").alias("key"), F.col("n").alias("k")))).otherwise(F.array(F.struct("key", "k")))
+    return less.select("id", "n", F.explode(each).alias("v")).select("v.key", "id", "n", "v.k")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -70,30 +68,32 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     theirs, never with each other in pairs.
     """
     keys = distinct.select("line", F.explode("halves").alias("half"))
-    shared = written(keys.groupBy("half").agg(F.min("line").alias("least"), F.max("line").alias("most")).where("least <> most").select("half"), "shared-halves")
+    differ = "least_a <> most_a OR least_b <> most_b"
+    shared = keys.groupBy("half").agg(F.min("line.a").alias("least_a"), F.max("line.a").alias("most_a"), F.min("line.b").alias("least_b"), F.max("line.b").alias("most_b")).where(differ).select("half")
+    shared = written(shared, "shared-halves")
     close = keys.join(sized(shared, shared.count()), "half", "left_semi").select("line").distinct()
-    places = written(distinct.join(close, "line").select("line", "first"), "close-lines")
-    of_doc = places.select(F.col("first.doc_id").alias("of"), F.col("first.line_no").alias("at"), "line", "first")
+    # Numbers that ascend as the lines' first places do, so that one number tells both the line and which is earlier.
+    places = distinct.join(close, "line").select("line", F.col("first.doc_id").alias("of"), F.col("first.line_no").alias("at"))
+    places = written(places.orderBy("of", "at").withColumn("id", F.monotonically_increasing_id()), "close-lines")
     taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = taken.join(sized(of_doc, places.count(), 300_000), taken.doc_id == of_doc["of"]).select("line", "first", line_words(F.get(F.split("text", "\n"), F.col("at"))).alias("words"))
+    texts = taken.join(sized(places, places.count(), 300_000), F.col("doc_id") == F.col("of")).select("id", "line", line_words(F.get(F.split("text", "\n"), F.col("at"))).alias("words"))
     # Rows with equal doc_ids may differ: the hash tells which of them has the line.
-    texts = texts.where((F.xxhash64("words") == F.col("line.a")) & (F.xxhash64(F.lit(7), F.lit("line"), "words") == F.col("line.b"))).dropDuplicates(["line"])
-    texts = written(texts.withColumn("n", F.size("words")).withColumn("prefix", prefix_hashes(F.col("words"))), "close-words")
-    spread = texts.select("line", "first", "n", F.posexplode(variants(F.col("prefix"), F.col("n"))).alias("k", "key"))
-    spread = written(spread, "variants")
-    one_less, whole = spread.where("k < n"), spread.where("k = n").select("key", F.col("line").alias("other"), F.col("first").alias("other_first"), F.col("n").alias("other_n"))
+    texts = texts.where((F.xxhash64("words") == F.col("line.a")) & (F.xxhash64(F.lit(7), F.lit("line"), "words") == F.col("line.b"))).dropDuplicates(["id"])
+    texts = written(texts, "close-words")
+    spread = written(variants(texts.select("id", "words")), "variants")
+    one_less, whole = spread.where("k < n"), spread.where("k = n").select("key", F.col("id").alias("other"), F.col("n").alias("other_n"))
     # Replaced: the same word left out of lines of equal length. The earliest line of each group stands for it.
-    groups = one_less.groupBy("key", "n", "k").agg(F.min(F.struct("first", "line")).alias("earliest"), F.max("first").alias("latest")).where("earliest.first <> latest")
-    replaced = one_less.join(groups, ["key", "n", "k"]).where("first > earliest.first").select(F.col("line").alias("later"), F.col("earliest.line").alias("earlier"), "k", F.lit("replaced").alias("how"))
+    groups = written(one_less.groupBy("key", "n", "k").agg(F.min("id").alias("earlier"), F.max("id").alias("latest")).where("earlier <> latest").drop("latest"), "equal-variants")
+    replaced = one_less.join(sized(groups, groups.count()), ["key", "n", "k"]).where("id > earlier").select(F.col("id").alias("later"), "earlier", "k", F.lit("replaced").alias("how"))
     # Left out or put in: a line without word k is another whole line.
-    longer = one_less.join(whole, "key").where("n = other_n + 1").select(F.when(F.col("first") > F.col("other_first"), F.col("line")).otherwise(F.col("other")).alias("later"), F.when(F.col("first") > F.col("other_first"), F.col("other")).otherwise(F.col("line")).alias("earlier"), "k", F.when(F.col("first") > F.col("other_first"), "longer").otherwise("shorter").alias("how"))
+    longer = one_less.join(sized(whole, texts.count()), "key").where("n = other_n + 1").select(F.greatest("id", "other").alias("later"), F.least("id", "other").alias("earlier"), "k", F.when(F.col("id") > F.col("other"), "longer").otherwise("shorter").alias("how"))
     pairs = replaced.unionByName(longer)
     # Verified on the words themselves.
-    a = texts.select(F.col("line").alias("later"), F.col("words").alias("x"))
-    b = texts.select(F.col("line").alias("earlier"), F.col("words").alias("y"))
+    a = texts.select(F.col("id").alias("later"), F.col("line"), F.col("words").alias("x"))
+    b = texts.select(F.col("id").alias("earlier"), F.col("words").alias("y"))
     cut = lambda c: F.concat(F.slice(c, F.lit(1), F.col("k")), F.slice(c, F.col("k") + 2, F.greatest(F.size(c) - F.col("k") - 1, F.lit(0))))
     same = F.when(F.col("how") == "replaced", (F.size("x") == F.size("y")) & (cut(F.col("x")) == cut(F.col("y")))).when(F.col("how") == "longer", cut(F.col("x")) == F.col("y")).otherwise(cut(F.col("y")) == F.col("x"))
-    return pairs.join(a, "later").join(b, "earlier").where(same).select(F.col("later").alias("line")).distinct()
+    return pairs.join(a, "later").join(b, "earlier").where(same).select("line").distinct()
 
 
 def repeated_lines(docs: DataFrame, min_words: int, exact_from: int) -> DataFrame:
@@ -101,6 +101,7 @@ def repeated_lines(docs: DataFrame, min_words: int, exact_from: int) -> DataFram
     lines = written(hashed_lines(docs, min_words, exact_from), "lines")
     distinct = written(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves")), "distinct-lines")
     near = written(near_lines(docs, distinct), "near-lines")
+    free_shuffles(docs.sparkSession)
     marked = distinct.select("line", "first", "copies").join(near.withColumn("near", F.lit(True)), "line", "left").where("copies > 1 OR near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
     marked = written(marked, "marked-lines")
     hit = lines.select("doc_id", "line_no", "line").join(sized(marked, marked.count(), 500_000), "line").where(F.col("near") | (F.struct("doc_id", "line_no") > F.col("first")))
@@ -115,15 +116,17 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, exact_from: int | None = No
     and more is within one word edit. The earliest stays. Edits need a length because a word is much of a short
     line: any two lines of one word are one edit apart, as are numbered headings. Lines without words part
     paragraphs and always stay. Null and empty texts stay as they are, with one empty line. Rows with
-    equal doc_ids are taken for one document, so what repeats between them at equal places stays. No documents: no
-    rows.
+    equal doc_ids are taken for one document, so what repeats between them at equal places stays; a document without doc_id
+    stays whole. Columns named n_lines or n_dropped are replaced. No documents: no rows.
     """
-    gone = repeated_lines(docs, min_words, min_words if exact_from is None else exact_from)
+    gone = repeated_lines(docs.select("doc_id", "text"), min_words, min_words if exact_from is None else exact_from)
+    gone = gone.select(F.col("of").alias("__of"), F.col("dropped").alias("__dropped"))
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    joined = docs.join(sized(gone, gone.count(), 300_000), F.col("doc_id").cast("long") == F.col("of"), "left")
-    kept = F.filter(lines, lambda line, k: ~F.array_contains("dropped", k))
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("__n", F.size(lines).cast("long")).withColumn("text", text).withColumn("n_lines", F.col("__n")).withColumn("n_dropped", F.coalesce(F.size("dropped"), F.lit(0)).cast("long")).drop("of", "dropped", "__n")
+    joined = docs.join(sized(gone, gone.count(), 300_000), F.col("doc_id").cast("long") == F.col("__of"), "left")
+    kept = F.filter(lines, lambda line, k: ~F.array_contains("__dropped", k))
+    text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    counted = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"), "text": text}
+    return joined.withColumns(counted).drop("__of", "__dropped")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
