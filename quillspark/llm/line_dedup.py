@@ -137,15 +137,15 @@ OP8_SQL = r"""
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, text FROM documents),
 lines AS (SELECT doc_id, unnest(range(0, len(l))) AS k, unnest(l) AS s FROM cut),
 worded AS (SELECT doc_id, k, list_filter(regexp_split_to_array(s, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM lines),
-long AS (SELECT * FROM worded WHERE len(w) >= 8),
-firsts AS (SELECT w, min((doc_id, k)) AS f FROM long GROUP BY w),
+every AS (SELECT w, min((doc_id, k)) AS f FROM worded WHERE len(w) >= 1 GROUP BY w),
+firsts AS (SELECT * FROM every WHERE len(w) >= 8),
 less AS (SELECT w, f, i, array_to_string(w[1:i - 1] || w[i + 1:], ' ') AS v, len(w) AS n FROM (SELECT w, f, unnest(range(1, len(w) + 1)) AS i FROM firsts)),
 near AS (
   SELECT a.w FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.n = b.n WHERE b.f < a.f
   UNION SELECT a.w FROM less a JOIN firsts b ON a.v = array_to_string(b.w, ' ') AND a.n = len(b.w) + 1 WHERE b.f < a.f
   UNION SELECT b.w FROM less a JOIN firsts b ON a.v = array_to_string(b.w, ' ') AND a.n = len(b.w) + 1 WHERE a.f < b.f
 ),
-gone AS (SELECT doc_id, list(k) AS ks FROM long JOIN firsts USING (w) WHERE (doc_id, k) > f OR w IN (SELECT w FROM near) GROUP BY doc_id)
+gone AS (SELECT doc_id, list(k) AS ks FROM worded JOIN every USING (w) WHERE (doc_id, k) > f OR w IN (SELECT w FROM near) GROUP BY doc_id)
 SELECT cut.doc_id, CASE WHEN ks IS NULL THEN text ELSE array_to_string(list_filter(l, lambda s, i: NOT list_contains(ks, i - 1)), chr(10)) END AS text,
   CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_dropped
 FROM cut LEFT JOIN gone USING (doc_id)
