@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,16 +11,17 @@ from pyspark.sql import functions as F
 from quillspark.llm.shared import written
 
 KINDS = ("email", "ip", "card", "phone")
-#: The contract's patterns.
+#: The contract's patterns. Possessive where nothing that follows could match less: Java then loops where it would recurse. A match that
+#: begins within a run of its first characters begins with the run too, unless the last match (\G) ended there; so a long run is walked once.
 BASE = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Wider generators: they find most of what the base patterns find, and more. Spans may overlap.
 WIDE = {
-    "email": r"[A-Za-z0-9._%+-]+\x20?(@|\(at\)|\[at\])\x20?[A-Za-z0-9-]+((\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?)[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?)[A-Za-z0-9-]++)++",
     "ip": r"[0-9]{1,3}(\x20?[.,]\x20?[0-9]{1,3}){3}",
     "card": r"[0-9]{4}([\x20./_-]{0,2}[0-9]{4}){2}[\x20./_-]{0,2}[0-9]{4,7}",
     "phone": r"(\+|00)?[0-9]{1,3}[\x20./-]{0,2}(\([0-9]{2,4}\)|[0-9]{2,4})[\x20./-]{1,2}[0-9]{3}[\x20./-]{0,2}[0-9]{3,4}",
@@ -35,14 +37,33 @@ def matches(text: Column, pattern: str) -> Column:
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,value:string>>))")
+    none = F.expr(f"cast(array() as {SPANS})")
 
     def add(got: Column, x: Column) -> Column:
         start = got["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
         return F.struct(end.alias("at"), F.array_append(got["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out"))
 
-    return F.aggregate(both, empty, add)["out"]
+    def spans(at: Column, part: Column) -> Column:
+        return F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), add)["out"]
+
+    def in_parts(all_matches: Column) -> Column:
+        """Arrays grow by copying, so many matches are taken in parts of 128, each from where it begins."""
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_matches) - 1) / 128).cast("int")), lambda k: F.slice(all_matches, k * 128 + 1, F.lit(128)))
+        sums = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["value"])))
+        begins = F.aggregate(sums, F.array(F.lit(0)), lambda got, n: F.array_append(got, F.element_at(got, -1) + n))
+        return named(F.struct(parts.alias("parts"), begins.alias("begins")), lambda v: F.flatten(F.transform(v["parts"], lambda part, k: spans(F.get(v["begins"], k), part))))
+
+    return named(both, lambda m: F.when(F.size(m) == 0, none).when(F.size(m) <= 128, spans(F.lit(0), m)).otherwise(in_parts(m)))
+
+
+#: What `matches` returns.
+SPANS = "array<struct<start:int,end:int,value:string>>"
+
+
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def digits(value: Column) -> Column:

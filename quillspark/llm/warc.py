@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.shared import bound_batches, local_path, new_folder, text_slices, written
@@ -51,25 +51,26 @@ def record(headers: dict[str, str], block: bytes) -> bytes:
     return packer.compress(head.encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def urn(page_id: int, segment: int = 1) -> str:
-    return f"<urn:page:{page_id}>" if segment == 1 else f"<urn:page:{page_id}:segment:{segment}>"
+def urn(page_id: int | None, again: int = 0, segment: int = 1) -> str:
+    """again: how many rows with that page_id come before."""
+    return f"<urn:page:{'none' if page_id is None else page_id}{f':again:{again}' * bool(again)}{f':segment:{segment}' * (segment > 1)}>"
 
 
-def page_records(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
+def page_records(page_id: int | None, again: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
     """The records of a page: a revisit, a response, or a response that continuation records follow."""
     common = {"WARC-Date": datetime(1970, 1, 1, tzinfo=timezone.utc).isoformat(), "WARC-Target-URI": "".join((url or "").split())}
     if refers_to is not None:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        yield record({"WARC-Type": "revisit", "WARC-Record-ID": urn(page_id), **common, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": urn(refers_to), "WARC-Payload-Digest": f"sha1:{digest}"}, head)
+        yield record({"WARC-Type": "revisit", "WARC-Record-ID": urn(page_id, again), **common, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": urn(refers_to), "WARC-Payload-Digest": f"sha1:{digest}"}, head)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
     parts = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
     for number, part in enumerate(parts, 1):
-        headers = {"WARC-Type": "response" if number == 1 else "continuation", "WARC-Record-ID": urn(page_id, number), **common, "WARC-Payload-Digest": f"sha1:{digest}"}
+        headers = {"WARC-Type": "response" if number == 1 else "continuation", "WARC-Record-ID": urn(page_id, again, number), **common, "WARC-Payload-Digest": f"sha1:{digest}"}
         if len(parts) > 1:
             headers["WARC-Segment-Number"] = str(number)
         if number > 1:
-            headers["WARC-Segment-Origin-ID"] = urn(page_id)
+            headers["WARC-Segment-Origin-ID"] = urn(page_id, again)
             if number == len(parts):
                 headers["WARC-Segment-Total-Length"] = str(len(block))
         yield record(headers, part)
@@ -85,9 +86,8 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0, segmen
     """Writes a page (page_id, url, html; others are ignored) as records of archives; returns archive, records.
 
     Pages with equal payloads of at least least_revisit bytes become revisits of the one with the
-    largest page_id. Null html is an empty payload, null url an empty target. A page_id must be
-    given and occur once, as record ids derive from it; a page_id that occurs twice keeps both
-    records, and the reader then reports both. A task writes one archive under its own name and
+    largest page_id. Null html is an empty payload, null url an empty target. Rows with one page_id, or with none,
+    get record ids of their own and stay; with equal payloads those of the largest page_id are all responses. A task writes one archive under its own name and
     renames it, so that a repeated attempt leaves the same archive.
     """
     spark, path = pages.sparkSession, local_path(folder)
@@ -103,7 +103,7 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0, segmen
                 for row in batch.to_pylist():
                     payload = row["html"].encode()
                     origin = row["origin"] if row["origin"] != row["page_id"] else None
-                    for data in page_records(row["page_id"], row["url"], payload, payload_digest(payload), origin, segment_bytes, chunk_bytes):
+                    for data in page_records(row["page_id"], row["again"], row["url"], payload, payload_digest(payload), origin, segment_bytes, chunk_bytes):
                         out.write(data)
                         n += 1
         os.replace(out.name, name)
@@ -111,6 +111,10 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0, segmen
 
     texts = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("key", F.sha2("html", 256))
     marked = texts.join(first_copies(texts, least_revisit), F.col("key") == F.col("copied"), "left").select("page_id", "url", "html", "origin")
+    if texts.groupBy("page_id").count().where("count > 1 OR page_id IS NULL").isEmpty():
+        marked = marked.withColumn("again", F.lit(0))
+    else:
+        marked = marked.withColumn("again", F.row_number().over(Window.partitionBy("page_id").orderBy("html", "url")) - 1)
     return written(marked.mapInArrow(write, "archive string, records long"), "archives")
 
 
@@ -177,14 +181,15 @@ def decoded(whole: DataFrame) -> DataFrame:
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "block", 16_000_000):
+        for batch in batches:
             sizes, digests, problems = [], [], []
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 size = digest = None
                 problem = row["problem"]
                 try:
                     if not problem:
-                        head, _, body = row["block"].partition(b"\r\n\r\n")
+                        head, _, body = b"".join(row["blocks"]).partition(b"\r\n\r\n")
                         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
                         stated = (row["digest"] or "").removeprefix("sha1:")
                         if row["type"] == "revisit":
@@ -204,28 +209,28 @@ def decoded(whole: DataFrame) -> DataFrame:
 
 
 def reassembled(records: DataFrame) -> DataFrame:
-    """Whole blocks: unsegmented records as they are, others joined from their segments.
+    """Records with all their blocks in order: one of unsegmented records, those of the segments of others.
 
     Segments are grouped by the record that they continue and ordered by segment number; numbers must run
     from 1 without gaps, the last must state a total length, and the blocks must have that length.
     Repeated segments, missing ones and wrong lengths give a problem. A group is one page's segments.
     """
-    columns = ("record_id", "type", "uri", "refers_to", "digest", "block", "problem")
-    single = records.where("segment IS NULL AND type IN ('response', 'revisit')").withColumn("problem", F.lit(None).cast("string"))
+    columns = ("record_id", "type", "uri", "refers_to", "digest", "blocks", "problem")
+    single = records.where("segment IS NULL AND type IN ('response', 'revisit')").withColumn("blocks", F.array("block")).withColumn("problem", F.lit(None).cast("string"))
     parts = records.where("segment IS NOT NULL").withColumn("id", F.coalesce("origin", "record_id"))
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     joined = parts.groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total_length").alias("total"), F.max_by("total_length", "segment").alias("last_total"), first("type"), first("uri"), first("digest"),
     )
-    joined = joined.withColumn("block", F.aggregate(F.transform("parts", lambda p: p["block"]), F.lit(b""), lambda a, b: F.concat(a, b)))
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["block"]))
     gaps = F.transform("parts", lambda p: p["segment"]) != F.sequence(F.lit(1).cast("long"), F.size("parts").cast("long"))
-    problem = F.when(gaps, "segments are missing or repeated").when(F.col("last_total").isNull(), "no total length").when(F.octet_length("block") != F.col("last_total"), "total length differs")
-    return single.select(*columns).unionByName(joined.select(F.col("id").alias("record_id"), F.coalesce("type", F.lit("continuation")).alias("type"), "uri", F.lit(None).cast("string").alias("refers_to"), "digest", "block", problem.alias("problem")))
+    problem = F.when(gaps, "segments are missing or repeated").when(F.col("last_total").isNull(), "no total length").when(length != F.col("last_total"), "total length differs")
+    return single.select(*columns).unionByName(joined.select(F.col("id").alias("record_id"), F.coalesce("type", F.lit("continuation")).alias("type"), "uri", F.lit(None).cast("string").alias("refers_to"), "digest", F.transform("parts", lambda p: p["block"]).alias("blocks"), problem.alias("problem")))
 
 
 def read_pages(archives: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and problem of each page in the archives."""
-    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("long")
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)(:again:\d+)?>$", 1).try_cast("long")
     out = decoded(reassembled(read_records(archives)))
     return out.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.when(F.col("refers_to").isNotNull(), page("refers_to")).alias("refers_to"), "problem")
 
