@@ -313,7 +313,7 @@ def j03(t):
     return flags(t).join(latest, ["test", "question"], "left")
 
 
-@query("J04_figure_links", "SELECT o_orderkey, page, score FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, page) AS r FROM (SELECT o_orderkey, page, round(best - 0.1 * abs(page - o_orderkey), 6) AS score FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0) JOIN (SELECT l_orderkey AS page, max(l_discount * 10) AS best FROM lineitem GROUP BY l_orderkey) ON abs(page - o_orderkey) <= 2)) WHERE r <= 3")
+@query("J04_figure_links", "SELECT o_orderkey, page, score FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, page) AS r FROM (SELECT o_orderkey, page, round(best - 0.1 * abs(page - o_orderkey), 6) AS score FROM orders JOIN (SELECT l_orderkey AS page, max(l_discount * 10) AS best FROM lineitem GROUP BY l_orderkey) ON page BETWEEN o_orderkey - 2 AND o_orderkey + 2)) WHERE r <= 3")
 def j04(t):
     """The band of two pages on each side is spread, so the join is on equal pages."""
     best = t("lineitem").groupBy(C("l_orderkey").alias("page")).agg(F.max(C("l_discount") * 10).alias("best"))
@@ -342,7 +342,7 @@ def j05(t):
     return pairs.join(t("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", C("prefix"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("J06_intervals", "SELECT o_orderkey, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM orders JOIN lineitem ON l_orderkey BETWEEN o_orderkey AND o_orderkey + 3 WHERE o_orderkey % 4 = 0 GROUP BY o_orderkey")
+@query("J06_intervals", "SELECT o_orderkey, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM orders JOIN lineitem ON l_orderkey BETWEEN o_orderkey AND o_orderkey + 3 GROUP BY o_orderkey")
 def j06(t):
     spread = t("orders").select("o_orderkey", F.explode(F.sequence(C("o_orderkey"), C("o_orderkey") + 3)).alias("l_orderkey"))
     return spread.join(t("lineitem"), "l_orderkey").groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("parts"))
