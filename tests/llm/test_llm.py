@@ -394,7 +394,7 @@ def test_personal_data_in_very_long_texts(spark):
     for kind, pattern in PATTERNS.items():
         found = frame.select("doc_id", pii.matches(F.col("text"), pii.BASE[kind]).alias("m"))
         for r in found.collect():
-            if kind == "email" and r.doc_id in (1, 2, 5, 11):
+            if kind == "email" and "@" not in long[r.doc_id]:
                 want = []  # Python's re takes quadratic time here
             elif kind == "ip" and r.doc_id == 1:
                 want = []
