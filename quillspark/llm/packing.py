@@ -23,12 +23,12 @@ def token_pieces(docs: DataFrame, capacity: int, unit: int, end_id: int, tokeniz
     `units` is a piece's length in units, rounded up; `part` and `place` number the pieces of
     equal units within the task that made them.
     """
-    bound_batches(docs.sparkSession, 4000)
+    bound_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = shared_encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity // unit + 1, np.int64)
-        for batch in text_slices(batches, "text", 12_000_000):
+        for batch in text_slices(batches, "text", 4_000_000):
             ids, ends = encoder.encode(batch["text"])
             ids = np.insert(ids, ends[1:], end_id).astype("<u4")
             ends = ends + np.arange(len(ends))

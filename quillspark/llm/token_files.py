@@ -36,7 +36,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 0, tokenizer:
     if not docs.where("doc_id IS NULL").isEmpty():
         raise ValueError("a document without doc_id has no place in the order")
     spark, path, tokenizer = docs.sparkSession, local_path(folder), tokenizer or tokenizer_path()
-    bound_batches(spark, 4000)
+    bound_batches(spark)
     os.makedirs(path, exist_ok=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +47,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 0, tokenizer:
         names = {k: f"{path}/{k}-{number:06d}.bin" for k in ("ids", "offsets", "docs")}
         total = documents = 0
         files = {k: open(v + mine, "wb") for k, v in names.items()}
-        for batch in text_slices(batches, "text", 12_000_000):
+        for batch in text_slices(batches, "text", 4_000_000):
             ids, ends = encoder.encode(batch["text"])
             ends = ends + np.arange(len(ends))
             out = np.empty(ends[-1], np.uint32)

@@ -49,7 +49,7 @@ class Encoder:
     apostrophe. Texts are cut there, and each distinct piece is encoded once.
     """
 
-    def __init__(self, path: str, cached: int = 1_200_000):
+    def __init__(self, path: str, cached: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
