@@ -66,15 +66,14 @@ def first_answers(answers: DataFrame, lateness: str = "1 day") -> DataFrame:
 def merge_snapshot(path: str):
     """A foreachBatch function that keeps the latest row of each job in a Parquet folder for each batch.
 
-    The snapshot of batch n is path/n, from path/n-1 and the batch, so a repeated batch gives the same result.
+    The snapshot of batch n is path/n, from path/n-1 and the batch, so a repeated batch gives the same result. A late row
+    does not replace a newer one of an earlier batch.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest = batch.withColumn("r", F.row_number().over(Window.partitionBy("job").orderBy(F.desc("ts"), F.desc("event_id")))).where("r = 1").drop("r")
-        if number:
-            old = spark.read.parquet(f"{path}/{number - 1}")
-            latest = old.join(latest, "job", "left_anti").unionByName(latest)
+        rows = spark.read.parquet(f"{path}/{number - 1}").unionByName(batch) if number else batch
+        latest = rows.withColumn("r", F.row_number().over(Window.partitionBy("job").orderBy(F.desc("ts"), F.desc("event_id")))).where("r = 1").drop("r")
         latest.write.mode("overwrite").parquet(f"{path}/{number}")
 
     return merge

@@ -150,6 +150,13 @@ def test_snapshot_keeps_the_latest(spark, tmp_path):
     assert [(r.job, r.event_id) for r in spark.read.parquet(str(tmp_path / "snap/1")).collect()] == [(1, 5)]
 
 
+def test_snapshot_is_not_replaced_by_a_late_row(spark, tmp_path):
+    merge = jobs.merge_snapshot(str(tmp_path / "snap"))
+    merge(events(spark).where("event_id >= 3"), 0)
+    merge(events(spark).where("event_id < 3"), 1)
+    assert [(r.job, r.event_id) for r in spark.read.parquet(str(tmp_path / "snap/1")).collect()] == [(1, 5)]
+
+
 def test_stalls_once_each(spark, tmp_path):
     got = replay(spark, tmp_path, jobs.stalls, "append")
     assert sorted((r.chunk, r.since.second) for r in got) == [(10, 10), (11, 12)]
