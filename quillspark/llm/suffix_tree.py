@@ -1,29 +1,39 @@
-"""Language-model scoring with a probabilistic suffix tree over the characters of words, beside a unigram base.
+"""Language-model scoring with a probabilistic suffix tree over words, beside a unigram base.
 
-A token's probability is the mean, with weights `mix` and 1 - mix, of the unigram's and the tree's: the tree spells a
-token from its start to a space, or to the end. Both are distributions over tokens, and so is the mean.
+A node of the tree is a context: the last words before a token, up to `depth` of them, and the start of the document. The tree
+is never held in one place. Documents are cut into slices of bounded size; a slice sends the hashed events and contexts that stand in
+it, in sorted arrays, to the range of hashes that counts them, and gets back the totals over the whole corpus for exactly these. So what
+is gathered grows with the corpus, a hot event takes one place a slice, and nothing is broadcast.
+
+What a context needs is a sum over its occurrences, so the same exchange serves all of it: its count; the number of its
+distinct next tokens, as each occurrence of an event adds 1 / count; and its divergence from its suffix, as each
+occurrence adds the log of the ratio of the two empirical probabilities.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import bound_batches, ragged, text_slices, written
-from quillspark.llm.words import code_points, numbered, owners, word_hashes, words_of
+from quillspark.llm.shared import bound_batches, free_shuffles, text_slices, written
+from quillspark.llm.words import mixed, numbered, owners, word_hashes, words_of
 
-#: Symbols: 0 the end, 1 a space (it ends words and stands before them), 2 to SYMBOLS - 2 the most frequent other characters, SYMBOLS - 1 any other.
-SYMBOLS, DEPTH = 48, 6
-#: What an unlisted character costs besides its symbol: all code points are as likely.
-OTHER = np.log10(1 / 0x110000)
-#: Words with counts in every task; the others are joined.
-COMMON = 100_000
+#: Bytes of text in a slice, and tokens for which there is a range of hashes.
+SLICE, TOKENS_A_RANGE = 6_000_000, 2_000_000
+#: Sums travel as whole numbers of 1e-6, which add up alike in any order.
+UNIT = 1e6
+SENT = "range long, slice long, keys binary, a binary, b binary"
+TOTALS = "slice long, trip int, range long, a binary, b binary, words long"
+PACKED = "slice long, n_tokens long, n_trained long, doc_ids array<bigint>, ends binary, hashes binary, which binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def held_out(doc_id: pa.Array, modulus: int = 7, remainder: int = 2) -> np.ndarray:
@@ -34,218 +44,218 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def count_characters(docs: DataFrame) -> DataFrame:
-    """(point, n): how often each code point stands in the training words."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(0x110000, np.int64)
-        for batch in text_slices(batches, "text"):
-            points, _ = code_points(pc.ascii_lower(batch["text"].filter(pa.array(~held_out(batch["doc_id"])))))
-            sums += np.bincount(points, minlength=len(sums))
-        found = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_pydict({"point": found, "n": sums[found]})
-
-    return texts_of(docs).mapInArrow(count, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-
-
-def symbol_table(points: list[int]) -> np.ndarray:
-    table = np.full(0x110000, SYMBOLS - 1, np.uint8)
-    table[points] = np.arange(2, 2 + len(points))
-    table[[9, 10, 11, 12, 13, 32]] = 1
-    return table
-
-
-def symbol_stream(words: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the words and then of the end token: DEPTH spaces before each, a space after a word, 0 for the end.
+def packed(x: np.ndarray) -> bytes:
+    """x with the equal bytes of its numbers side by side, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
 
-    Also the place of each token's first symbol, and its number of symbols.
-    """
-    points, ends = code_points(words)
-    ends = np.append(ends, ends[-1])
-    n = len(ends) - 1
-    lengths = np.diff(ends)
-    starts = ends[:-1] + np.arange(n) * (DEPTH + 1) + DEPTH
-    stream = np.ones(len(points) + n * (DEPTH + 1), np.uint8)
-    stream[np.repeat(starts - ends[:-1], lengths) + np.arange(len(points))] = table[points]
-    stream[-1] = 0
-    return stream, starts, lengths + 1
-
-
-def count_contexts(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(code, n): the training tokens' symbols with the DEPTH symbols before them; newer symbols are lower digits."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", 24_000_000):
-            use = ~held_out(batch["doc_id"])
-            _, words = words_of(batch["text"].filter(pa.array(use)), lower=True)
-            which, distinct = numbered(words)
-            times = np.append(np.bincount(which, minlength=len(distinct)), use.sum())
-            stream, starts, lengths = symbol_stream(distinct, table)
-            at = ragged(starts, lengths)
-            code = np.zeros(len(at), np.int64)
-            for back in range(DEPTH, -1, -1):
-                code = code * SYMBOLS + stream[at - back]
-            found, inverse = np.unique(code, return_inverse=True)
-            yield pa.RecordBatch.from_pydict({"code": found, "n": np.bincount(inverse, np.repeat(times, lengths)).astype(np.int64)})
 
-    return texts_of(docs).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where("n > 0")
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1).T.tobytes(), kind)
 
 
-class SuffixTree:
-    """Contexts of up to DEPTH symbols, as nodes of a tree that grows backwards in time.
-
-    A context is a candidate if at least `share` of all symbols follow it, so there are at most 1 / share of
-    each length, whatever the corpus. It is retained if its next-symbol distribution diverges from that of its
-    longest proper suffix by at least `gain` nats in all (count times Kullback-Leibler divergence), or if a
-    longer retained context needs it. Distributions are smoothed towards that of the suffix, with `weight` counts.
-    """
+def slices(docs: DataFrame) -> DataFrame:
+    """Tokens of the documents as PACKED rows: distinct word hashes, and which of them each token is; the last is the end, 0."""
 
-    def __init__(self, spread: pa.Table, share: float, gain: float, weight: float):
-        """spread: length, context, symbol, n of the candidates; a context's code has its newest symbol lowest."""
-        length, context, symbol, n = (spread[c].to_numpy() for c in ("length", "context", "symbol", "n"))
-        self.next = np.full((1, SYMBOLS), -1, np.int32)
-        counts = np.bincount(symbol[length == 0], n[length == 0], SYMBOLS)
-        rows = [(counts + 1) / (counts.sum() + SYMBOLS)]
-        keys, nodes = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        gains, parents, digits = [np.inf], [-1], [-1]
-        levels = [(keys, nodes)]
-        for d in range(1, DEPTH + 1):
-            use = length == d
-            keys, inverse = np.unique(context[use], return_inverse=True)
-            if not len(keys):
-                break
-            table = np.bincount(inverse * SYMBOLS + symbol[use], n[use], len(keys) * SYMBOLS).reshape(-1, SYMBOLS)
-            suffix, digit = keys % SYMBOLS ** (d - 1), keys // SYMBOLS ** (d - 1)
-            parent = levels[-1][1][np.searchsorted(levels[-1][0], suffix)]
-            above = np.stack([rows[p] for p in parent])
-            total = table.sum(1, keepdims=True)
-            own = table / total
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gains += np.where(table > 0, table * np.log(own / above), 0).sum(1).tolist()
-            levels.append((keys, np.arange(len(rows), len(rows) + len(keys))))
-            rows += list((table + weight * above) / (total + weight))
-            parents += parent.tolist()
-            digits += digit.tolist()
-        retained = np.array(gains) >= gain
-        for k in range(len(rows) - 1, 0, -1):
-            if retained[k]:
-                retained[parents[k]] = True
-        number = np.cumsum(retained) - 1
-        self.next = np.full((int(retained.sum()), SYMBOLS), -1, np.int32)
-        self.log10 = np.zeros((int(retained.sum()), SYMBOLS))
-        for k in np.flatnonzero(retained):
-            self.log10[number[k]] = np.log10(rows[k])
-            if k:
-                self.next[number[parents[k]], digits[k]] = number[k]
-        self.log10[:, SYMBOLS - 1] += OTHER
-
-    def score(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each symbol at `at`, from the longest retained suffix of what is before it."""
-        node = np.zeros(len(at), np.int32)
-        alive = np.arange(len(at))
-        for back in range(1, DEPTH + 1):
-            to = self.next[node[alive], stream[at[alive] - back]]
-            alive = alive[to >= 0]
-            node[alive] = to[to >= 0]
-        return self.log10[node, stream[at]]
-
-
-def grow(counts: DataFrame, share: float, gain: float, weight: float) -> SuffixTree:
-    """Sums the counted contexts to all shorter ones and collects the candidates, at most 1 / share of each length."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    split = counts.select(F.floor(F.col("code") / SYMBOLS).alias("context"), (F.col("code") % SYMBOLS).alias("symbol"), "n")
-    parts = []
-    for d in range(DEPTH + 1):
-        at = split.groupBy((F.col("context") % SYMBOLS**d).alias("context"), "symbol").agg(F.sum("n").alias("n"))
-        frequent = at.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= share * total)
-        parts.append(at.join(frequent, "context").select(F.lit(d).alias("length"), "context", "symbol", "n"))
-    spread = parts[0]
-    for p in parts[1:]:
-        spread = spread.unionByName(p)
-    return SuffixTree(spread.toArrow(), share, gain, weight)
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n): counts of hashed words in the training documents; the end counts as word 0."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", 24_000_000):
-            use = ~held_out(batch["doc_id"])
-            _, words = words_of(batch["text"].filter(pa.array(use)), lower=True)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(text_slices(batches, "text", SLICE)):
+            ends, words = words_of(batch["text"], lower=True)
             which, distinct = numbered(words)
-            n = np.bincount(which, minlength=len(distinct))
-            yield pa.RecordBatch.from_pydict({"word": np.append(word_hashes(distinct).view(np.int64), 0), "n": np.append(n, use.sum())})
-
-    return texts_of(docs).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
-
-
-def scores(docs: DataFrame, share: float = 1e-5, gain: float = 15.0, weight: float = 2.0, mix: float = 0.8) -> DataFrame:
-    """Per row of docs (doc_id, text; others are ignored): held_out, n_tokens, n_known, train_tokens, base_score, score.
+            # An end after each text.
+            which = np.insert(which, ends[1:], len(distinct)).astype(np.int32)
+            ends = ends + np.arange(len(ends))
+            trained = int(np.diff(ends)[~held_out(batch["doc_id"])].sum())
+            hashes = np.append(word_hashes(distinct), np.uint64(0))
+            row = {"slice": [first + k], "n_tokens": [len(which)], "n_trained": [trained], "doc_ids": pa.array([batch["doc_id"].to_pylist()], pa.list_(pa.int64())), "ends": [packed(ends)], "hashes": [packed(hashes)], "which": [packed(which)]}
+            yield pa.RecordBatch.from_pydict(row)
+
+    return texts_of(docs).mapInArrow(cut, PACKED)
+
+
+class Slice:
+    """The tokens of a slice, and what is known of their events and contexts after each exchange."""
+
+    def __init__(self, row: dict, depth: int):
+        self.doc_ids = pa.array(row["doc_ids"], pa.int64())
+        ends, hashes, self.which = unpacked(row["ends"], np.int64), unpacked(row["hashes"], np.uint64), unpacked(row["which"], np.int32)
+        self.doc, self.depth = owners(ends), depth
+        self.held = held_out(self.doc_ids)
+        self.train = ~self.held[self.doc]
+        self.place = np.arange(len(self.which)) - ends[:-1][self.doc]
+        #: Keys of tokens are even, all others odd, so that ranges can count the tokens.
+        self.word_keys = mixed(hashes + np.uint64(0x632BE59BD9B4E019)) & ~np.uint64(1)
+        self.event = [self.word_keys[self.which]]
+        for _ in range(depth):
+            self.event.append(mixed(self.before(self.event[-1]) * np.uint64(0x9E3779B97F4A7C15) + self.event[0]) | np.uint64(1))
+        self.n: list[np.ndarray] = []
+        self.sums: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def before(self, values: np.ndarray) -> np.ndarray:
+        """The values of the token before each; at the start of a text that of the end, as no text goes on after its end."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        at = self.place == 0
+        out[at] = values[np.cumsum(np.bincount(self.doc))[self.doc[at]] - 1]
+        return out
+
+    def reachable(self, d: int) -> np.ndarray:
+        """Tokens with a context of d places, the start of the text among them, that occurs twice in training."""
+        return (self.place >= d - 1) & (self.before(self.n[d - 1]) >= 2)
+
+    def asked(self, trip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys (with repeats), and their two addends, of exchange `trip`.
+
+        0: counts of tokens and of their events after one. trip >= 1: divergence and distinct next tokens of the contexts of
+        `trip` places, and counts of events after one place more, where these can matter.
+        """
+        if trip == 0:
+            times = np.bincount(self.which, self.train, len(self.word_keys)).astype(np.int64)
+            longer = self.event[1] if self.depth else np.zeros(0, np.uint64)
+            keys, a = np.concatenate([self.word_keys, longer]), np.concatenate([times, self.train[: len(longer)]])
+            return keys, a.astype(float), np.zeros(len(keys))
+        use = self.reachable(trip)
+        t = use & self.train
+        n, of = self.n[trip], self.before(self.n[trip - 1])
+        # The suffix of a context of one place is the root, which has seen all tokens.
+        suffix = self.total if trip == 1 else self.before(self.n[trip - 2])
+        gain, one = np.zeros(len(n)), np.zeros(len(n))
+        gain[t] = np.log(n[t] / of[t] * (suffix if trip == 1 else suffix[t]) / self.n[trip - 1][t]) * UNIT
+        one[t] = UNIT / n[t]
+        keys, a, b = self.before(self.event[trip - 1])[use], gain[use], one[use]
+        if trip < self.depth:
+            more = self.open(trip + 1)
+            keys, a, b = np.concatenate([keys, mixed(self.event[trip + 1][more]) | np.uint64(1)]), np.concatenate([a, self.train[more]]), np.concatenate([b, np.zeros(more.sum())])
+        return keys, a, b
+
+    def open(self, d: int) -> np.ndarray:
+        """Tokens whose event after d places has to be asked for: one that never occurs after d - 1 places doesn't after d."""
+        return self.reachable(d) & (self.n[d - 1] >= 1)
+
+    def learn(self, trip: int, a: np.ndarray, b: np.ndarray, total: int) -> None:
+        """Takes the totals of exchange `trip`, in the order of its distinct keys."""
+        self.total = total
+        back = np.unique(self.asked(trip)[0], return_inverse=True)[1]
+        a, b = a[back], b[back]
+        if trip == 0:
+            self.n.append(a[: len(self.word_keys)][self.which])
+            if self.depth:
+                self.n.append(a[len(self.word_keys) :])
+            return
+        use = self.reachable(trip)
+        size = int(use.sum())
+        gain, one = np.zeros(len(use)), np.zeros(len(use))
+        gain[use], one[use] = a[:size] / UNIT, b[:size] / UNIT
+        self.sums.append((gain, one))
+        if trip < self.depth:
+            n = np.zeros(len(use), np.int64)
+            n[self.open(trip + 1)] = a[size:]
+            self.n.append(n)
+
+    def scores(self, distinct: int, cost: float, discount: float) -> dict[str, object]:
+        base = (self.n[0] + 1) / (self.total + distinct + 1)
+        p, kept = base.copy(), np.ones(len(base), bool)
+        for d in range(1, self.depth + 1):
+            gain, one = self.sums[d - 1]
+            kept = kept & self.reachable(d) & (gain >= cost * one)
+            of = self.before(self.n[d - 1])[kept]
+            p[kept] = np.maximum(self.n[d][kept] - discount, 0) / of + discount * one[kept] / of * p[kept]
+        rows = len(self.doc_ids)
+        each = lambda x: np.bincount(self.doc, x, rows)
+        return {"doc_id": self.doc_ids, "held_out": self.held, "n_tokens": np.bincount(self.doc, minlength=rows), "n_known": each(self.n[0] > 0).astype(np.int64), "base_score": each(np.log10(base)), "score": each(np.log10(p))}
+
+
+def ask(part: Slice, number: int, trip: int, ranges: int) -> pa.Table:
+    """The distinct keys of an exchange and the sums of their addends, a row for each range of keys (SENT)."""
+    keys, a, b = part.asked(trip)
+    found, back = np.unique(keys, return_inverse=True)
+    a, b = (np.rint(np.bincount(back, x, len(found))).astype(np.int64) for x in (a, b))
+    bounds = [(r << 64) // ranges for r in range(ranges)]
+    cuts = np.append(np.searchsorted(found, np.array(bounds, np.uint64)), len(found))
+    full = np.flatnonzero(np.diff(cuts))
+    step = lambda k: packed(np.diff(found[cuts[k] : cuts[k + 1]], prepend=np.uint64(0)))
+    piece = lambda x, k: packed(x[cuts[k] : cuts[k + 1]])
+    return pa.table({"range": full, "slice": np.full(len(full), number), "keys": pa.array([step(k) for k in full], pa.binary()), "a": pa.array([piece(a, k) for k in full], pa.binary()), "b": pa.array([piece(b, k) for k in full], pa.binary())})
+
+
+def summed(trip: int) -> Callable[[pa.Table], pa.Table]:
+    """For a range of keys: the totals over all slices, given back to each slice; words: how many tokens of the range occur in training."""
+
+    def total(sent: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in sent["keys"].to_pylist()]
+        found, back = np.unique(np.concatenate(keys), return_inverse=True)
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        out, words = {}, np.zeros(len(keys), np.int64)
+        for c in ("a", "b"):
+            each = np.concatenate([unpacked(x, np.int64) for x in sent[c].to_pylist()])
+            sums = np.zeros(len(found), np.int64)
+            np.add.at(sums, back, each)
+            out[c] = pa.array([packed(x) for x in np.split(sums[back], cuts)], pa.binary())
+            if c == "a" and trip == 0:
+                words[0] = ((found & np.uint64(1) == 0) & (sums > 0)).sum()
+        return pa.table({"slice": sent["slice"], "trip": pa.array([trip] * len(keys), pa.int32()), "range": sent["range"], **out, "words": words})
+
+    return total
+
+
+def scores(docs: DataFrame, depth: int = 2, cost: float = 1.0, discount: float = 0.75) -> DataFrame:
+    """Per row of docs (doc_id, text; others are ignored): held_out, n_tokens, n_known, train_tokens, base_score, score, score_per_token.
 
     Tokens are words, lower-cased in A-Z, and one end. Learnt from documents that aren't held out. base_score: the
-    unigram with one added; score: log10 of the mixed probability (see above). Null and empty texts have the end alone. Rows with equal
-    doc_ids are scored each. No documents: no rows; no training documents: uniform distributions.
+    unigram with one added. score: log10 of the text's probability under the tree. A context of 1 to `depth` places, the start of the text
+    being one, is retained if its suffix is, if it occurs twice or more, and if its empirical distribution diverges from its suffix's by `cost` nats
+    or more (count times Kullback-Leibler divergence) for each distinct next token that it would store. A token is scored in the
+    longest retained suffix of what is before it: distributions are smoothed by absolute discounting towards that of the suffix, the root by the base.
+    Null and empty texts have the end alone. Rows with equal doc_ids are scored each. No documents: no rows; no training
+    documents: uniform distributions. A text is never cut, so one far longer than SLICE makes a slice of its own.
     """
     bound_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    keyed = texts_of(docs).withColumn("row", F.xxhash64("doc_id", "text"))
-    common = count_characters(docs).where(~F.col("point").isin(9, 10, 11, 12, 13, 32)).orderBy(F.desc("n"), "point").limit(SYMBOLS - 3).collect()
-    table = symbol_table([r.point for r in common])
-    tree = spark.sparkContext.broadcast((table, grow(written(count_contexts(docs, table), "contexts"), share, gain, weight)))
-    known = written(count_words(docs), "word-counts")
-    totals = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = known.orderBy(F.desc("n"), "word").limit(COMMON).toArrow().sort_by("word")
-    often = spark.sparkContext.broadcast((top["word"].to_numpy(), top["n"].to_numpy()))
-    of = totals.n + totals.v + 1
-    mixed_value = lambda c, spelled: np.log10(mix * (c + 1) / of + (1 - mix) * 10.0**spelled)
-
-    def judged(texts: pa.Array) -> tuple:
-        """Offsets, word numbers, and for each distinct word and the end: hash, log10 of its spelling, place among the common words or -1."""
-        table, model = tree.value
-        words = often.value[0]
-        ends, all_words = words_of(texts, lower=True)
-        which, distinct = numbered(all_words)
-        stream, starts, lengths = symbol_stream(distinct, table)
-        spelled = np.add.reduceat(model.score(stream, ragged(starts, lengths)), np.cumsum(lengths) - lengths)
-        hashes = np.append(word_hashes(distinct).view(np.int64), 0)
-        at = np.minimum(np.searchsorted(words, hashes), max(0, len(words) - 1))
-        return ends, which, hashes, spelled, np.where(words[at] == hashes, at, -1) if len(words) else np.full(len(hashes), -1)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What needs no join: the common words and the end."""
-        counts = np.append(often.value[1], 0)
-        for batch in text_slices(batches, "text", 12_000_000):
-            ends, which, _, spelled, at = judged(batch["text"])
-            hit, c, doc = at >= 0, counts[at], owners(ends)
-            use = hit.copy()
-            use[-1] = True
-            base, value = np.where(use, np.log10((c + 1) / of), 0), np.where(use, mixed_value(c, spelled), 0)
-            total = lambda x: np.bincount(doc, x[which], batch.num_rows) + x[-1]  # noqa: E731, B023
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "row": batch["row"], "held_out": held_out(batch["doc_id"]), "n_tokens": np.diff(ends) + 1, "near_known": total(hit.astype(float)).astype(np.int64), "near_base": total(base), "near_score": total(value)})
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other words of each row: row, word, times, spelled."""
-        for batch in text_slices(batches, "text", 12_000_000):
-            ends, which, hashes, spelled, at = judged(batch["text"])
-            other = at[which] < 0
-            pairs, times = np.unique(owners(ends)[other] * len(hashes) + which[other], return_counts=True)
-            word = pairs % len(hashes)
-            yield pa.RecordBatch.from_arrays([batch["row"].take(pa.array(pairs // len(hashes))), pa.array(hashes[word]), pa.array(times, pa.int32()), pa.array(spelled[word], pa.float32())], names=["row", "word", "times", "spelled"])
-
-    mapped = written(keyed.mapInArrow(near, "doc_id long, row long, held_out boolean, n_tokens long, near_known long, near_base double, near_score double"), "near-scores")
-    joined = keyed.mapInArrow(rare, "row long, word long, times int, spelled float").join(known, "word", "left")
-    # Whole numbers of 1e-9 sum up alike in any order.
-    share_of = (F.coalesce("n", F.lit(0)) + 1) / F.lit(float(of))
-    fixed = lambda p: F.round(F.log10(p) * 1e9).cast("long") * F.col("times")
-    spelled_p = F.pow(F.lit(10.0), F.col("spelled").cast("double"))
-    copies = mapped.groupBy("row").agg(F.count("*").alias("copies"))
-    far = joined.groupBy(F.col("row").alias("of")).agg(F.sum(fixed(share_of)).alias("far_base"), F.sum(fixed(mix * share_of + (1 - mix) * spelled_p)).alias("far_score"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("far_known"))
-    # Equal rows have summed up in `far`; each gets its part.
-    part = lambda c: (F.col(c) / F.coalesce("copies", F.lit(1))).alias(c)
-    far = far.join(copies.where("copies > 1"), F.col("of") == F.col("row"), "left").select("of", part("far_base"), part("far_score"), part("far_known"))
-    out = mapped.join(far, F.col("row") == F.col("of"), "left")
-    plus = lambda near_column, far_column: F.col(near_column) + F.coalesce(far_column, F.lit(0)) / 1e9
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("near_known") + F.coalesce("far_known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(totals.n)).cast("long").alias("train_tokens"), plus("near_base", "far_base").alias("base_score"), plus("near_score", "far_score").alias("score"))
+    parts = written(slices(docs), "slices")
+    sizes = parts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_trained"), F.lit(0)).alias("trained")).first()
+    ranges, trained = max(1, -(-sizes.n // TOKENS_A_RANGE)), int(sizes.trained)
+    empty = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
+    own = parts.select("slice", F.lit(-1).alias("trip"), F.lit(0).cast("long").alias("range"), *empty("a", "b"), "doc_ids", "ends", "hashes", "which")
+
+    def known(rows: pa.Table, made: int) -> tuple[int, Slice]:
+        """A slice with the totals of the `made` exchanges so far; it may have asked nothing in one."""
+        order = rows.select(["trip", "range"]).to_pandas().sort_values(["trip", "range"], kind="stable").index.to_numpy()
+        rows = rows.take(pa.array(order))
+        first = rows.slice(0, 1).to_pylist()[0]
+        part, trips = Slice(first, depth), rows["trip"].to_numpy()
+        for t in range(made):
+            of = rows.filter(pa.array(trips == t))
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(unpacked(x, np.int64) for x in of[c].to_pylist())]) for c in ("a", "b"))
+            part.learn(t, a, b, trained)
+        return first["slice"], part
+
+    def with_totals(totals: list[DataFrame]) -> DataFrame:
+        back = [t.select("slice", "trip", "range", "a", "b", F.lit(None).cast("array<bigint>").alias("doc_ids"), *empty("ends", "hashes", "which")) for t in totals]
+        return reduce(DataFrame.unionByName, back, own)
+
+    def send_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from ask(Slice(row, depth), row["slice"], 0, ranges).to_batches()
+
+    def send(trip: int) -> Callable[[pa.Table], pa.Table]:
+        def asks(rows: pa.Table) -> pa.Table:
+            number, part = known(rows, trip)
+            return ask(part, number, trip, ranges)
+
+        return asks
+
+    totals: list[DataFrame] = []
+    for trip in range(depth + 1):
+        sent = with_totals(totals).groupBy("slice").applyInArrow(send(trip), SENT) if trip else parts.mapInArrow(send_first, SENT)
+        totals.append(written(sent.groupBy("range").applyInArrow(summed(trip), TOTALS), f"totals-{trip}"))
+        free_shuffles(docs.sparkSession)
+    distinct = totals[0].agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
+
+    def score(rows: pa.Table) -> pa.Table:
+        return pa.table(known(rows, depth + 1)[1].scores(distinct, cost, discount))
+
+    out = with_totals(totals).groupBy("slice").applyInArrow(score, SCORES)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trained).cast("long").alias("train_tokens"), "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("score_per_token"))
 
 
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

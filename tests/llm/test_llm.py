@@ -266,6 +266,63 @@ def test_suffix_tree_base_scores(docs, none, texts):
     assert suffix_tree.scores(none).count() == 0
 
 
+def tree_by_hand(rows, held, depth, cost, discount):
+    """Scores from plain counters: context, as a tuple of words before a token, to the counts of its next tokens."""
+    tree = collections.defaultdict(collections.Counter)
+    for k, x in rows.items():
+        for i, w in enumerate(x):
+            for d in range(min(depth, i + 1) + 1):
+                tree[("", *x)[i + 1 - d : i + 1]][w] += not held[k]
+    tree = {c: +n for c, n in tree.items()}
+    root, total = tree[()], sum(tree[()].values())
+
+    def kept(c):
+        if not c:
+            return True
+        own, of, less = tree.get(c, {}), sum(tree.get(c, {}).values()), tree.get(c[1:], {})
+        gain = sum(n * math.log(n / of * sum(less.values()) / less[w]) for w, n in own.items())
+        return of >= 2 and kept(c[1:]) and gain >= cost * len(own) - 1e-5
+
+    def probability(c, w):
+        if not c:
+            return (root[w] + 1) / (total + len(root) + 1)
+        own, of = tree[c], sum(tree[c].values())
+        return max(own[w] - discount, 0) / of + discount * len(own) / of * probability(c[1:], w)
+
+    out = {}
+    for k, x in rows.items():
+        before = ("", *x)
+        longest = lambda i: next(before[i + 1 - d : i + 1] for d in range(min(depth, i + 1), -1, -1) if kept(before[i + 1 - d : i + 1]))  # noqa: E731, B023
+        out[k] = sum(math.log10(probability(longest(i), w)) for i, w in enumerate(x))
+    return out
+
+
+@pytest.mark.parametrize(("depth", "cost", "cut"), [(2, 1.0, 6_000_000), (3, 2.5, 900), (0, 1.0, 900)])
+def test_suffix_tree_equals_counting_by_hand(spark, texts, depth, cost, cut, monkeypatch):
+    r = random.Random(5)
+    made = [*texts, *(" ".join(r.choice(["a b c", "a b d", "e", "f g", "b c"]) for _ in range(r.randint(1, 40))) for _ in range(60))]
+    made += made[20:24] + [texts[9]]
+    rows = {k: [*WORD.findall(lower(t)), None] for k, t in enumerate(made)}
+    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in rows}
+    want = tree_by_hand(rows, held, depth, cost, 0.75)
+    monkeypatch.setattr(suffix_tree, "SLICE", cut)
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").withColumn("slice", F.lit("clash")).repartition(3)
+    monkeypatch.setattr(suffix_tree, "TOKENS_A_RANGE", 700)
+    got = {x.doc_id: x for x in suffix_tree.scores(frame, depth, cost).collect()}
+    assert set(got) == set(want)
+    for k, x in got.items():
+        assert abs(x.score - want[k]) < 1e-5 * max(1, abs(want[k])), k
+        assert abs(x.score_per_token * x.n_tokens - x.score) < 1e-6
+
+
+def test_suffix_tree_without_training_and_without_ids(spark):
+    lone = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
+    got = suffix_tree.scores(spark.createDataFrame([(lone, "a b"), (lone, None)], "doc_id long, text string")).collect()
+    assert sorted((x.n_tokens, x.n_known, x.train_tokens, x.score) for x in got) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
+    nulls = suffix_tree.scores(spark.createDataFrame([(None, "a b"), (None, "a b"), (None, "")], "doc_id long, text string")).collect()
+    assert sorted(x.n_tokens for x in nulls) == [1, 3, 3] and all(x.score < 0 for x in nulls)
+
+
 def test_lines(spark, none):
     a, b = " ".join(words(20, 60)), " ".join(words(20, 61))
     less, swapped = " ".join(a.split()[1:]), " ".join(["other", *a.split()[1:]])
