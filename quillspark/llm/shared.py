@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -53,8 +54,10 @@ def release(spark: SparkSession) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs now: it does so when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first pass lets go of may hold more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:

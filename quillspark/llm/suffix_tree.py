@@ -5,9 +5,8 @@ is never held in one place. Documents are cut into slices of bounded size; a sli
 it, in sorted arrays, to the range of hashes that counts them, and gets back the totals over the whole corpus for exactly these. So what
 is gathered grows with the corpus, a hot event takes one place a slice, and nothing is broadcast.
 
-What a context needs is a sum over its occurrences, so the same exchange serves all of it: its count; the number of its
-distinct next tokens, as each occurrence of an event adds 1 / count; and its divergence from its suffix, as each
-occurrence adds the log of the ratio of the two empirical probabilities.
+The same exchange serves all that a context needs. Each event belongs to one of the slices that hold it in training; this one adds, for
+the event's context, 1 to the distinct next tokens and the event's term to the divergence from the suffix.
 """
 
 from __future__ import annotations
@@ -28,10 +27,10 @@ from quillspark.llm.words import mixed, numbered, owners, word_hashes, words_of
 
 #: Bytes of text in a slice, and tokens for which there is a range of hashes.
 SLICE, TOKENS_A_RANGE = 6_000_000, 2_000_000
-#: Sums travel as whole numbers of 1e-6, which add up alike in any order.
-UNIT = 1e6
+#: Divergences travel as whole numbers of 1e-4 nats, which add up alike in any order.
+UNIT = 1e4
 SENT = "range long, slice long, keys binary, a binary, b binary"
-TOTALS = "slice long, trip int, range long, a binary, b binary, words long"
+TOTALS = "slice long, trip int, range long, a binary, b binary, owned binary, words long"
 PACKED = "slice long, n_tokens long, n_trained long, doc_ids array<bigint>, ends binary, hashes binary, which binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -55,18 +54,22 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
 
 
 def slices(docs: DataFrame) -> DataFrame:
-    """Tokens of the documents as PACKED rows: distinct word hashes, and which of them each token is; the last is the end, 0."""
+    """Tokens of the documents as PACKED rows: distinct word hashes, and which of them each token is; the end's is 0."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for k, batch in enumerate(text_slices(batches, "text", SLICE)):
             ends, words = words_of(batch["text"], lower=True)
             which, distinct = numbered(words)
-            # An end after each text.
-            which = np.insert(which, ends[1:], len(distinct)).astype(np.int32)
+            # An end after each text. The most frequent have the least numbers, which compress best.
+            which = np.insert(which, ends[1:], len(distinct))
             ends = ends + np.arange(len(ends))
+            ranked = np.argsort(-np.bincount(which, minlength=len(distinct) + 1), kind="stable")
+            rank = np.empty(len(ranked), np.int32)
+            rank[ranked] = np.arange(len(ranked))
+            which = rank[which]
             trained = int(np.diff(ends)[~held_out(batch["doc_id"])].sum())
-            hashes = np.append(word_hashes(distinct), np.uint64(0))
+            hashes = np.append(word_hashes(distinct), np.uint64(0))[ranked]
             row = {"slice": [first + k], "n_tokens": [len(which)], "n_trained": [trained], "doc_ids": pa.array([batch["doc_id"].to_pylist()], pa.list_(pa.int64())), "ends": [packed(ends)], "hashes": [packed(hashes)], "which": [packed(which)]}
             yield pa.RecordBatch.from_pydict(row)
 
@@ -89,6 +92,8 @@ class Slice:
         for _ in range(depth):
             self.event.append(mixed(self.before(self.event[-1]) * np.uint64(0x9E3779B97F4A7C15) + self.event[0]) | np.uint64(1))
         self.n: list[np.ndarray] = []
+        #: For each length, one token of each event that belongs to this slice.
+        self.owned: list[np.ndarray] = []
         self.sums: list[tuple[np.ndarray, np.ndarray]] = []
 
     def before(self, values: np.ndarray) -> np.ndarray:
@@ -115,13 +120,13 @@ class Slice:
             keys, a = np.concatenate([self.word_keys, longer]), np.concatenate([times, self.train[: len(longer)]])
             return keys, a.astype(float), np.zeros(len(keys))
         use = self.reachable(trip)
-        t = use & self.train
+        t = use & self.owned[trip]
         n, of = self.n[trip], self.before(self.n[trip - 1])
         # The suffix of a context of one place is the root, which has seen all tokens.
         suffix = self.total if trip == 1 else self.before(self.n[trip - 2])
         gain, one = np.zeros(len(n)), np.zeros(len(n))
-        gain[t] = np.log(n[t] / of[t] * (suffix if trip == 1 else suffix[t]) / self.n[trip - 1][t]) * UNIT
-        one[t] = UNIT / n[t]
+        gain[t] = n[t] * np.log(n[t] / of[t] * (suffix if trip == 1 else suffix[t]) / self.n[trip - 1][t]) * UNIT
+        one[t] = 1
         keys, a, b = self.before(self.event[trip - 1])[use], gain[use], one[use]
         if trip < self.depth:
             more = self.open(trip + 1)
@@ -132,25 +137,31 @@ class Slice:
         """Tokens whose event after d places has to be asked for: one that never occurs after d - 1 places doesn't after d."""
         return self.reachable(d) & (self.n[d - 1] >= 1)
 
-    def learn(self, trip: int, a: np.ndarray, b: np.ndarray, total: int) -> None:
+    def learn(self, trip: int, a: np.ndarray, b: np.ndarray, owned: np.ndarray, total: int) -> None:
         """Takes the totals of exchange `trip`, in the order of its distinct keys."""
         self.total = total
-        back = np.unique(self.asked(trip)[0], return_inverse=True)[1]
+        _, first, back = np.unique(self.asked(trip)[0], return_index=True, return_inverse=True)
+        mine = np.zeros(len(back), bool)
+        mine[first[owned]] = True
         a, b = a[back], b[back]
         if trip == 0:
-            self.n.append(a[: len(self.word_keys)][self.which])
+            words = len(self.word_keys)
+            self.n.append(a[:words][self.which])
+            self.owned.append(np.zeros(0, bool))
             if self.depth:
-                self.n.append(a[len(self.word_keys) :])
+                self.n.append(a[words:])
+                self.owned.append(mine[words:])
             return
         use = self.reachable(trip)
         size = int(use.sum())
         gain, one = np.zeros(len(use)), np.zeros(len(use))
-        gain[use], one[use] = a[:size] / UNIT, b[:size] / UNIT
+        gain[use], one[use] = a[:size] / UNIT, b[:size]
         self.sums.append((gain, one))
         if trip < self.depth:
-            n = np.zeros(len(use), np.int64)
-            n[self.open(trip + 1)] = a[size:]
+            n, more, of = np.zeros(len(use), np.int64), self.open(trip + 1), np.zeros(len(use), bool)
+            n[more], of[more] = a[size:], mine[size:]
             self.n.append(n)
+            self.owned.append(of)
 
     def scores(self, distinct: int, cost: float, discount: float) -> dict[str, object]:
         base = (self.n[0] + 1) / (self.total + distinct + 1)
@@ -185,15 +196,21 @@ def summed(trip: int) -> Callable[[pa.Table], pa.Table]:
         keys = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in sent["keys"].to_pylist()]
         found, back = np.unique(np.concatenate(keys), return_inverse=True)
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        out, words = {}, np.zeros(len(keys), np.int64)
-        for c in ("a", "b"):
-            each = np.concatenate([unpacked(x, np.int64) for x in sent[c].to_pylist()])
-            sums = np.zeros(len(found), np.int64)
-            np.add.at(sums, back, each)
-            out[c] = pa.array([packed(x) for x in np.split(sums[back], cuts)], pa.binary())
-            if c == "a" and trip == 0:
-                words[0] = ((found & np.uint64(1) == 0) & (sums > 0)).sum()
-        return pa.table({"slice": sent["slice"], "trip": pa.array([trip] * len(keys), pa.int32()), "range": sent["range"], **out, "words": words})
+        a, b = (np.concatenate([unpacked(x, np.int64) for x in sent[c].to_pylist()]) for c in ("a", "b"))
+        sums = [np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)]
+        np.add.at(sums[0], back, a)
+        np.add.at(sums[1], back, b)
+        # The first slice that holds an event in training owns it.
+        holds = np.flatnonzero(a > 0)[::-1]
+        first = np.full(len(found), -1)
+        first[back[holds]] = holds
+        owned = np.zeros(len(back), np.uint8)
+        owned[first[first >= 0]] = 1
+        words = np.zeros(len(keys), np.int64)
+        if trip == 0:
+            words[0] = ((found & np.uint64(1) == 0) & (sums[0] > 0)).sum()
+        split = lambda x: pa.array([packed(part) for part in np.split(x, cuts)], pa.binary())
+        return pa.table({"slice": sent["slice"], "trip": pa.array([trip] * len(keys), pa.int32()), "range": sent["range"], "a": split(sums[0][back]), "b": split(sums[1][back]), "owned": split(owned), "words": words})
 
     return total
 
@@ -209,12 +226,12 @@ def scores(docs: DataFrame, depth: int = 2, cost: float = 1.0, discount: float =
     Null and empty texts have the end alone. Rows with equal doc_ids are scored each. No documents: no rows; no training
     documents: uniform distributions. A text is never cut, so one far longer than SLICE makes a slice of its own.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 2000)
     parts = written(slices(docs), "slices")
     sizes = parts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_trained"), F.lit(0)).alias("trained")).first()
     ranges, trained = max(1, -(-sizes.n // TOKENS_A_RANGE)), int(sizes.trained)
     empty = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
-    own = parts.select("slice", F.lit(-1).alias("trip"), F.lit(0).cast("long").alias("range"), *empty("a", "b"), "doc_ids", "ends", "hashes", "which")
+    own = parts.select("slice", F.lit(-1).alias("trip"), F.lit(0).cast("long").alias("range"), *empty("a", "b", "owned"), "doc_ids", "ends", "hashes", "which")
 
     def known(rows: pa.Table, made: int) -> tuple[int, Slice]:
         """A slice with the totals of the `made` exchanges so far; it may have asked nothing in one."""
@@ -224,12 +241,12 @@ def scores(docs: DataFrame, depth: int = 2, cost: float = 1.0, discount: float =
         part, trips = Slice(first, depth), rows["trip"].to_numpy()
         for t in range(made):
             of = rows.filter(pa.array(trips == t))
-            a, b = (np.concatenate([np.zeros(0, np.int64), *(unpacked(x, np.int64) for x in of[c].to_pylist())]) for c in ("a", "b"))
-            part.learn(t, a, b, trained)
+            a, b, owned = (np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in of[c].to_pylist())]) for c, kind in (("a", np.int64), ("b", np.int64), ("owned", np.uint8)))
+            part.learn(t, a, b, owned.astype(bool), trained)
         return first["slice"], part
 
     def with_totals(totals: list[DataFrame]) -> DataFrame:
-        back = [t.select("slice", "trip", "range", "a", "b", F.lit(None).cast("array<bigint>").alias("doc_ids"), *empty("ends", "hashes", "which")) for t in totals]
+        back = [t.select("slice", "trip", "range", "a", "b", "owned", F.lit(None).cast("array<bigint>").alias("doc_ids"), *empty("ends", "hashes", "which")) for t in totals]
         return reduce(DataFrame.unionByName, back, own)
 
     def send_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +265,7 @@ def scores(docs: DataFrame, depth: int = 2, cost: float = 1.0, discount: float =
     for trip in range(depth + 1):
         sent = with_totals(totals).groupBy("slice").applyInArrow(send(trip), SENT) if trip else parts.mapInArrow(send_first, SENT)
         totals.append(written(sent.groupBy("range").applyInArrow(summed(trip), TOTALS), f"totals-{trip}"))
+        del sent
         free_shuffles(docs.sparkSession)
     distinct = totals[0].agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
 
