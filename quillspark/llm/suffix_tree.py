@@ -61,16 +61,13 @@ def slices(docs: DataFrame) -> DataFrame:
         for k, batch in enumerate(text_slices(batches, "text", SLICE)):
             ends, words = words_of(batch["text"], lower=True)
             which, distinct = numbered(words)
-            # An end after each text. The most frequent have the least numbers, which compress best.
+            # An end after each text. Hashes ascend, so that their differences can be sent.
             which = np.insert(which, ends[1:], len(distinct))
             ends = ends + np.arange(len(ends))
-            ranked = np.argsort(-np.bincount(which, minlength=len(distinct) + 1), kind="stable")
-            rank = np.empty(len(ranked), np.int32)
-            rank[ranked] = np.arange(len(ranked))
-            which = rank[which]
+            hashes, rank = np.unique(np.append(word_hashes(distinct), np.uint64(0)), return_inverse=True)
+            which = rank.astype(np.int32)[which]
             trained = int(np.diff(ends)[~held_out(batch["doc_id"])].sum())
-            hashes = np.append(word_hashes(distinct), np.uint64(0))[ranked]
-            row = {"slice": [first + k], "n_tokens": [len(which)], "n_trained": [trained], "doc_ids": pa.array([batch["doc_id"].to_pylist()], pa.list_(pa.int64())), "ends": [packed(ends)], "hashes": [packed(hashes)], "which": [packed(which)]}
+            row = {"slice": [first + k], "n_tokens": [len(which)], "n_trained": [trained], "doc_ids": pa.array([batch["doc_id"].to_pylist()], pa.list_(pa.int64())), "ends": [packed(ends)], "hashes": [packed(np.diff(hashes, prepend=np.uint64(0)))], "which": [packed(which)]}
             yield pa.RecordBatch.from_pydict(row)
 
     return texts_of(docs).mapInArrow(cut, PACKED)
@@ -79,10 +76,10 @@ def slices(docs: DataFrame) -> DataFrame:
 class Slice:
     """The tokens of a slice, and what is known of their events and contexts after each exchange."""
 
-    def __init__(self, row: dict, depth: int):
+    def __init__(self, row: dict, depth: int, cost: float):
         self.doc_ids = pa.array(row["doc_ids"], pa.int64())
-        ends, hashes, self.which = unpacked(row["ends"], np.int64), unpacked(row["hashes"], np.uint64), unpacked(row["which"], np.int32)
-        self.doc, self.depth = owners(ends), depth
+        ends, hashes, self.which = unpacked(row["ends"], np.int64), np.cumsum(unpacked(row["hashes"], np.uint64), dtype=np.uint64), unpacked(row["which"], np.int32)
+        self.doc, self.depth, self.cost = owners(ends), depth, cost
         self.held = held_out(self.doc_ids)
         self.train = ~self.held[self.doc]
         self.place = np.arange(len(self.which)) - ends[:-1][self.doc]
@@ -94,7 +91,9 @@ class Slice:
         self.n: list[np.ndarray] = []
         #: For each length, one token of each event that belongs to this slice.
         self.owned: list[np.ndarray] = []
-        self.sums: list[tuple[np.ndarray, np.ndarray]] = []
+        self.sums: list[np.ndarray] = []
+        #: For each length, the tokens whose context of that length is retained.
+        self.kept = [np.ones(len(self.which), bool)]
 
     def before(self, values: np.ndarray) -> np.ndarray:
         """The values of the token before each; at the start of a text that of the end, as no text goes on after its end."""
@@ -112,14 +111,14 @@ class Slice:
         """Keys (with repeats), and their two addends, of exchange `trip`.
 
         0: counts of tokens and of their events after one. trip >= 1: divergence and distinct next tokens of the contexts of
-        `trip` places, and counts of events after one place more, where these can matter.
+        `trip` places whose suffixes are retained, and counts of events after one place more, where these can matter.
         """
         if trip == 0:
             times = np.bincount(self.which, self.train, len(self.word_keys)).astype(np.int64)
             longer = self.event[1] if self.depth else np.zeros(0, np.uint64)
             keys, a = np.concatenate([self.word_keys, longer]), np.concatenate([times, self.train[: len(longer)]])
             return keys, a.astype(float), np.zeros(len(keys))
-        use = self.reachable(trip)
+        use = self.reachable(trip) & self.kept[trip - 1]
         t = use & self.owned[trip]
         n, of = self.n[trip], self.before(self.n[trip - 1])
         # The suffix of a context of one place is the root, which has seen all tokens.
@@ -140,7 +139,9 @@ class Slice:
     def learn(self, trip: int, a: np.ndarray, b: np.ndarray, owned: np.ndarray, total: int) -> None:
         """Takes the totals of exchange `trip`, in the order of its distinct keys."""
         self.total = total
-        _, first, back = np.unique(self.asked(trip)[0], return_index=True, return_inverse=True)
+        keys, back = np.unique(self.asked(trip)[0], return_inverse=True)
+        first = np.empty(len(keys), np.int64)
+        first[back] = np.arange(len(back))
         mine = np.zeros(len(back), bool)
         mine[first[owned]] = True
         a, b = a[back], b[back]
@@ -152,23 +153,23 @@ class Slice:
                 self.n.append(a[words:])
                 self.owned.append(mine[words:])
             return
-        use = self.reachable(trip)
+        use = self.reachable(trip) & self.kept[trip - 1]
         size = int(use.sum())
         gain, one = np.zeros(len(use)), np.zeros(len(use))
         gain[use], one[use] = a[:size] / UNIT, b[:size]
-        self.sums.append((gain, one))
+        self.sums.append(one)
+        self.kept.append(use & (gain >= self.cost * one))
         if trip < self.depth:
             n, more, of = np.zeros(len(use), np.int64), self.open(trip + 1), np.zeros(len(use), bool)
             n[more], of[more] = a[size:], mine[size:]
             self.n.append(n)
             self.owned.append(of)
 
-    def scores(self, distinct: int, cost: float, discount: float) -> dict[str, object]:
+    def scores(self, distinct: int, discount: float) -> dict[str, object]:
         base = (self.n[0] + 1) / (self.total + distinct + 1)
-        p, kept = base.copy(), np.ones(len(base), bool)
+        p = base.copy()
         for d in range(1, self.depth + 1):
-            gain, one = self.sums[d - 1]
-            kept = kept & self.reachable(d) & (gain >= cost * one)
+            one, kept = self.sums[d - 1], self.kept[d]
             of = self.before(self.n[d - 1])[kept]
             p[kept] = np.maximum(self.n[d][kept] - discount, 0) / of + discount * one[kept] / of * p[kept]
         rows = len(self.doc_ids)
@@ -238,7 +239,7 @@ def scores(docs: DataFrame, depth: int = 2, cost: float = 1.0, discount: float =
         order = rows.select(["trip", "range"]).to_pandas().sort_values(["trip", "range"], kind="stable").index.to_numpy()
         rows = rows.take(pa.array(order))
         first = rows.slice(0, 1).to_pylist()[0]
-        part, trips = Slice(first, depth), rows["trip"].to_numpy()
+        part, trips = Slice(first, depth, cost), rows["trip"].to_numpy()
         for t in range(made):
             of = rows.filter(pa.array(trips == t))
             a, b, owned = (np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in of[c].to_pylist())]) for c, kind in (("a", np.int64), ("b", np.int64), ("owned", np.uint8)))
@@ -252,7 +253,7 @@ def scores(docs: DataFrame, depth: int = 2, cost: float = 1.0, discount: float =
     def send_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from ask(Slice(row, depth), row["slice"], 0, ranges).to_batches()
+                yield from ask(Slice(row, depth, cost), row["slice"], 0, ranges).to_batches()
 
     def send(trip: int) -> Callable[[pa.Table], pa.Table]:
         def asks(rows: pa.Table) -> pa.Table:
@@ -270,7 +271,7 @@ def scores(docs: DataFrame, depth: int = 2, cost: float = 1.0, discount: float =
     distinct = totals[0].agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
 
     def score(rows: pa.Table) -> pa.Table:
-        return pa.table(known(rows, depth + 1)[1].scores(distinct, cost, discount))
+        return pa.table(known(rows, depth + 1)[1].scores(distinct, discount))
 
     out = with_totals(totals).groupBy("slice").applyInArrow(score, SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trained).cast("long").alias("train_tokens"), "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("score_per_token"))
