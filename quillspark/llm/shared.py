@@ -45,11 +45,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Deletes the tables made so far; call it only when nothing lazy still reads them."""
-    jvm = spark._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, _made.pop())
+
+
+def discard(spark: SparkSession, name: str) -> None:
+    """Deletes the tables written under a name, once nothing reads them."""
+    for path in [p for p in _made if f"/quillspark-{name}-" in p]:
+        _made.remove(path)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import bound_batches, free_shuffles, text_slices, written
+from quillspark.llm.shared import bound_batches, discard, free_shuffles, text_slices, written
 from quillspark.llm.words import mixed, numbered, owners, word_hashes, words_of
 
 #: Bytes of text in a slice, and tokens for which there is a range of hashes.
@@ -265,8 +265,12 @@ def scores(docs: DataFrame, depth: int = 2, cost: float = 1.0, discount: float =
     totals: list[DataFrame] = []
     for trip in range(depth + 1):
         sent = with_totals(totals).groupBy("slice").applyInArrow(send(trip), SENT) if trip else parts.mapInArrow(send_first, SENT)
+        if trip:  # so that the shuffle of the slices goes before that of the keys comes
+            sent = written(sent, f"asked-{trip}")
+            free_shuffles(docs.sparkSession)
         totals.append(written(sent.groupBy("range").applyInArrow(summed(trip), TOTALS), f"totals-{trip}"))
         del sent
+        discard(docs.sparkSession, f"asked-{trip}")
         free_shuffles(docs.sparkSession)
     distinct = totals[0].agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
 
