@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.decontamination import OP6_SQL, op6_decontamination
+from quillspark.llm.fill_middle import OP12_SQL, op12_fill_middle
 from quillspark.llm.jaccard_join import OP4_SQL, op4_jaccard_join
 from quillspark.llm.line_dedup import OP8_SQL, op8_line_dedup
+from quillspark.llm.merkle import OP13_SQL, op13_merkle_manifest
 from quillspark.llm.packing import op3_packing
 from quillspark.llm.pii import op9_personal_data
 from quillspark.llm.quality import op2_quality
@@ -30,6 +32,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_personal_data": op9_personal_data,
         "op10_url_filters": op10_url_filters,
+        "op12_fill_middle": op12_fill_middle,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -40,4 +44,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": OP6_SQL,
         "op8_line_dedup": OP8_SQL,
         "op10_url_filters": OP10_SQL,
+        "op12_fill_middle": OP12_SQL,
+        "op13_merkle_manifest": OP13_SQL,
     }
