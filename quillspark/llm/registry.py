@@ -16,6 +16,7 @@ from quillspark.llm.pii import op9_personal_data
 from quillspark.llm.quality import op2_quality
 from quillspark.llm.suffix_tree import op7_suffix_tree
 from quillspark.llm.token_files import op5_token_files
+from quillspark.llm.toxicity import op11_toxicity
 from quillspark.llm.url_filter import OP10_SQL, op10_url_filters
 from quillspark.llm.warc import OP1_SQL, op1_warc
 
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_personal_data": op9_personal_data,
         "op10_url_filters": op10_url_filters,
+        "op11_toxicity": op11_toxicity,
         "op12_fill_middle": op12_fill_middle,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
