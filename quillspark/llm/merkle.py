@@ -19,6 +19,8 @@ FAN = 8
 TOP = "^"
 #: Node rows of upper levels that are broadcast at most; all levels below are joined by a shuffle.
 BROADCAST_NODES = 50_000
+#: Runs that one task folds at least, so that upper levels are not dealt over more tasks than they have work for.
+RUNS_A_TASK = 4_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,13 +77,14 @@ def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 def levels_above(bottom: DataFrame, name: str) -> list[DataFrame]:
     """Node rows of each level over bottom (tree, pos, width, hash): tree, level, pos, width, hash and run, the children's hashes."""
     found: list[DataFrame] = []
-    widest = bottom.agg(F.max("width")).first()[0] or 1
-    below = bottom
+    widest, size = bottom.agg(F.max("width"), F.count("*")).first()
+    widest, below = widest or 1, bottom
     while widest > 1:
         run = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash"))), lambda x: F.hex(x["hash"])), "")
         parents = below.where("width > 1").groupBy("tree", F.expr(f"pos DIV {FAN}").alias("up")).agg(F.unhex(run).alias("run"), F.max("width").alias("of"))
-        below = written(parents.select("tree", F.lit(len(found) + 1).alias("level"), F.col("up").alias("pos"), F.ceil(F.col("of") / FAN).alias("width"), h(as_hex(F.col("run"))).alias("hash"), "run"), f"{name}-level")
+        below = written(parents.select("tree", F.lit(len(found) + 1).alias("level"), F.col("up").alias("pos"), F.ceil(F.col("of") / FAN).alias("width"), h(as_hex(F.col("run"))).alias("hash"), "run").coalesce(1 + size // (FAN * RUNS_A_TASK)), f"{name}-level")
         found.append(below)
+        size = below.count()
         widest = -(-widest // FAN)
     return found
 
