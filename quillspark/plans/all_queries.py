@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import job_queries, more_queries, registry, table_queries, text_queries  # noqa: F401
+from quillspark.plans import job_queries, more_queries, registry, study_queries, table_queries, text_queries  # noqa: F401
 
 
 def queries():
