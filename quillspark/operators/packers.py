@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators.tables import written
+from quillspark.operators.tables import fold_groups, written
 
 
 def page_units(pages: DataFrame, cap: int) -> DataFrame:
@@ -27,15 +27,15 @@ def page_units(pages: DataFrame, cap: int) -> DataFrame:
     return cut.select("doc_id", "page", "tie", (F.col("at") + 1).alias("unit"), "text", F.char_length("text").alias("size"), (F.col("over") & (F.col("at") == 0)).alias("fresh"))
 
 
-def chunk_numbers(sizes: np.ndarray, fresh: np.ndarray, cap: int, gap: int) -> np.ndarray:
+def chunk_numbers(sizes: list[int], fresh: list[bool], cap: int, gap: int) -> list[int]:
     """Numbers, from 1, of greedy chunks: a unit begins one if it is fresh or would make the open one, with a gap, longer than cap."""
-    out, open_size, number = np.empty(len(sizes), np.int64), -1, 0
-    for k, (size, new) in enumerate(zip(sizes.tolist(), fresh.tolist(), strict=True)):
+    out, open_size, number = [], -1, 0
+    for size, new in zip(sizes, fresh, strict=True):
         if open_size < 0 or new or open_size + gap + size > cap:
             number, open_size = number + 1, size
         else:
             open_size += gap + size
-        out[k] = number
+        out.append(number)
     return out
 
 
@@ -52,12 +52,12 @@ def pack_pages(pages: DataFrame, cap: int = 12_000) -> DataFrame:
     units = page_units(pages, cap)
     units = units.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "tie", "unit")).cast("long"))
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("at")
-        return pd.DataFrame({"doc": frame["doc"], "at": frame["at"], "chunk": chunk_numbers(frame["size"].to_numpy(), frame["fresh"].to_numpy(), cap, 2)})
+    def fold(group: list[dict]) -> list[dict]:
+        chunks = chunk_numbers([x["size"] for x in group], [x["fresh"] for x in group], cap, 2)
+        return [{"doc": x["doc"], "at": x["at"], "chunk": k} for x, k in zip(group, chunks, strict=True)]
 
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    numbers = units.select(key.alias("doc"), "at", "size", "fresh").groupBy("doc").applyInPandas(fold, "doc string, at long, chunk long")
+    numbers = fold_groups(units.select(key.alias("doc"), "at", "size", "fresh"), ["doc"], ["at"], fold, "doc string, at long, chunk long")
     placed = units.withColumn("doc", key).join(numbers, ["doc", "at"])
     figures = pages.select("doc_id", "page", F.explode("figures").alias("figure"))
     firsts = placed.where("unit = 1").select("doc", "page", "chunk").distinct()

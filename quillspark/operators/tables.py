@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +28,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/quillspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fold_groups(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """The rows that `fold` makes of each group's rows, in order; one group at a time is held in memory.
+
+    Groups lie one after the other in sorted partitions, so that many small ones share an Arrow batch, which groupBy with a
+    Python function does not give them.
+    """
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[dict] = []
+        out: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if group and any(row[k] != group[0][k] for k in keys):
+                    out += fold(group)
+                    group = []
+                group.append(row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=target)
+                out = []
+        if group:
+            yield pa.RecordBatch.from_pylist(fold(group), schema=target)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import allocation, boxes, markup, packers, salvage, shared_options, wrapped
+from quillspark.operators import allocation, boxes, consolidate, markup, packers, salvage, shared_options, wrapped
 from quillspark.plans.registry import query
 from quillspark.plans.text_queries import LINES, lines
 
@@ -173,3 +173,23 @@ f AS (SELECT source, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS position, 0
 SELECT source, position, CAST(n AS BIGINT) AS count, round(redundancy, 3) AS redundancy FROM f WHERE i > 0""")
 def w04_allocation(t):
     return allocation.allocate(slides(t)).select("source", "position", "count", "redundancy")
+
+
+def concepts(t):
+    """Three lines of a document are a concept of its deck: a title and facts; numbers are a structured list, every fourth concept has an asset."""
+    number = F.floor((C("k") - 1) / 3)
+    rows = lines(t).withColumn("concept", number.cast("long")).groupBy("doc_id", "concept").agg(F.array_sort(F.collect_list(F.struct("k", "l"))).alias("x"))
+    texts = F.transform("x", lambda x: x["l"])
+    digits = F.regexp_extract_all(F.array_join(texts, " "), F.lit("[0-9]{3,}"), F.lit(0))
+    return rows.select(C("doc_id").alias("deck"), "concept", F.get(texts, 0).alias("title"), F.slice(texts, 2, 2).alias("facts"), F.create_map(F.lit("numbers"), digits).alias("structured"), (C("concept") % 4 == 3).cast("int").alias("assets"))
+
+
+@query("D05_greedy_consolidation")
+def d05_greedy(t):
+    return consolidate.consolidate(concepts(t))
+
+
+@query("J07_four_part_overlaps")
+def j07_four_parts(t):
+    pairs, _ = consolidate.overlaps(concepts(t))
+    return pairs.select("deck", "a", "b", "score", F.array_join("reasons", "; ").alias("reasons"))
