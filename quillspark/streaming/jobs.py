@@ -37,19 +37,47 @@ def stalls(events: DataFrame, seconds: int = 25, lateness: str = "10 seconds") -
     return events.withWatermark("ts", lateness).groupBy("job", "chunk").applyInPandasWithState(watch, "job long, chunk long, since timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def completions(events: DataFrame, chunks: int, lateness: str = "1 hour") -> DataFrame:
-    """Job, once, when `chunks` of its chunks have ended with SUCCESS or DROP."""
+#: Events after which a chunk is done, unless a later one begins it anew.
+TERMINAL = ("SUCCESS", "DROP")
+
+
+def completions(events: DataFrame, chunks: int, lateness: str = "1 hour", keep: int = 86_400) -> DataFrame:
+    """Job, status, at: one row for each job, once `chunks` of its chunks are terminal and none is active.
+
+    A chunk is what its latest event (by ts, then event_id) says: terminal after SUCCESS or DROP, else active; so a chunk begun
+    anew after its end holds the job back. A job's state is its chunks' latest events, and a mark alone once the row is
+    sent. `keep` seconds of event time after a job's last event the state goes: with the mark, so that a straggler within
+    that time sends nothing again; without it, with a row of status abandoned. Rows later than the watermark are left out
+    by Spark (`late_rows` counts them), so a job whose state is gone doesn't come back by them. Events without job, chunk or
+    ts are ignored. After a restart from the checkpoint nothing is sent twice.
+    """
 
     def gate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ended, sent = (set(state.get[0]), state.get[1]) if state.exists else (set(), False)
+        known, sent, last = (dict(zip(state.get[0], zip(*state.get[1:4]), strict=True)), state.get[4], state.get[5]) if state.exists else ({}, False, 0)
+        if state.hasTimedOut:
+            state.remove()
+            if not sent:
+                yield pd.DataFrame({"job": [key[0]], "status": ["abandoned"], "at": [pd.Timestamp(last, unit="us")]})
+            return
         for f in frames:
-            ended |= set(f.loc[f["event"].isin(["SUCCESS", "DROP"]), "chunk"].tolist())
-        done = len(ended) >= chunks and not sent
-        state.update((sorted(ended), sent or done))
-        if done:
-            yield pd.DataFrame({"job": [key[0]]})
-
-    return events.groupBy("job").applyInPandasWithState(gate, "job long", "ended array<long>, sent boolean", "append", GroupStateTimeout.NoTimeout)
+            for chunk, event_id, event, ts in zip(f["chunk"], f["event_id"], f["event"], pd.to_datetime(f["ts"]), strict=True):
+                at = int(ts.value // 1000)
+                last = max(last, at)
+                if not sent and (chunk not in known or known[chunk][:2] < (at, event_id)):
+                    known[chunk] = (at, int(event_id), event)
+        done = sum(e in TERMINAL for _, _, e in known.values())
+        now = not sent and done >= chunks and done == len(known)
+        if sent or now:
+            known = {}
+        columns = [list(x) for x in zip(*known.values(), strict=True)] or [[], [], []]
+        state.update(([int(c) for c in known], *columns, sent or now, last))
+        state.setTimeoutTimestamp(max(last // 1000 + keep * 1000, state.getCurrentWatermarkMs() + 1))
+        if now:
+            yield pd.DataFrame({"job": [key[0]], "status": ["complete"], "at": [pd.Timestamp(last, unit="us")]})
+
+    whole = events.where("job IS NOT NULL AND chunk IS NOT NULL AND ts IS NOT NULL").select("job", "chunk", F.coalesce("event_id", F.lit(0).cast("long")).alias("event_id"), F.coalesce("event", F.lit("")).alias("event"), "ts")
+    schema = "chunks array<long>, times array<long>, ids array<long>, events array<string>, sent boolean, last long"
+    return whole.withWatermark("ts", lateness).groupBy("job").applyInPandasWithState(gate, "job long, status string, at timestamp", schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def progress_windows(events: DataFrame, width: str = "1 hour", slide: str | None = None, lateness: str = "2 hours") -> DataFrame:
