@@ -27,9 +27,14 @@ REASONS = ("repeated fact block", "repeated structured block", "near-duplicate t
 
 
 def terms(c: Column, generic: Sequence[str] = ()) -> Column:
-    """Distinct lower-case terms of four or more characters, without generic ones."""
+    """Distinct lower-case terms of four or more characters, without generic ones; hashed, since sets are only compared."""
     found = F.regexp_extract_all(F.lower(c), F.lit(r"(?<![a-z0-9])[a-z][a-z0-9+/-]{3,}"), F.lit(0))
-    return F.array_except(found, F.array(*map(F.lit, generic)).cast("array<string>"))
+    return hashed(F.array_except(found, F.array(*map(F.lit, generic)).cast("array<string>")))
+
+
+def hashed(strings: Column) -> Column:
+    """64-bit hashes in place of strings: a fraction of the bytes to move, and two different strings of a deck practically never agree."""
+    return F.transform(strings, lambda x: F.xxhash64(x))
 
 
 def prepared(concepts: DataFrame, generic: Sequence[str] = ()) -> DataFrame:
@@ -37,7 +42,7 @@ def prepared(concepts: DataFrame, generic: Sequence[str] = ()) -> DataFrame:
     facts = F.filter(F.coalesce("facts", F.array().cast("array<string>")), lambda x: x.isNotNull())
     structured = F.map_filter(F.coalesce("structured", F.create_map().cast("map<string,array<string>>")), lambda _, v: v.isNotNull())
     title, assets = F.coalesce("title", F.lit("")), F.coalesce(F.col("assets").cast("long"), F.lit(0))
-    clean = lambda a: F.array_distinct(F.filter(F.transform(a, normalize_key), lambda x: x != ""))
+    clean = lambda a: F.array_distinct(hashed(F.filter(F.transform(a, normalize_key), lambda x: x != "")))
     values = F.flatten(F.map_values(structured))
     df = concepts.select("deck", "concept", title.alias("title"), facts.alias("facts"), structured.alias("structured"), values.alias("values"), assets.alias("assets"))
     df = df.withColumn("body", F.array_join(F.concat("facts", "values"), "\n"))
@@ -77,7 +82,7 @@ def scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), ["deck", "a"]).join(side("b"), ["deck", "b"])
     c = F.col
     fact = F.size(F.array_intersect("a_fact_keys", "b_fact_keys")) / F.greatest(F.lit(1), F.least(F.size("a_fact_keys"), F.size("b_fact_keys")))
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<long>")
     names = F.array_union(F.map_keys("a_structure"), F.map_keys("b_structure"))
     structure = F.array_max(F.transform(names, lambda k: jaccard(F.coalesce(F.element_at("a_structure", k), none), F.coalesce(F.element_at("b_structure", k), none))))
     parts = both.select("deck", "a", "b", fact.alias("fact"), F.coalesce(structure, F.lit(0.0)).alias("structure"), jaccard(c("a_terms"), c("b_terms")).alias("term"), jaccard(c("a_title_terms"), c("b_title_terms")).alias("title"))
@@ -95,7 +100,7 @@ def _linked(sets: DataFrame) -> DataFrame:
     words = _meet(_elements(sets.select("deck", "concept", F.col("terms").alias("elements")), one, TERM_REASON), False, TERM_REASON)
     titles = _meet(_elements(sets.select("deck", "concept", F.col("title_terms").alias("elements")), one, least_title), False, least_title)
     by_name = sets.select("deck", "concept", F.explode("structure").alias("name", "found"))
-    named = by_name.select("deck", "concept", "name", F.transform("found", lambda v: F.concat_ws("=", "name", v)).alias("elements"))
+    named = by_name.select("deck", "concept", "name", F.transform("found", lambda v: F.xxhash64("name", v)).alias("elements"))
     structures = _meet(_elements(named, ["concept", "name"], STRUCTURE_REASON), False, STRUCTURE_REASON)
     return facts.unionByName(words).unionByName(titles).unionByName(structures).distinct()
 
@@ -130,12 +135,12 @@ FOLDED = ("fact_keys", "body_keys", "title_terms", "terms", "fact_terms")
 @dataclass
 class Keeper:
     concept: int
-    facts: set[str]
-    body: set[str]
-    own: set[str]
-    terms: set[str]
-    fact_terms: set[str]
-    structure: dict[str, set[str]]
+    facts: set[int]
+    body: set[int]
+    own: set[int]
+    terms: set[int]
+    fact_terms: set[int]
+    structure: dict[str, set[int]]
     cluster: int
     absorbed: list[int] = field(default_factory=list)
 
@@ -194,7 +199,7 @@ def fold(rows: list[dict]) -> list[tuple]:
 
 
 RESULT = "deck long, concept long, disposition string, duplicate_of long, cluster long, score double, n_facts long, together long"
-GROWN = "grown struct<fact_keys: array<string>, terms: array<string>, structure: map<string, array<string>>>"
+GROWN = "grown struct<fact_keys: array<long>, terms: array<long>, structure: map<string, array<long>>>"
 
 
 def _folded(sets: DataFrame, grown: bool) -> DataFrame:
@@ -232,13 +237,12 @@ def consolidate(concepts: DataFrame, direct: int = 500, generic: Sequence[str] =
     left out; nulls inside a concept are empty; repeated (deck, concept) are folded each. No concepts: none.
     """
     sets = written(_with_terms(prepared(concepts.where("deck IS NOT NULL"), generic)), "concepts")
-    sizes = sets.groupBy("deck").agg(F.count("*").alias("size"))
-    small = sets.join(sizes.where(F.col("size") <= direct), "deck").withColumn("component", F.lit(0).cast("long"))
-    result = _folded(small, False)
-    large = sets.join(sizes.where(F.col("size") > direct), "deck").drop("size")
-    if large.isEmpty():
-        return result
-    large = written(large, "concepts-large")
+    whole = sets.withColumn("component", F.lit(0).cast("long"))
+    hot = written(sets.groupBy("deck").agg(F.count("*").alias("size")).where(F.col("size") > direct).select("deck"), "concept-decks")
+    if hot.isEmpty():
+        return _folded(whole, False)
+    result = _folded(whole.join(hot, "deck", "left_anti"), False)
+    large = written(sets.join(hot, "deck", "left_semi"), "concepts-large")
     links = written(scored(_linked(large), large).where(F.size("reasons") > 0).select("deck", "a", "b"), "concept-links")
     for _ in range(rounds):
         parts = written(_in_components(large, links), "concept-parts")

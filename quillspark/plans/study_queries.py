@@ -80,12 +80,18 @@ def c11(t):
     return found.withColumn("options", F.array_join(F.transform("options", lambda o: F.concat(o["label"], F.lit("="), o["text"])), "|")).withColumn("stem", F.trim("stem"))
 
 
+def blocks(t, size):
+    """doc_id, block (from 0), lines: consecutive lines of each document."""
+    cut = F.split("text", "\n")
+    made = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / size).cast("int")), lambda k: F.slice("x", k * size + 1, F.lit(size)))
+    return t("documents").where("text IS NOT NULL").select("doc_id", cut.alias("x")).select("doc_id", F.posexplode(made).alias("block", "lines"))
+
+
 def doc_pages(t):
     """Six lines are a page, and paragraphs of it; every third page has a figure."""
-    page = F.floor((C("k") - 1) / 6) + 1
-    rows = lines(t).withColumn("page", page.cast("long")).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("k", "l"))).alias("x"))
-    figures = F.when(C("page") % 3 == 0, F.array(F.concat(F.lit("f"), C("page").cast("string")))).otherwise(F.array().cast("array<string>"))
-    return rows.select("doc_id", "page", F.array_join(F.transform("x", lambda x: x["l"]), "\n\n").alias("text"), figures.alias("figures"))
+    page = (C("block") + 1).cast("long")
+    figures = F.when(page % 3 == 0, F.array(F.concat(F.lit("f"), page.cast("string")))).otherwise(F.array().cast("array<string>"))
+    return blocks(t, 6).select("doc_id", page.alias("page"), F.array_join("lines", "\n\n").alias("text"), figures.alias("figures"))
 
 
 @query("C02_page_chunks")
@@ -177,11 +183,8 @@ def w04_allocation(t):
 
 def concepts(t):
     """Three lines of a document are a concept of its deck: a title and facts; numbers are a structured list, every fourth concept has an asset."""
-    number = F.floor((C("k") - 1) / 3)
-    rows = lines(t).withColumn("concept", number.cast("long")).groupBy("doc_id", "concept").agg(F.array_sort(F.collect_list(F.struct("k", "l"))).alias("x"))
-    texts = F.transform("x", lambda x: x["l"])
-    digits = F.regexp_extract_all(F.array_join(texts, " "), F.lit("[0-9]{3,}"), F.lit(0))
-    return rows.select(C("doc_id").alias("deck"), "concept", F.get(texts, 0).alias("title"), F.slice(texts, 2, 2).alias("facts"), F.create_map(F.lit("numbers"), digits).alias("structured"), (C("concept") % 4 == 3).cast("int").alias("assets"))
+    digits = F.regexp_extract_all(F.array_join("lines", " "), F.lit("[0-9]{3,}"), F.lit(0))
+    return blocks(t, 3).select(C("doc_id").alias("deck"), C("block").cast("long").alias("concept"), F.get("lines", 0).alias("title"), F.slice("lines", 2, 2).alias("facts"), F.create_map(F.lit("numbers"), digits).alias("structured"), (C("block") % 4 == 3).cast("int").alias("assets"))
 
 
 @query("D05_greedy_consolidation")
