@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import allocation, boxes, consolidate, markup, packers, salvage, shared_options, wrapped
+from quillspark.operators import allocation, boxes, consolidate, contracts, markup, packers, salvage, shared_options, wrapped
 from quillspark.plans.registry import query
 from quillspark.plans.text_queries import LINES, lines
 
@@ -196,3 +196,107 @@ def d05_greedy(t):
 def j07_four_parts(t):
     pairs, _ = consolidate.overlaps(concepts(t))
     return pairs.select("deck", "a", "b", "score", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _choices(answer, n):
+    """The first n sentences of a text as choices A, B, ..."""
+    pieces = F.slice(F.filter(F.split(answer, r"\. "), lambda p: F.trim(p) != ""), 1, n)
+    return F.transform(pieces, lambda p, k: F.struct(F.substring(F.lit("ABCDEF"), k + 1, F.lit(1)).alias("label"), F.trim(F.regexp_replace(p, r"\s+", " ")).alias("text")))
+
+
+def questions(t):
+    """A user turn is a question of its conversation; the next turn gives choices, objective and explanation, and by turn and id some are at fault."""
+    turns = t("conversations").select("conv_id", "turn", "role", "text")
+    after = turns.where("role = 'assistant'").select("conv_id", (C("turn") - 1).alias("turn"), C("text").alias("answer"))
+    made = turns.where("role = 'user'").join(after, ["conv_id", "turn"], "left")
+    k, position = (C("conv_id") + C("turn")) % 7, F.floor(C("turn") / 2) + 1
+    stem = F.when(k == 0, C("text")).when(k == 1, F.lit("")).otherwise(F.concat("text", F.lit(" Which of these fits best?")))
+    return made.select(
+        C("conv_id").alias("set_id"), position.cast("long").alias("position"), F.when(k == 2, position + 1).otherwise(position).cast("long").alias("number"), stem.alias("stem"), _choices("answer", F.when(k == 3, 3).otherwise(4)).alias("choices"),
+        F.when(k == 4, "E").otherwise(F.substring(F.lit("ABCD"), (C("conv_id") % 4 + 1).cast("int"), F.lit(1))).alias("correct"), F.when(k == 5, F.lit(None)).otherwise(F.concat(F.lit("goal "), (C("turn") % 3).cast("string"))).alias("objective"),
+        F.when(k != 6, F.array(F.lit("Choice A: yes"), F.lit("choice f: no"), F.lit("plain"))).alias("explanation"), F.lit("one target").alias("target"), (C("conv_id") % 2 == 1).alias("ranged"),
+    )
+
+
+QUESTIONS = r"""SELECT c.conv_id AS set_id, c.turn // 2 + 1 AS position, CASE WHEN k = 2 THEN c.turn // 2 + 2 ELSE c.turn // 2 + 1 END AS number, CASE k WHEN 0 THEN c.text WHEN 1 THEN '' ELSE c.text || ' Which of these fits best?' END AS stem,
+ list_transform(coalesce(list_filter(string_split(a.text, '. '), lambda p: trim(p) <> ''), [])[1:CASE WHEN k = 3 THEN 3 ELSE 4 END], lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))) AS texts,
+ CASE WHEN k = 4 THEN 'E' ELSE substr('ABCD', CAST(c.conv_id % 4 + 1 AS INT), 1) END AS correct, CASE WHEN k <> 5 THEN 'goal ' || (c.turn % 3) END AS objective, k <> 6 AS sections, c.conv_id % 2 = 1 AS ranged
+ FROM (SELECT *, (conv_id + turn) % 7 AS k FROM conversations WHERE role = 'user') c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1 AND a.role = 'assistant'"""
+
+
+@query("V04_set_contract", rf"""WITH q AS (SELECT *, len(texts) AS n, CASE WHEN ranged THEN len(texts) BETWEEN 2 AND 9 ELSE len(texts) = 4 END AS counted, list_contains(string_split('ABCDEF', '')[1:len(texts)], correct) AS inside FROM ({QUESTIONS})),
+f AS (SELECT set_id, position, unnest(list_filter([CASE WHEN number <> position THEN 'NUMBER' END, CASE WHEN trim(stem) = '' THEN 'MISSING_STEM' END, CASE WHEN trim(stem) <> '' AND NOT ends_with(stem, ' Which of these fits best?') THEN 'NO_QUESTION' END,
+ CASE WHEN trim(stem) <> '' AND (len(regexp_extract_all(stem, '[.!?](\s|$)')) < 2 OR len(regexp_extract_all(regexp_replace(stem, '([A-Za-z0-9_]*([^\x00-\x7F]|_))+[A-Za-z0-9_]*', '?', 'g'), '[A-Za-z0-9][A-Za-z0-9''-]*')) < 35) THEN 'SHORT_STEM' END, CASE WHEN regexp_matches(stem, '(?i)\b(which of the following is true|all except|except)\b') THEN 'SHALLOW' END,
+ CASE WHEN NOT counted THEN 'CHOICE_COUNT' END, CASE WHEN NOT ranged AND correct = 'E' THEN 'KEY' END, CASE WHEN NOT counted OR NOT inside THEN 'KEY_ABSENT' END, CASE WHEN objective IS NULL THEN 'NO_OBJECTIVE' END, CASE WHEN NOT sections THEN 'NO_SECTIONS' END,
+ CASE WHEN counted AND sections THEN 'ABSENT_CHOICE' END], lambda x: x IS NOT NULL)) AS code FROM q),
+s AS (SELECT *, substr(regexp_replace(lower(trim(regexp_replace(stem, '[ \t\n\r\f\v]+', ' ', 'g'))), '[0-9]+', '#', 'g'), 1, 500) || '|' || array_to_string(list_transform(texts, lambda x: lower(x)), '|') AS key FROM q)
+SELECT set_id, position, 'error' AS severity, code, CASE WHEN code = 'ABSENT_CHOICE' THEN 'F' END AS detail FROM f
+UNION ALL SELECT set_id, position, 'error', 'REPEATED_NUMBER', CAST(first AS VARCHAR) FROM (SELECT set_id, position, min(position) OVER (PARTITION BY set_id, number) AS first FROM q) WHERE position > first
+UNION ALL SELECT set_id, position, 'error', 'REPEATED_QUESTION', CAST(first AS VARCHAR) FROM (SELECT set_id, position, min(position) OVER (PARTITION BY set_id, key) AS first FROM s WHERE trim(stem) <> '') WHERE position > first
+UNION ALL SELECT set_id, NULL, 'error', 'TARGET_OVERUSED', 'one target' FROM q GROUP BY set_id HAVING count(*) > 2
+UNION ALL SELECT set_id, NULL, 'error', 'OBJECTIVE_REPEATED', objective FROM q WHERE objective IS NOT NULL GROUP BY set_id, objective HAVING count(*) > 1""")
+def v04(t):
+    return contracts.set_findings(questions(t))
+
+
+def figured(t):
+    """Two documents in three have a figure; by doc_id its marks, references and images are at fault."""
+    k, d = C("doc_id") % 11, C("doc_id")
+    fig = F.concat(F.lit("f"), F.when(k == 9, d - 9 + 1000).otherwise(d + 1000).cast("string"))
+    mark = F.concat(F.lit("[FIGURE: "), fig, F.lit("]"))
+    ref = F.struct(F.when(k != 1, fig).alias("id"), F.when(k != 2, mark).alias("placeholder"), F.when(k == 3, "explanation").otherwise("stem").alias("location"))
+    image = F.struct(fig.alias("figureId"), F.when(k != 4, "data:").alias("dataUrl"), F.when(k == 5, "key").alias("figureKey"))
+    has = d % 3 < 2
+    return t("documents").select(
+        F.floor(d / 1000).alias("set_id"), d.alias("position"), F.when(has & (k != 6), F.concat("text", F.lit(" "), mark)).otherwise(C("text")).alias("stem"), F.lit(None).cast("string").alias("explanation"), (has & (k != 7)).alias("has_figure"),
+        F.when(has & (k != 8), F.array(ref)).alias("refs"), F.when(has, F.when(k == 10, F.array(image, image)).otherwise(F.array(image))).alias("images"), F.when(has & (k == 0), F.array(image)).alias("explanation_images"),
+    )
+
+
+@query("V07_figure_contract", """WITH d AS (SELECT doc_id, doc_id // 1000 AS set_id, doc_id % 11 AS k, 'f' || (CASE WHEN doc_id % 11 = 9 THEN doc_id - 9 ELSE doc_id END + 1000) AS fig FROM documents WHERE doc_id % 3 < 2 AND text IS NOT NULL),
+x AS (SELECT *, '[FIGURE: ' || fig || ']' AS mark FROM d),
+own AS (SELECT a.set_id, a.doc_id, a.fig, min(b.doc_id) AS first FROM d a JOIN d b ON b.set_id = a.set_id AND b.fig = a.fig AND b.k NOT IN (1, 8) WHERE a.k NOT IN (1, 8) GROUP BY 1, 2, 3),
+ph AS (SELECT a.set_id, a.doc_id, min(b.doc_id) AS first FROM d a JOIN d b ON b.set_id = a.set_id AND b.fig = a.fig AND b.k NOT IN (2, 8) WHERE a.k NOT IN (2, 8) GROUP BY 1, 2)
+SELECT set_id, doc_id AS position, 'error' AS severity, code, detail FROM (
+ SELECT set_id, doc_id, 'BOTH_PLACEMENTS' AS code, fig AS detail FROM x WHERE k = 0 UNION ALL SELECT set_id, doc_id, 'IMAGE_WITHOUT_REF', fig FROM x WHERE k IN (1, 8)
+ UNION ALL SELECT set_id, doc_id, 'REF_INCOMPLETE', CASE WHEN k = 1 THEN '' ELSE fig END FROM x WHERE k IN (1, 2) UNION ALL SELECT set_id, doc_id, 'PLACEHOLDER_ABSENT', mark FROM x WHERE k = 6
+ UNION ALL SELECT set_id, doc_id, 'STEM_REF_WITHOUT_IMAGE', '' FROM x WHERE k = 1 UNION ALL SELECT set_id, doc_id, 'EXPLANATION_REF_WITHOUT_IMAGE', fig FROM x WHERE k = 3
+ UNION ALL SELECT set_id, doc_id, 'IMAGE_TWO_SOURCES', fig FROM x WHERE k = 5 UNION ALL SELECT set_id, doc_id, 'IMAGE_NO_SOURCE', fig FROM x WHERE k = 4 UNION ALL SELECT set_id, doc_id, 'IMAGE_REPEATED', fig FROM x WHERE k = 10
+ UNION ALL SELECT set_id, doc_id, 'MARK_WITHOUT_REF', fig FROM x WHERE k = 8 UNION ALL SELECT set_id, doc_id, 'FLAG_MISSING', NULL FROM x WHERE k = 7
+ UNION ALL SELECT set_id, doc_id, 'ID_REUSED', CAST(first AS VARCHAR) FROM own WHERE doc_id > first UNION ALL SELECT set_id, doc_id, 'PLACEHOLDER_REUSED', CAST(first AS VARCHAR) FROM ph WHERE doc_id > first)""")
+def v07(t):
+    """Documents without a text are no questions."""
+    return contracts.figure_findings(figured(t).where("stem IS NOT NULL"))
+
+
+def normalised(t):
+    """A document as a normalised question in JSON; by doc_id a field is missing or wrong."""
+    k, d = C("doc_id") % 13, C("doc_id").cast("string")
+    q = lambda s: F.to_json(F.struct(s.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(s.alias("v")))) - 6)
+    text = q(F.coalesce("text", F.lit("")))
+    fields = {
+        "schemaVersion": F.when(k == 1, '"v0"').otherwise('"nbme-normalized-question-v1"'), "sourceFile": F.lit('"f"'), "sourceQuestionNumber": F.when(k == 2, F.concat(F.lit('"'), d, F.lit('"'))).otherwise(d), "questionId": F.concat(F.lit('"q'), d, F.lit('"')),
+        "stem": text, "choices": F.when(k == 3, '[{"label":"G","text":"x"},{"label":"A"}]').when(k == 4, "{}").otherwise('[{"label":"A","text":"x"}]'), "correctAnswer": F.when(k == 5, '"G"').when(k == 6, '""').otherwise('"A"'), "educationalObjective": F.lit('"o"'),
+        "correctExplanation": F.when(k == 7, '"see ```JSON x"').otherwise('"c"'), "incorrectExplanations": F.when(k == 8, '[{"label":"B"}]').otherwise("[]"), "reviewPearl": F.lit('"p"'), "retrievalTag": F.lit('"t"'), "tags": F.when(k == 9, '"t"').otherwise('["t"]'),
+        "figures": F.lit("[]"), "tables": F.lit("[]"), "warnings": F.lit("[]"), "confidence": F.when(k == 10, '"sure"').otherwise('"high"'),
+    }
+    parts = [F.when(~((k == 11) & F.lit(f in ("tags", "stem"))), F.concat(F.lit(f'"{f}":'), c)) for f, c in fields.items()]
+    made = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.when(k == 12, "").otherwise("}"))
+    return t("documents").select("doc_id", made.alias("json"))
+
+
+@query("V03_normalised_contract", """SELECT doc_id, 'error' AS severity, code, detail FROM (SELECT doc_id, unnest(CASE doc_id % 13 WHEN 1 THEN [{'code': 'VERSION', 'detail': 'v0'}] WHEN 2 THEN [{'code': 'NUMBER_TYPE', 'detail': 'STRING'}]
+ WHEN 3 THEN [{'code': 'CHOICE_FIELD', 'detail': 'choices.text'}, {'code': 'CHOICE_LABEL', 'detail': 'G'}] WHEN 4 THEN [{'code': 'CHOICES_TYPE', 'detail': 'OBJECT<>'}] WHEN 5 THEN [{'code': 'KEY', 'detail': 'G'}]
+ WHEN 7 THEN [{'code': 'FORBIDDEN_PHRASE', 'detail': 'correctExplanation: ```json'}, {'code': 'FORBIDDEN_PHRASE', 'detail': 'correctExplanation: ```'}] WHEN 8 THEN [{'code': 'EXPLANATION_FIELD', 'detail': 'incorrectExplanations.explanation'}]
+ WHEN 9 THEN [{'code': 'ARRAY_TYPE', 'detail': 'tags'}] WHEN 10 THEN [{'code': 'CONFIDENCE', 'detail': 'sure'}] WHEN 11 THEN [{'code': 'MISSING_FIELD', 'detail': 'stem'}, {'code': 'MISSING_FIELD', 'detail': 'tags'}] WHEN 12 THEN [{'code': 'INVALID', 'detail': NULL}] ELSE [] END, recursive := true) FROM documents)""")
+def v03(t):
+    return contracts.normalised_findings(normalised(t), "doc_id", "json")
+
+
+@query("V14_extraction_gates", rf"""SELECT set_id, position, array_to_string(list_filter([CASE WHEN trim(stem) = '' THEN 'missing stem' END, CASE WHEN n < 4 THEN 'fewer than 4 answer choices' END, CASE WHEN NOT inside THEN 'correct answer not visible or invalid' END, CASE WHEN low THEN 'low extraction confidence' END], lambda x: x IS NOT NULL), '; ') AS warnings,
+ array_to_string(list_filter([CASE WHEN n NOT BETWEEN 2 AND 9 THEN 'not 2-9 choices' END, CASE WHEN NOT inside THEN 'correct answer is not among the labels' END], lambda x: x IS NOT NULL), '; ') AS blockers, trim(stem) <> '' AND n >= 4 AND inside AS usable, n BETWEEN 2 AND 9 AND inside AS convertible
+ FROM (SELECT *, len(texts) AS n, list_contains(string_split('ABCDEF', '')[1:len(texts)], correct) AS inside, position % 3 = 0 AS low FROM ({QUESTIONS}))""")
+def v14(t):
+    rows = questions(t).withColumn("confidence", F.when(C("position") % 3 == 0, 0.5).otherwise(0.55))
+    found = contracts.extraction_gates(rows)
+    return found.select("set_id", "position", *(F.array_join(c, "; ").alias(c) for c in ("warnings", "blockers")), "usable", "convertible")
