@@ -54,22 +54,28 @@ def prepared(concepts: DataFrame, generic: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _elements(sets: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """A row for each element of each set with n (elements of the set) and rank (by how few sets of the deck have it); head marks those that a similar set must share one of."""
-    spread = sets.withColumn("n", F.size("elements")).withColumn("element", F.explode("elements")).drop("elements")
-    counted = spread.withColumn("sets", F.count("*").over(Window.partitionBy("deck", "element")))
-    rank = F.row_number().over(Window.partitionBy("deck", *keys).orderBy("sets", "element"))
-    return counted.withColumn("rank", rank).withColumn("head", F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-
+def _linked(sets: DataFrame) -> DataFrame:
+    """Pairs (deck, a, b) that may have a reason: they share one of the rarest elements that a part's bound asks for.
 
-def _meet(elements: DataFrame, overlap: bool, threshold: float) -> DataFrame:
-    """Pairs a < b of a deck that share a leading element; with overlap, a leading one of the smaller set and any of the larger."""
-    left = elements.where("head AND sets > 1").select("deck", "element", F.col("concept").alias("x"), F.col("n").alias("n_x"))
-    right = elements.where("sets > 1") if overlap else elements.where("head AND sets > 1")
-    right = right.select("deck", "element", F.col("concept").alias("y"), F.col("n").alias("n_y"))
-    size = F.col("n_x") <= F.col("n_y") if overlap else F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y") - 1e-9
-    met = left.join(right, ["deck", "element"]).where((F.col("x") != F.col("y")) & size)
-    return met.select("deck", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    Of a set of n elements a similar one has `need` at least, so it has one of the n - need + 1 rarest; of two sets whose
+    overlap counts by the smaller one, that holds for the smaller, whatever of the larger it meets. Elements that only one
+    concept of the deck has are the rarest and meet nothing, so they leave after the first shuffle, and with them the sets
+    that have too few others.
+    """
+    kind = lambda name, bound, values: F.struct(F.lit(name).alias("kind"), F.lit(float(bound)).alias("bound"), values.alias("elements"))
+    parts = F.array(kind("fact", FACT_REASON, F.col("fact_keys")), kind("term", TERM_REASON, F.col("terms")), kind("title", TITLE_SCORE / TITLE_WEIGHT, F.col("title_terms")))
+    lists = F.transform(F.map_entries("structure"), lambda e: F.struct(F.concat(F.lit("list "), e["key"]).alias("kind"), F.lit(float(STRUCTURE_REASON)).alias("bound"), e["value"].alias("elements")))
+    groups = sets.select("deck", "concept", F.inline(F.concat(parts, lists)))
+    sized = groups.withColumn("n", F.size("elements")).withColumn("need", F.ceil(F.col("n") * F.col("bound") - 1e-9).cast("int"))
+    spread = sized.select("deck", "concept", F.xxhash64("kind").alias("part"), (F.col("kind") == "fact").alias("by_smaller"), "n", "need", F.explode("elements").alias("element"))
+    met = spread.withColumn("sets", F.count("*").over(Window.partitionBy("deck", "part", "element"))).where("sets > 1")
+    own = Window.partitionBy("deck", "concept", "part")
+    ranked = met.withColumn("others", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("sets", "element")))
+    ranked = ranked.withColumn("head", F.col("rank") <= F.col("others") - F.col("need") + 1).where("head OR by_smaller")
+    x, y = (ranked.select("deck", "part", "element", "by_smaller", *(F.col(c).alias(f"{p}_{c}") for c in ("concept", "n", "need", "head"))) for p in "xy")
+    both = x.where("x_head").join(y.drop("by_smaller"), ["deck", "part", "element"]).where("x_concept <> y_concept")
+    fits = F.when(F.col("by_smaller"), F.col("x_n") <= F.col("y_n")).otherwise(F.col("y_head") & (F.greatest("x_need", "y_need") <= F.least("x_n", "y_n")))
+    return both.where(fits).select("deck", F.least("x_concept", "y_concept").alias("a"), F.greatest("x_concept", "y_concept").alias("b")).distinct()
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -92,19 +98,6 @@ def scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return parts.select("deck", "a", "b", F.bround(score, 3).alias("score"), reasons.alias("reasons"))
 
 
-def _linked(sets: DataFrame) -> DataFrame:
-    """Pairs (deck, a, b) that may have a reason."""
-    least_title = TITLE_SCORE / TITLE_WEIGHT
-    one = ["concept"]
-    facts = _meet(_elements(sets.select("deck", "concept", F.col("fact_keys").alias("elements")), one, FACT_REASON), True, FACT_REASON)
-    words = _meet(_elements(sets.select("deck", "concept", F.col("terms").alias("elements")), one, TERM_REASON), False, TERM_REASON)
-    titles = _meet(_elements(sets.select("deck", "concept", F.col("title_terms").alias("elements")), one, least_title), False, least_title)
-    by_name = sets.select("deck", "concept", F.explode("structure").alias("name", "found"))
-    named = by_name.select("deck", "concept", "name", F.transform("found", lambda v: F.xxhash64("name", v)).alias("elements"))
-    structures = _meet(_elements(named, ["concept", "name"], STRUCTURE_REASON), False, STRUCTURE_REASON)
-    return facts.unionByName(words).unionByName(titles).unionByName(structures).distinct()
-
-
 def _with_terms(sets: DataFrame) -> DataFrame:
     return sets.withColumn("terms", F.array_union("own_terms", "fact_terms")).withColumn("title_terms", F.col("own_terms"))
 
