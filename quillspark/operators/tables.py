@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -54,3 +55,25 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str], fold: Callable
             yield pa.RecordBatch.from_pylist(fold(group), schema=target)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def numbered(df: DataFrame, groups: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """df with `name`: each row's place in its group, from 1, in ascending order (nulls first).
+
+    The same as row_number over a window by group, but no group, not even all rows as one, comes together in a task: rows
+    are sorted by ranges and written, and places are prefix sums of the counts by group and range. Ties are numbered in
+    some order.
+    """
+    keys = [*groups, *order]
+    kept = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("row_", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("row_", 33).alias("part_")
+    counts = kept.groupBy(*groups, part).agg(F.count("*").alias("n_"), F.min("row_").alias("first_"))
+    # A row for each group and range that it reaches into.
+    before = Window.partitionBy(*groups).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    bases = written(counts.withColumn("base_", F.coalesce(F.sum("n_").over(before), F.lit(0))).drop("n_"), "numbered-bases")
+    bases = bases.withColumnsRenamed({g: f"{g}_of_" for g in groups}).withColumnRenamed("part_", "of_part_")
+    same = F.shiftright("row_", 33) == F.col("of_part_")
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"{g}_of_"))
+    small = F.broadcast(bases) if bases.count() <= 100_000 else bases
+    return kept.join(small, same).select(*df.columns, (F.col("base_") + F.col("row_") - F.col("first_") + 1).alias(name))

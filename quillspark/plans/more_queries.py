@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import links
 from quillspark.operators.findings import findings
+from quillspark.operators.tables import numbered
 from quillspark.plans.registry import query
 from quillspark.plans.table_queries import PAIRS, token_sets
 from quillspark.plans.views import FIGURES, JOB_EVENTS, TURNS, figures, job_events, turns
@@ -31,8 +32,7 @@ def t36(t):
 
 @query("V17_findings_normalised", f"SELECT event_id, CASE WHEN event IN ('DROP', 'PLAN') THEN lower(event) ELSE 'warning' END AS severity, substr(upper(event || '_' || job), 1, 96) AS code FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts, event_id) AS r FROM ({JOB_EVENTS})) WHERE r <= 200")
 def v17(t):
-    r = F.row_number().over(Window.partitionBy("job").orderBy("ts", "event_id"))
-    kept = job_events(t).withColumn("r", r).where("r <= 200")
+    kept = numbered(job_events(t), ["job"], ["ts", "event_id"], "r").where("r <= 200")
     return kept.select("event_id", F.when(C("event").isin("DROP", "PLAN"), F.lower("event")).otherwise("warning").alias("severity"), F.substring(F.upper(F.concat("event", F.lit("_"), C("job").cast("string"))), 1, 96).alias("code"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import links
 from quillspark.operators.findings import findings
+from quillspark.operators.tables import numbered
 from quillspark.plans.registry import query
 from quillspark.plans.views import ATTEMPTS, FIGURES, FLAGS, JOB_EVENTS, RESULTS, TURNS, attempts, figures, flags, job_events, results, turns
 
@@ -223,7 +224,8 @@ def w10(t):
 
 @query("W11_attempt_counter", f"SELECT event_id, job, row_number() OVER (PARTITION BY job ORDER BY ts, event_id) AS n FROM ({JOB_EVENTS})")
 def w11(t):
-    return job_events(t).select("event_id", "job", F.row_number().over(Window.partitionBy("job").orderBy("ts", "event_id")).cast("long").alias("n"))
+    """A few jobs have all events, so numbers are prefix sums over ranges of time."""
+    return numbered(job_events(t).select("event_id", "job", "ts"), ["job"], ["ts", "event_id"], "n").drop("ts")
 
 
 @query("C07_batches", f"SELECT set_id, b, count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM (SELECT *, (row_number() OVER (PARTITION BY set_id ORDER BY n) - 1) // 2 AS b FROM ({TURNS})) GROUP BY set_id, b")
@@ -244,7 +246,7 @@ def c08(t):
 
 @query("K01_sorted", "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_regionkey, n_name) AS place FROM nation")
 def k01(t):
-    return t("nation").select("n_nationkey", "n_name", F.row_number().over(Window.orderBy("n_regionkey", "n_name")).cast("long").alias("place"))
+    return numbered(t("nation").select("n_nationkey", "n_name", "n_regionkey"), [], ["n_regionkey", "n_name"], "place").drop("n_regionkey")
 
 
 @query("K02_top_per_group", f"SELECT tag, question, n FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY n DESC, question) AS r FROM (SELECT tag, question, count(*) AS n FROM ({RESULTS}) GROUP BY tag, question)) WHERE r <= 5")
@@ -394,11 +396,11 @@ def j15(t):
     return t("part").join(s, C("s_suppkey") == C("p_partkey"), "left").select("p_partkey", F.coalesce(F.nullif("new", F.lit("")), "p_name").alias("tag"))
 
 
-EDGES = "SELECT DISTINCT p_partkey % 40 AS a, CAST(p_size AS BIGINT) AS b FROM part WHERE p_partkey % 97 = 0 AND p_size < 40"
+EDGES = "SELECT DISTINCT p_partkey % 400 AS a, CAST(p_size * 7 AS BIGINT) AS b FROM part"
 
 
 def edges(t):
-    return t("part").where("p_partkey % 97 = 0 AND p_size < 40").select((C("p_partkey") % 40).alias("a"), C("p_size").cast("long").alias("b")).distinct()
+    return t("part").select((C("p_partkey") % 400).alias("a"), (C("p_size") * 7).cast("long").alias("b")).distinct()
 
 
 @query("J16_edge_policy", f"SELECT a, b FROM ({EDGES}) WHERE a % 3 = 0 AND b % 3 = 2")
@@ -406,9 +408,11 @@ def j16(t):
     return edges(t).where("a % 3 = 0 AND b % 3 = 2")
 
 
-@query("J17_reach", f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, b FROM r")
+@query("J17_reach", f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, b FROM r WHERE a % 3 = 0 AND b % 3 = 2 AND (a, b) NOT IN (SELECT a, b FROM e)")
 def j17(t):
-    return links.reachable(edges(t))
+    """Pairs that are reached, not direct, and against the policy."""
+    direct = edges(t)
+    return links.reachable(direct).join(direct, ["a", "b"], "left_anti").where("a % 3 = 0 AND b % 3 = 2")
 
 
 @query("J18_fingerprints", "SELECT doc_id, array_to_string(list_filter([CASE WHEN source IS DISTINCT FROM 'src' || (doc_id % 20) THEN 'source' END, CASE WHEN lang IS DISTINCT FROM 'en' THEN 'lang' END], lambda x: x IS NOT NULL), ',') AS reasons FROM documents")
@@ -502,8 +506,10 @@ def x04(t):
 
 @query("X05_quota_latch", f"SELECT event_id, coalesce(max(CAST(event = 'DROP' AND value > 90 AS INT)) OVER (PARTITION BY job ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS skipped FROM ({JOB_EVENTS})")
 def x05(t):
-    w = Window.partitionBy("job").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return job_events(t).select("event_id", (F.coalesce(F.max(((C("event") == "DROP") & (C("value") > 90)).cast("int")).over(w), F.lit(0)) == 1).alias("skipped"))
+    """What comes after a job's first quota failure is skipped, so its place is all that is needed of the job."""
+    at = F.struct("ts", "event_id")
+    first = job_events(t).where("event = 'DROP' AND value > 90").groupBy("job").agg(F.min(at).alias("first"))
+    return job_events(t).join(first, "job", "left").select("event_id", F.coalesce(at > C("first"), F.lit(False)).alias("skipped"))
 
 
 @query("X07_dwell", "SELECT user_id, event_type, max_by(value, (ts, event_id)) AS seconds FROM events GROUP BY user_id, event_type")
