@@ -1,72 +1,89 @@
 """Packers: pages into chunks of bounded size, and items into batches bounded by number and cost.
 
-Both fold sizes only: texts don't move until it is known where they belong.
+Both are folds over ordered rows that hold no more than what is open.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from quillspark.operators.tables import fold_groups, written
+from quillspark.operators.tables import written
 
 
 def page_units(pages: DataFrame, cap: int) -> DataFrame:
-    """doc_id, page, tie (a hash of the page's text), unit (from 1), text, size, fresh: a page is one unit, a longer one than cap one for each paragraph.
+    """doc_id, page, tie (a hash of the page's text), unit (from 1), text, fresh, figures: a page is one unit, a longer one than cap one for each paragraph.
 
-    Paragraphs lie between blank lines; fresh marks the first one of an oversized page, which begins a chunk.
+    Paragraphs lie between blank lines; fresh marks the first one of an oversized page, which begins a chunk. figures are
+    the page's, with its first unit.
     """
     strip = lambda c: F.regexp_replace(c, r"\A\s+|\s+\z", "")
-    rows = pages.select("doc_id", "page", strip(F.col("text")).alias("text")).where("text <> ''").withColumn("tie", F.xxhash64("text"))
+    none = F.array().cast("array<string>")
+    rows = pages.select("doc_id", "page", strip(F.col("text")).alias("text"), F.coalesce("figures", none).alias("figures")).where("text <> ''").withColumn("tie", F.xxhash64("text"))
     paragraphs = F.filter(F.transform(F.split("text", r"\n{2,}"), strip), lambda p: p != "")
-    units = F.when(F.char_length("text") > cap, paragraphs).otherwise(F.array("text"))
-    cut = rows.select("doc_id", "page", "tie", F.size(units).alias("n"), (F.char_length("text") > cap).alias("over"), F.posexplode(units).alias("at", "text"))
-    return cut.select("doc_id", "page", "tie", (F.col("at") + 1).alias("unit"), "text", F.char_length("text").alias("size"), (F.col("over") & (F.col("at") == 0)).alias("fresh"))
+    over = F.char_length("text") > cap
+    cut = rows.select("doc_id", "page", "tie", "figures", over.alias("over"), F.posexplode(F.when(over, paragraphs).otherwise(F.array("text"))).alias("at", "text"))
+    return cut.select("doc_id", "page", "tie", (F.col("at") + 1).alias("unit"), "text", (F.col("over") & (F.col("at") == 0)).alias("fresh"), F.when(F.col("at") == 0, F.col("figures")).otherwise(none).alias("figures"))
 
 
-def chunk_numbers(sizes: list[int], fresh: list[bool], cap: int, gap: int) -> list[int]:
-    """Numbers, from 1, of greedy chunks: a unit begins one if it is fresh or would make the open one, with a gap, longer than cap."""
-    out, open_size, number = [], -1, 0
-    for size, new in zip(sizes, fresh, strict=True):
-        if open_size < 0 or new or open_size + gap + size > cap:
-            number, open_size = number + 1, size
-        else:
-            open_size += gap + size
-        out.append(number)
-    return out
+CHUNK = "doc_id long, chunk long, page_start long, page_end long, n_chars long, text string, figures array<string>"
 
 
 def pack_pages(pages: DataFrame, cap: int = 12_000) -> DataFrame:
-    """doc_id, chunk, page_start, page_end, n_chars, text, figures: pages merged in order while they fit into cap characters.
+    """CHUNK: pages merged in order while they fit into cap characters.
 
     pages: doc_id, page, text and figures (an array of strings), one row a page; other columns are ignored. Pages are
     stripped and joined by a blank line; blank ones, and their figures, are left out. A page longer than cap begins a chunk
     and is packed by paragraphs; a paragraph longer than cap is a chunk of its own. A page's figures go with its first unit.
-    Repeated page numbers are ordered by text. Null doc_ids make one document. No pages: no chunks.
+    Equal page numbers are ordered by text, and units of equal rows lie side by side. Null doc_ids make one document. No
+    pages: no chunks.
 
-    Only sizes are folded, a document at a time: 24 bytes a unit; texts meet by chunk.
+    Texts move once, to lie in order; then a chunk is let go of as soon as it is full, so that a task holds one of them,
+    however long a document is.
     """
-    units = page_units(pages, cap)
-    units = units.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "tie", "unit")).cast("long"))
-
-    def fold(group: list[dict]) -> list[dict]:
-        chunks = chunk_numbers([x["size"] for x in group], [x["fresh"] for x in group], cap, 2)
-        return [{"doc": x["doc"], "at": x["at"], "chunk": k} for x, k in zip(group, chunks, strict=True)]
-
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    numbers = fold_groups(units.select(key.alias("doc"), "at", "size", "fresh"), ["doc"], ["at"], fold, "doc string, at long, chunk long")
-    placed = units.withColumn("doc", key).join(numbers, ["doc", "at"])
-    figures = pages.select("doc_id", "page", F.explode("figures").alias("figure"))
-    firsts = placed.where("unit = 1").select("doc", "page", "chunk").distinct()
-    held = figures.withColumn("doc", key).join(firsts, ["doc", "page"]).groupBy("doc", "chunk").agg(F.array_sort(F.collect_list(F.struct("page", "figure"))).alias("figures"))
-    parts = F.array_sort(F.collect_list(F.struct("at", "text")))
-    chunks = placed.groupBy("doc", "doc_id", "chunk").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
-    out = chunks.join(held, ["doc", "chunk"], "left")
-    names = F.transform(F.coalesce("figures", F.array().cast("array<struct<page:bigint,figure:string>>")), lambda x: x["figure"])
-    return out.select("doc_id", "chunk", "page_start", "page_end", F.char_length("text").alias("n_chars"), "text", names.alias("figures"))
+    target = to_arrow_schema(StructType.fromDDL(CHUNK))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc: object = run  # no document yet
+        number = size = 0
+        parts: list[str] = []
+        first = last = None
+        figures: list[str] = []
+        out: list[dict] = []
+
+        def close() -> None:
+            if parts:
+                text = "\n\n".join(parts)
+                out.append({"doc_id": doc, "chunk": number, "page_start": first, "page_end": last, "n_chars": len(text), "text": text, "figures": list(figures)})
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                new_doc = row["doc_id"] != doc
+                if new_doc or row["fresh"] or size + 2 + len(row["text"]) > cap:
+                    close()
+                    number = 1 if new_doc else number + 1
+                    doc, first, size = row["doc_id"], row["page"], -2
+                    parts, figures = [], []
+                parts.append(row["text"])
+                size += 2 + len(row["text"])
+                last = row["page"]
+                figures += row["figures"]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=target)
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=target)
+
+    units = page_units(pages, cap).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), "tie", "unit", "text", "fresh", "figures")
+    return units.repartition("doc_id").sortWithinPartitions("doc_id", "page", "tie", "unit").mapInArrow(run, CHUNK)
 
 
 def batch_states(costs: np.ndarray, before: list[float], most: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
