@@ -229,9 +229,10 @@ def consolidate(concepts: DataFrame, direct: int = 500, generic: Sequence[str] =
     unless a keeper resembles such a concept for a while only, before it grows on. together shows hot components. Null decks are
     left out; nulls inside a concept are empty; repeated (deck, concept) are folded each. No concepts: none.
     """
-    sets = written(_with_terms(prepared(concepts.where("deck IS NOT NULL"), generic)), "concepts")
+    known = concepts.where("deck IS NOT NULL")
+    sets = _with_terms(prepared(known, generic))
     whole = sets.withColumn("component", F.lit(0).cast("long"))
-    hot = written(sets.groupBy("deck").agg(F.count("*").alias("size")).where(F.col("size") > direct).select("deck"), "concept-decks")
+    hot = written(known.groupBy("deck").agg(F.count("*").alias("size")).where(F.col("size") > direct).select("deck"), "concept-decks")
     if hot.isEmpty():
         return _folded(whole, False)
     result = _folded(whole.join(hot, "deck", "left_anti"), False)
