@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import allocation, boxes, consolidate, contracts, markup, packers, salvage, shared_options, wrapped
+from quillspark.operators import allocation, boxes, consolidate, contracts, markup, packers, question_text, salvage, shared_options, wrapped
 from quillspark.plans.registry import query
 from quillspark.plans.text_queries import LINES, lines
 
@@ -300,3 +300,30 @@ def v14(t):
     rows = questions(t).withColumn("confidence", F.when(C("position") % 3 == 0, 0.5).otherwise(0.55))
     found = contracts.extraction_gates(rows)
     return found.select("set_id", "position", *(F.array_join(c, "; ").alias(c) for c in ("warnings", "blockers")), "usable", "convertible")
+
+
+def exam_text(t):
+    """Every fourth line of a document begins an item, the others are its options; every fifth item says its key."""
+    marked = F.transform(F.split("text", "\n"), lambda x, k: F.when(k % 4 == 0, F.concat((F.floor(k / 4) + 1).cast("string"), F.lit(". "), x)).otherwise(F.concat(F.substring(F.lit("ABC"), (k % 4).cast("int"), F.lit(1)), F.lit(") "), x)))
+    keyed = F.transform(marked, lambda x, k: F.when(k % 20 == 3, F.concat(x, F.lit("\nCorrect answer: B because of it"))).otherwise(x))
+    return t("documents").select("doc_id", F.array_join(keyed, "\n").alias("text"))
+
+
+@query("C03_question_chunks")
+def c03(t):
+    """Warnings and digests of the chunks of all documents."""
+    chunks, _ = question_text.question_chunks(exam_text(t))
+    return chunks.select("doc_id", "position", "number", "confidence", F.array_join("warnings", "; ").alias("warnings"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("C10_answer_keys")
+def c10(t):
+    found = question_text.answer_keys(exam_text(t))
+    return found.select("doc_id", "number", "correct", "found_by", F.array_join(F.array_sort(F.map_keys("explanations")), ",").alias("explained"))
+
+
+@query("C01_note_chunks")
+def c01_notes(t):
+    """Lines are paragraphs here, as these texts have no blank ones."""
+    docs = t("documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return question_text.chunk_notes(docs).select("doc_id", "chunk", "n_chars", F.sha2("text", 256).alias("text_sha256"))
