@@ -102,7 +102,13 @@ def _with_terms(sets: DataFrame) -> DataFrame:
     return sets.withColumn("terms", F.array_union("own_terms", "fact_terms")).withColumn("title_terms", F.col("own_terms"))
 
 
-def overlaps(concepts: DataFrame, generic: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def _hot_decks(concepts: DataFrame, direct: int) -> DataFrame | None:
+    """Decks of over `direct` concepts, or None if there are none."""
+    hot = written(concepts.groupBy("deck").agg(F.count("*").alias("size")).where(F.col("size") > direct).select("deck"), "concept-decks")
+    return None if hot.isEmpty() else hot
+
+
+def overlaps(concepts: DataFrame, generic: Sequence[str] = (), direct: int = 500) -> tuple[DataFrame, DataFrame]:
     """Pairs of different concepts that overlap, and which concept stands for each.
 
     concepts: deck, concept (unique in its deck), title, facts, structured, assets. First result: deck, a, b, score, reasons:
@@ -112,13 +118,22 @@ def overlaps(concepts: DataFrame, generic: Sequence[str] = ()) -> tuple[DataFram
     The score is the largest of: shared facts over the smaller set of facts, the best Jaccard similarity of a structured list,
     that of terms, and TITLE_WEIGHT of that of title terms. A pair has a reason only above its part's bound, so candidates
     share one of the rarest elements that the bound asks for, in any of the four parts; none is lost. Nulls are empty,
-    empty sets overlap with nothing. No concepts: none.
+    empty sets overlap with nothing, concepts without a deck with none. No concepts: none.
+
+    Sets of decks of up to `direct` concepts move once, deck by deck; larger decks are dealt by their elements.
     """
-    sets = _with_terms(prepared(concepts, generic))
+    hot = _hot_decks(concepts, direct)
+    sets = _with_terms(prepared(concepts, generic)).select("deck", "concept", "fact_keys", "terms", "title_terms", "structure")
     key = F.xxhash64(*(F.array_sort(c) for c in ("fact_keys", "terms", "title_terms")), F.array_sort(F.map_entries("structure")).cast("string"))
-    members = sets.withColumn("representative", F.min("concept").over(Window.partitionBy("deck", key)))
+    small, large = (sets, None) if hot is None else (sets.join(hot, "deck", "left_anti"), sets.join(hot, "deck", "left_semi"))
+    members = small.repartition("deck") if large is None else small.repartition("deck").unionByName(large)
+    members = members.withColumn("representative", F.min("concept").over(Window.partitionBy("deck", key)))
     chosen = written(members.where("concept = representative").drop("representative"), "concepts")
-    pairs = scored(_linked(chosen), chosen).where((F.col("score") >= REPORT) & (F.size("reasons") > 0))
+    if hot is None:
+        linked = _linked(chosen.repartition("deck"))
+    else:
+        linked = _linked(chosen.join(hot, "deck", "left_anti").repartition("deck")).unionByName(_linked(chosen.join(hot, "deck", "left_semi")))
+    pairs = scored(linked, chosen).where((F.col("score") >= REPORT) & (F.size("reasons") > 0))
     return pairs, members.select("deck", "concept", "representative")
 
 
@@ -232,8 +247,8 @@ def consolidate(concepts: DataFrame, direct: int = 500, generic: Sequence[str] =
     known = concepts.where("deck IS NOT NULL")
     sets = _with_terms(prepared(known, generic))
     whole = sets.withColumn("component", F.lit(0).cast("long"))
-    hot = written(known.groupBy("deck").agg(F.count("*").alias("size")).where(F.col("size") > direct).select("deck"), "concept-decks")
-    if hot.isEmpty():
+    hot = _hot_decks(known, direct)
+    if hot is None:
         return _folded(whole, False)
     result = _folded(whole.join(hot, "deck", "left_anti"), False)
     large = written(sets.join(hot, "deck", "left_semi"), "concepts-large")

@@ -103,9 +103,10 @@ def test_keepers_grow(spark):
     assert got[2][:2] == ("keep", None) and got[2][2] == 3
 
 
-def test_overlaps_equal_all_pairs(spark):
+@pytest.mark.parametrize("direct", [10, 500])
+def test_overlaps_equal_all_pairs(spark, direct):
     rows = some(2, 300, decks=2)
-    pairs, members = consolidate.overlaps(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    pairs, members = consolidate.overlaps(spark.createDataFrame(rows, SCHEMA).repartition(5), direct=direct)
     got = {(r.deck, r.a, r.b): (r.score, tuple(r.reasons)) for r in pairs.collect()}
     stands = {(r.deck, r.concept): r.representative for r in members.collect()}
     assert len(stands) == len(rows)
