@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quillspark.operators.tables import written
+from quillspark.operators.tables import slices, written
 
 
 def page_units(pages: DataFrame, cap: int) -> DataFrame:
@@ -63,7 +63,7 @@ def pack_pages(pages: DataFrame, cap: int = 12_000) -> DataFrame:
                 text = "\n\n".join(parts)
                 out.append({"doc_id": doc, "chunk": number, "page_start": first, "page_end": last, "n_chars": len(text), "text": text, "figures": list(figures)})
 
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 new_doc = row["doc_id"] != doc
                 if new_doc or row["fresh"] or size + 2 + len(row["text"]) > cap:

@@ -31,6 +31,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Parts of batches, so that few rows at a time become Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def fold_groups(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
     """The rows that `fold` makes of each group's rows, in order; one group at a time is held in memory.
 
@@ -42,7 +49,7 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str], fold: Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[dict] = []
         out: list[dict] = []
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 if group and any(row[k] != group[0][k] for k in keys):
                     out += fold(group)
