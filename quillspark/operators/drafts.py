@@ -186,3 +186,60 @@ def review_drafts(questions: DataFrame, messages: DataFrame) -> tuple[DataFrame,
     drafts = sets.join(sound, "set_id").join(counts, "set_id").select("set_id", "n_questions", "n_errors", "valid")
     items = messages.join(drafts.select("set_id"), "set_id", "left_semi").select("set_id", "kind", F.when(C("kind") == "error", "error").otherwise("warning").alias("severity"), "position", "message")
     return drafts, items
+
+
+# What a learner leaves on a question and a redo takes away.
+LEARNER_FIELDS = tuple("hint hints generatedHint aiHint hintHtml hintShown hintUsed selectedAnswer userAnswer isCorrect flagged confidence notes scratch elapsedTime timeSpent answeredAt reviewedAt markedForReview".split())
+
+
+def reset_for_redo(questions: DataFrame, fields: Sequence[str] = LEARNER_FIELDS, column: str | None = None) -> DataFrame:
+    """Questions without learner state: top-level columns, or fields of the struct in `column`; names that aren't there are passed over."""
+    if column is None:
+        return questions.drop(*(f for f in fields if f in questions.columns))
+    there = [f for f in fields if f in questions.schema[column].dataType.names]
+    return questions.withColumn(column, C(column).dropFields(*there)) if there else questions
+
+
+QUALITIES, DISPOSITIONS, IMAGE_KINDS = ("none", "poor", "fair", "good"), ("keep", "merge", "suppress", "recap_only", "low_information"), ("diagnostic", "explanatory", "algorithm", "decorative", "table-like")
+CONCEPT_FIELDS = (
+    "conceptId", "sourceSlideIds", "title", "category", "clinicalFacts", "diagnosticFacts", "managementFacts", "mechanismFacts", "differentialFacts", "trapFacts", "nativeTextFacts", "imageOcrFacts", "cleanedImageFacts", "structuredImageFacts",
+    "imageTextQuality", "images", "tables", "questionPotential", "groundingTerms", "semanticClusterId", "duplicateOf", "overlapScore", "dedupeDisposition",
+)
+
+
+def concept_findings(rows: DataFrame, deck: str, column: str) -> DataFrame:
+    """Deck, position, code, detail of concepts as JSON in `column`, with position (from 1) in their deck.
+
+    Missing keys, a missing or repeated id (an earlier position has it), an empty title, no source slides, fact lists, images,
+    tables and terms that are no lists, structured facts that are no object, values outside the enumerations, an overlap that
+    is no number or outside 0 to 1, and kinds of images. What is no object is that alone.
+    """
+    v = F.try_parse_json(column)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get("v", path, "variant")), F.lit("VOID"))
+    text = lambda path: F.coalesce(F.try_variant_get("v", path, "string"), F.lit(""))
+    df = rows.select(C(deck), C("position").cast("long").alias("position"), v.alias("v"), F.coalesce(F.json_object_keys(column), F.array().cast("array<string>")).alias("keys")).withColumn("id", text("$.conceptId"))
+    lists = [f for f in CONCEPT_FIELDS if (f.endswith("Facts") and f != "structuredImageFacts") or f in ("images", "tables", "groundingTerms")]
+    one = lambda test, detail=None: F.when(F.coalesce(test, F.lit(True)), F.array(F.lit(detail).cast("string") if detail is None or isinstance(detail, str) else detail)).otherwise(F.array().cast("array<string>"))
+    is_object = F.startswith(kind("$"), F.lit("OBJECT"))
+    score = F.try_variant_get("v", "$.overlapScore", "double")
+    images = F.coalesce(F.try_variant_get("v", "$.images", "array<variant>"), F.array().cast("array<variant>"))
+    slides = F.startswith(kind("$.sourceSlideIds"), F.lit("ARRAY")) & F.try_variant_get("v", "$.sourceSlideIds[0]", "variant").isNotNull()
+    bad_kinds = F.filter(F.transform(F.filter(images, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT"))), lambda x: F.coalesce(F.try_variant_get(x, "$.kind", "string"), F.lit(""))), lambda k: ~k.isin(*IMAGE_KINDS))
+    rules = [
+        ("missing key", F.array_except(F.array(*map(F.lit, CONCEPT_FIELDS)), "keys")), ("missing conceptId", one(C("id") == "")), ("empty title", one(text("$.title") == "")), ("no source slides", one(~slides)),
+        ("not a list", F.filter(F.array(*(F.when(~F.startswith(kind(f"$.{f}"), F.lit("ARRAY")), F.lit(f)) for f in lists)), lambda x: x.isNotNull())), ("structured facts", one(~F.startswith(kind("$.structuredImageFacts"), F.lit("OBJECT")))),
+        ("image text quality", one(~text("$.imageTextQuality").isin(*QUALITIES), text("$.imageTextQuality"))), ("disposition", one(~text("$.dedupeDisposition").isin(*DISPOSITIONS), text("$.dedupeDisposition"))),
+        ("overlap is no number", one(score.isNull())), ("overlap outside 0 to 1", one(F.coalesce(~score.between(0, 1), F.lit(False)))), ("image kind", bad_kinds),
+    ]
+    none = F.array().cast("array<string>")
+    made = [F.transform(F.when(is_object, d).otherwise(none), _coded(code)) for code, d in rules]
+    made.append(F.transform(F.when(F.coalesce(is_object, F.lit(False)), none).otherwise(F.array(F.lit(None).cast("string"))), _coded("not an object")))
+    own = df.select(deck, "position", F.explode(F.concat(*made)).alias("f")).select(deck, "position", "f.*")
+    ids = df.where("id <> ''").select(deck, "position", "id")
+    first = ids.groupBy(deck, "id").agg(F.min("position").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = ids.join(first, [deck, "id"]).where("position > first").select(deck, "position", F.lit("repeated conceptId").alias("code"), C("id").alias("detail"))
+    return own.unionByName(again)
+
+
+def _coded(code: str):
+    return lambda x: F.struct(F.lit(code).alias("code"), x.cast("string").alias("detail"))

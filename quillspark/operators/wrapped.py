@@ -69,3 +69,32 @@ def unwrap(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "k", "line"]).astype({"doc_id": "Int64", "k": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, k long, line string")
+
+
+def atomic_lines(slides: DataFrame, relevant: str = ".") -> DataFrame:
+    """C14: slide_id, k (from 1), line: distinct relevant lines of slides (slide_id, blocks, notes, tables), in order.
+
+    blocks is an array of texts and notes a text, both unwrapped; tables an array of (headers, rows), of which a row becomes its
+    cells joined by ` | ` after the first header. Lines have 4 to 260 characters and match `relevant`; one that was there
+    before, but for case and blanks, goes. Nulls are empty; repeated rows are cut each.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = re.compile(relevant)
+        for frame in frames:
+            out = []
+            for slide, blocks, notes, tables in zip(*(frame[c] for c in ("slide_id", "blocks", "notes", "tables")), strict=True):
+                lines = [x for text in [*(blocks if blocks is not None else ()), notes] if text for x in join_lines(text)]
+                for table in tables if tables is not None else ():
+                    headers = [str(h or "").strip() for h in (table["headers"] if table["headers"] is not None else ())]
+                    for row in table["rows"] if table["rows"] is not None else ():
+                        cells = [c for x in (row if row is not None else ()) if (c := str(x or "").strip())]
+                        if cells:
+                            lines.append((f"{headers[0]}: " if headers and headers[0] else "") + " | ".join(cells))
+                clean = (_SPACE.sub(" ", x).strip(STRIPPED) for x in lines)
+                kept = {x.lower(): x for x in reversed([x for x in clean if 4 <= len(x) <= 260 and wanted.search(x)])}
+                out += [(slide, k, x) for k, x in enumerate(reversed(kept.values()), 1)]
+            yield pd.DataFrame(out, columns=["slide_id", "k", "line"]).astype({"slide_id": "Int64", "k": "Int64"})
+
+    rows = slides.select(F.col("slide_id").cast("long").alias("slide_id"), "blocks", "notes", "tables")
+    return rows.mapInPandas(run, "slide_id long, k long, line string")

@@ -327,3 +327,12 @@ def c01_notes(t):
     """Lines are paragraphs here, as these texts have no blank ones."""
     docs = t("documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return question_text.chunk_notes(docs).select("doc_id", "chunk", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("C14_atomic_lines")
+def c14(t):
+    """A document's lines in one block, its last line as notes, and its first three lines as a table of words."""
+    cut = F.split("text", "\n")
+    table = F.struct(F.slice(F.split(F.get(cut, 0), " "), 1, 3).alias("headers"), F.transform(F.slice(cut, 2, 2), lambda x: F.split(x, " ")).alias("rows"))
+    slides = t("documents").where("text IS NOT NULL").select(C("doc_id").alias("slide_id"), F.array("text").alias("blocks"), F.element_at(cut, -1).alias("notes"), F.array(table).alias("tables"))
+    return wrapped.atomic_lines(slides).select(C("slide_id").alias("doc_id"), "k", "line")

@@ -100,3 +100,35 @@ def test_review_drafts(spark):
     made, items = drafts.review_drafts(questions, spark.createDataFrame(messages, "set_id long, kind string, position long, message string"))
     assert sorted((r.set_id, r.n_questions, r.n_errors, r.valid) for r in made.collect()) == [(1, 3, 2, [1, 3]), (5, 3, 1, [1, 2, 3])]
     assert sorted((r.set_id, r.kind, r.severity, r.position or 0) for r in items.collect()) == [(1, "error", "error", 2), (1, "error", "error", 2), (1, "semantic", "warning", 1), (1, "warning", "warning", 0), (5, "error", "error", 0)]
+
+
+def test_redo(spark):
+    df = spark.createDataFrame([(1, "A", 3, ("B", 5, "stem"))], "k long, userAnswer string, timeSpent int, q struct<userAnswer:string,hintUsed:int,stem:string>")
+    assert drafts.reset_for_redo(df).columns == ["k", "q"]
+    assert drafts.reset_for_redo(df, column="q").schema["q"].dataType.names == ["stem"]
+    assert drafts.reset_for_redo(df.select("k")).columns == ["k"]
+
+
+def test_concept_contract(spark):
+    ok = dict.fromkeys(drafts.CONCEPT_FIELDS, []) | {"conceptId": "c1", "title": "t", "sourceSlideIds": ["s"], "structuredImageFacts": {}, "imageTextQuality": "good", "dedupeDisposition": "keep", "overlapScore": 0.5, "images": [{"kind": "diagnostic"}, "x"]}
+    bad = ok | {"conceptId": "", "title": "", "sourceSlideIds": [], "trapFacts": {}, "structuredImageFacts": [], "imageTextQuality": "best", "dedupeDisposition": None, "overlapScore": 1.5, "images": [{"kind": "photo"}, {}]}
+    rows = [(1, 1, json.dumps(ok)), (1, 2, json.dumps(ok)), (2, 1, json.dumps(ok)), (1, 3, json.dumps(bad)), (1, 4, json.dumps({k: v for k, v in ok.items() if k != "tables"} | {"conceptId": "c4", "overlapScore": "x"})), (1, 5, "[]"), (1, 6, None)]
+    got = sorted((r.deck, r.position, r.code, r.detail or "") for r in drafts.concept_findings(spark.createDataFrame(rows, "deck long, position int, c string").repartition(3), "deck", "c").collect())
+    assert got == sorted([
+        (1, 2, "repeated conceptId", "c1"), (1, 3, "missing conceptId", ""), (1, 3, "empty title", ""), (1, 3, "no source slides", ""), (1, 3, "not a list", "trapFacts"), (1, 3, "structured facts", ""), (1, 3, "image text quality", "best"), (1, 3, "disposition", ""),
+        (1, 3, "overlap outside 0 to 1", ""), (1, 3, "image kind", "photo"), (1, 3, "image kind", ""), (1, 4, "missing key", "tables"), (1, 4, "not a list", "tables"), (1, 4, "overlap is no number", ""), (1, 5, "not an object", ""), (1, 6, "not an object", ""),
+    ])
+
+
+def test_atomic_lines(spark):
+    from quillspark.operators import wrapped
+
+    table = (["Drug", "Dose"], [["aspirin", " ", "100 mg"], [None, ""], None, ["x"]])
+    rows = [(1, ["Oral\nintake of salt\nabc", None], "oral INTAKE of salt\n- last line here it is", [table, (None, [["only cells", "here"]])]), (2, None, None, None), (None, ["y" * 300 + "\nfive words in a line"], "", [])]
+    df = spark.createDataFrame(rows, "slide_id long, blocks array<string>, notes string, tables array<struct<headers:array<string>,rows:array<array<string>>>>")
+    got = {}
+    for r in wrapped.atomic_lines(df).orderBy("slide_id", "k").collect():
+        got.setdefault(r.slide_id, []).append(r.line)
+    assert got == {1: ["Oral intake of salt abc", "oral INTAKE of salt", "last line here it is", "Drug: aspirin | 100 mg", "Drug: x", "only cells | here"], None: ["five words in a line"]}
+    assert [r.line for r in wrapped.atomic_lines(df, "salt").collect()] == ["Oral intake of salt abc", "oral INTAKE of salt"]
+    assert wrapped.atomic_lines(df.where("1 = 0")).count() == 0
