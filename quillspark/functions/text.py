@@ -201,3 +201,16 @@ def low_content(c: Column, noise: str = r"^[^A-Za-z]*$") -> Column:
     """Under 50 characters, or over 0.6 of the non-blank lines are noise."""
     lines = F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
     return (F.length(F.trim(c)) < 50) | (F.size(F.filter(lines, lambda x: x.rlike(noise))) > 0.6 * F.size(lines))
+
+
+# Phrases of failure messages by class; truncation is told by the labels of a failed salvage, as they are written.
+TRUNCATION = ("truncation_unterminated_string", "truncation_missing_closing_bracket", "truncation_repeated_object_prefix")
+NETWORK = ("urlopen error", "nodename nor servname provided", "name or service not known", "network is unreachable", "temporary failure in name resolution", "request timed out", "repair_timeout")
+QUOTA = ("http 429", "resource_exhausted", "prepayment credits are depleted", "quota exceeded", "rate limit", "too many requests")
+
+
+def failure_classes(message: Column) -> Column:
+    """The classes whose phrases a message holds, of truncation, network and quota, in this order; without regard to case but for truncation. None for null."""
+    has = lambda c, phrases: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(c, p))
+    found = (("truncation", has(message, TRUNCATION)), ("network", has(F.lower(message), NETWORK)), ("quota", has(F.lower(message), QUOTA)))
+    return F.array_compact(F.array(*(F.when(x, F.lit(name)) for name, x in found)))

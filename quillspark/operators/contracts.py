@@ -146,15 +146,15 @@ def figure_findings(questions: DataFrame) -> DataFrame:
 
 
 # Fixed values of the normalised question.
-NORMALISED_VERSION = "nbme-normalized-question-v1"
+NORMALISED_VERSION = "normalized-question-v1"
 REQUIRED = ("schemaVersion", "sourceFile", "sourceQuestionNumber", "questionId", "stem", "choices", "correctAnswer", "educationalObjective", "correctExplanation", "incorrectExplanations", "reviewPearl", "retrievalTag", "tags", "figures", "tables", "warnings", "confidence")
 ARRAYS = ("warnings", "tags", "figures", "tables", "incorrectExplanations")
 TEXTS = ("stem", "correctExplanation", "educationalObjective", "reviewPearl", "retrievalTag")
 FORBIDDEN = ("Here are the extracted questions", "eftab720", "tightenfactor0", "Below is the JSON", "```json", "```")
 
 
-def normalised_findings(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """Key, severity, code, detail of the JSON object in `column`.
+def normalised_findings(rows: DataFrame, key: str, column: str, version: str = NORMALISED_VERSION) -> DataFrame:
+    """Key, severity, code, detail of the JSON object in `column`; version: the schema version that it should have.
 
     Missing required fields are all that is reported of a row that lacks any. Otherwise: version, integer number, choices
     (an array of objects with label A to F and text), key (a letter A to F or empty), confidence, array fields, entries of
@@ -187,7 +187,7 @@ def normalised_findings(rows: DataFrame, key: str, column: str) -> DataFrame:
         ("MISSING_FIELD", F.when(is_object, missing).otherwise(_none("array<string>"))),
     ]
     later = [
-        ("VERSION", one(text("$.schemaVersion") != NORMALISED_VERSION, text("$.schemaVersion"))),
+        ("VERSION", one(text("$.schemaVersion") != version, text("$.schemaVersion"))),
         ("NUMBER_TYPE", one(kind("$.sourceQuestionNumber") != "BIGINT", kind("$.sourceQuestionNumber"))),
         ("CHOICES_TYPE", one(~is_array("$.choices"), kind("$.choices"))),
         ("CHOICE_FIELD", F.concat(lacks("$.choices", "label"), lacks("$.choices", "text"))),

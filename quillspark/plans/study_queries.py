@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
 from quillspark.operators import allocation, boxes, consolidate, contracts, markup, packers, question_text, salvage, shared_options, wrapped
 from quillspark.plans.registry import query
 from quillspark.plans.text_queries import LINES, lines
@@ -275,7 +276,7 @@ def normalised(t):
     q = lambda s: F.to_json(F.struct(s.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(s.alias("v")))) - 6)
     text = q(F.coalesce("text", F.lit("")))
     fields = {
-        "schemaVersion": F.when(k == 1, '"v0"').otherwise('"nbme-normalized-question-v1"'), "sourceFile": F.lit('"f"'), "sourceQuestionNumber": F.when(k == 2, F.concat(F.lit('"'), d, F.lit('"'))).otherwise(d), "questionId": F.concat(F.lit('"q'), d, F.lit('"')),
+        "schemaVersion": F.when(k == 1, '"v0"').otherwise('"normalized-question-v1"'), "sourceFile": F.lit('"f"'), "sourceQuestionNumber": F.when(k == 2, F.concat(F.lit('"'), d, F.lit('"'))).otherwise(d), "questionId": F.concat(F.lit('"q'), d, F.lit('"')),
         "stem": text, "choices": F.when(k == 3, '[{"label":"G","text":"x"},{"label":"A"}]').when(k == 4, "{}").otherwise('[{"label":"A","text":"x"}]'), "correctAnswer": F.when(k == 5, '"G"').when(k == 6, '""').otherwise('"A"'), "educationalObjective": F.lit('"o"'),
         "correctExplanation": F.when(k == 7, '"see ```JSON x"').otherwise('"c"'), "incorrectExplanations": F.when(k == 8, '[{"label":"B"}]').otherwise("[]"), "reviewPearl": F.lit('"p"'), "retrievalTag": F.lit('"t"'), "tags": F.when(k == 9, '"t"').otherwise('["t"]'),
         "figures": F.lit("[]"), "tables": F.lit("[]"), "warnings": F.lit("[]"), "confidence": F.when(k == 10, '"sure"').otherwise('"high"'),
@@ -336,3 +337,15 @@ def c14(t):
     table = F.struct(F.slice(F.split(F.get(cut, 0), " "), 1, 3).alias("headers"), F.transform(F.slice(cut, 2, 2), lambda x: F.split(x, " ")).alias("rows"))
     slides = t("documents").where("text IS NOT NULL").select(C("doc_id").alias("slide_id"), F.array("text").alias("blocks"), F.element_at(cut, -1).alias("notes"), F.array(table).alias("tables"))
     return wrapped.atomic_lines(slides).select(C("slide_id").alias("doc_id"), "k", "line")
+
+
+def messages(t):
+    """A message of each document's own words, in which by doc_id a phrase of a failure stands."""
+    phrases = ["HTTP 429 from", "rate limit", "urlopen error", "Network is unreachable", "truncation_missing_closing_bracket", "Truncation_missing_closing_bracket", "quota exceeded, repair_timeout"]
+    said = F.get(F.array(*map(F.lit, phrases)), (C("doc_id") % 11).cast("int"))
+    return t("documents").select("doc_id", F.concat_ws(" ", F.lit("failed:"), F.substring(F.sha2("text", 256), 1, 12), said).alias("message"))
+
+
+@query("T33_failure_classes", """SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN 'quota' WHEN 1 THEN 'quota' WHEN 2 THEN 'network' WHEN 3 THEN 'network' WHEN 4 THEN 'truncation' WHEN 6 THEN 'network,quota' ELSE '' END AS classes FROM documents""")
+def t33(t):
+    return messages(t).select("doc_id", F.array_join(T.failure_classes(C("message")), ",").alias("classes"))

@@ -114,3 +114,13 @@ def test_queries_equal_sql(spark, name):
     assert sorted(got) == sorted(want) and len(got)
     plain = lambda f: sorted(tuple("null" if x is None or x != x else str(int(x)) if isinstance(x, float) and x == int(x) else str(x) for x in r) for r in f[sorted(f)].astype(object).where(f[sorted(f)].notna(), None).values.tolist())
     assert plain(got) == plain(want)
+
+
+def test_failure_classes(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.functions import text
+
+    df = spark.createDataFrame([(1, "HTTP 429: Rate Limit"), (2, "urlopen error, quota exceeded"), (3, "truncation_unterminated_string"), (4, "TRUNCATION_unterminated_string"), (5, ""), (6, None)], "k long, m string")
+    got = {r.k: r.c for r in df.select("k", text.failure_classes(F.col("m")).alias("c")).collect()}
+    assert got == {1: ["quota"], 2: ["network", "quota"], 3: ["truncation"], 4: [], 5: [], 6: []}
