@@ -131,3 +131,61 @@ def test_windows_slide(spark, width):
     events = spark.createDataFrame([row(k, 1, 1, "PLAN", 900 * k) for k in range(8)], EVENT)
     got = jobs.progress_windows(events, width, "30 minutes").agg(F.sum("n"), F.count("*")).first()
     assert tuple(got) == (16, 5)
+
+
+FIELDS = ("state", "score")
+PATCH = "job long, ts timestamp, event_id long, state string, score double"
+
+
+def patch(job, seconds, event_id, state, score):
+    return (job, START + dt.timedelta(seconds=seconds), event_id, state, score)
+
+
+def now(spark, path):
+    from quillspark.streaming import snapshots
+
+    return {r.job: (r.state, r.score, r.event_id) for r in snapshots.snapshot(spark, path, FIELDS).collect()}
+
+
+def test_patches_merge_field_by_field(spark, tmp_path):
+    from quillspark.streaming import snapshots
+
+    path = str(tmp_path / "snap")
+    frame = lambda rows: spark.createDataFrame(rows, PATCH)
+    create = snapshots.patch_jobs(path, FIELDS, "a", create=True, buckets=4)
+    create(frame([patch(k, k, k, "new", None) for k in range(10)]), 0)
+    merge = snapshots.patch_jobs(path, FIELDS, "a", buckets=4)
+    second = frame([patch(1, 50, 11, None, 0.5), patch(1, 60, 12, "done", None), patch(99, 60, 13, "unknown", None), (None, START, 1, "x", 1.0), (2, None, 1, "x", 1.0)])
+    merge(second, 1)
+    assert now(spark, path)[1] == ("done", 0.5, 12) and 99 not in now(spark, path) and len(now(spark, path)) == 10
+    before = now(spark, path)
+    merge(second, 1)  # done again
+    assert now(spark, path) == before
+    merge(frame([patch(1, 55, 14, "late", 0.7), patch(2, 5, 15, None, 0.1)]), 2)
+    assert now(spark, path)[1] == ("done", 0.7, 12) and now(spark, path)[2] == ("new", 0.1, 15)
+    merge(frame([]), 3)
+    other = snapshots.patch_jobs(path, FIELDS, "b", buckets=4)
+    other(frame([patch(3, 90, 16, "after a new checkpoint", None)]), 0)
+    assert now(spark, path)[3][0].startswith("after") and len(now(spark, path)) == 10
+    kept = {p.name for p in (tmp_path / "snap/data").iterdir()}
+    assert len(kept) <= 5 and len(list((tmp_path / "snap/manifest").iterdir())) == 2
+    top = snapshots.newest(snapshots.snapshot(spark, path, FIELDS), 3).collect()
+    assert [r.job for r in top] == [3, 1, 9]
+
+
+def test_patches_of_a_stream_equal_the_batch(spark, tmp_path):
+    from quillspark.streaming import snapshots
+
+    r = random.Random(2)
+    rows = [patch(r.randint(0, 12), r.randint(0, 999), k, r.choice(["a", "b", None]), r.choice([None, k / 10])) for k in range(120)]
+    src, path = str(tmp_path / "in"), str(tmp_path / "snap")
+    merge = snapshots.patch_jobs(path, FIELDS, "run", create=True, buckets=3)
+    for a in range(0, 120, 30):
+        put(spark, src, rows[a : a + 30], PATCH)
+        if a in (30, 90):
+            run(spark.readStream.schema(PATCH).option("maxFilesPerTrigger", 1).parquet(src), str(tmp_path / "mark"), merge)
+    want = {}
+    for job, ts, k, state, score in sorted(rows, key=lambda x: (x[1], x[2])):
+        old = want.get(job, (None, None, None))
+        want[job] = (state if state is not None else old[0], score if score is not None else old[1], k)
+    assert now(spark, path) == want
