@@ -37,7 +37,7 @@ def _sequential(labels: Column) -> Column:
     return F.coalesce(F.array_join(labels, "", "?") == F.substring(F.lit(LETTERS), F.lit(1), F.size(labels)), F.lit(False))
 
 
-def _details(df: DataFrame, keys: Sequence[str], lists: Sequence[tuple[str, str, Column]]) -> DataFrame:
+def details(df: DataFrame, keys: Sequence[str], lists: Sequence[tuple[str, str, Column]]) -> DataFrame:
     """keys, severity, code, detail: a row for each element of each rule's array of details."""
 
     def labelled(code: str, severity: str, details: Column) -> Column:
@@ -90,7 +90,7 @@ def set_findings(questions: DataFrame, organic: bool = False) -> DataFrame:
         ("NO_OBJECTIVE", "error", F.trim(F.coalesce("objective", F.lit(""))) == ""),
         ("NO_SECTIONS", "error", F.size(lines) == 0),
     ]).withColumn("detail", F.lit(None).cast("string"))
-    absent = _details(rows, ["set_id", "position"], [("ABSENT_CHOICE", "error", F.when(counted & (F.size(labels) > 0), F.filter(named, lambda x: ~F.array_contains(labels, x))).otherwise(_none("array<string>")))])
+    absent = details(rows, ["set_id", "position"], [("ABSENT_CHOICE", "error", F.when(counted & (F.size(labels) > 0), F.filter(named, lambda x: ~F.array_contains(labels, x))).otherwise(_none("array<string>")))])
     prints = F.when(F.trim(stem) != "", fingerprint(stem, F.transform(F.coalesce("choices", _none(CHOICE)), lambda x: F.coalesce(x["text"], F.lit("")))))
     many = [
         _repeats(rows, C("number").cast("string"), "REPEATED_NUMBER", "first"), _repeats(rows, prints, "REPEATED_QUESTION", "first"),
@@ -127,7 +127,7 @@ def figure_findings(questions: DataFrame) -> DataFrame:
     sources = F.concat("images", "others")
     missing = lambda x, f: blank(x[f]) == ""
     repeated = lambda c: F.filter(F.array_distinct(F.transform(c, lambda x: blank(x["figureId"]))), lambda k: F.size(F.filter(c, lambda x: blank(x["figureId"]) == k)) > 1)
-    found = _details(rows, ["set_id", "position"], [
+    found = details(rows, ["set_id", "position"], [
         ("BOTH_PLACEMENTS", "error", F.array_intersect(stems, others)),
         ("IMAGE_WITHOUT_REF", "error", F.array_except(F.array_union(stems, others), refs)),
         ("REF_INCOMPLETE", "error", pick("refs", lambda r: missing(r, "id") | missing(r, "placeholder"), lambda r: blank(r["id"]))),
@@ -199,7 +199,7 @@ def normalised_findings(rows: DataFrame, key: str, column: str, version: str = N
         ("FORBIDDEN_PHRASE", forbidden),
     ]
     rules += [(code, F.when(F.coalesce(whole, F.lit(False)), d).otherwise(_none("array<string>"))) for code, d in later]
-    return _details(df, [key], [(code, "error", d) for code, d in rules])
+    return details(df, [key], [(code, "error", d) for code, d in rules])
 
 
 def extraction_gates(rows: DataFrame) -> DataFrame:

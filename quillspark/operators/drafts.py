@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import final_sentence
-from quillspark.operators.contracts import CHOICE, PROMPT
+from quillspark.functions.text import final_sentence, normalize_key, threshold_claims
+from quillspark.operators.contracts import CHOICE, PROMPT, details
 from quillspark.operators.findings import findings
 
 C = F.col
@@ -243,3 +243,40 @@ def concept_findings(rows: DataFrame, deck: str, column: str) -> DataFrame:
 
 def _coded(code: str):
     return lambda x: F.struct(F.lit(code).alias("code"), x.cast("string").alias("detail"))
+
+
+def placement_findings(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys, severity, code of rows with kind, images and explanation_images (arrays of ids): a stem image has one image in the
+    stem and none in the explanation, an explanation or table image none and one; no image stands in both; other kinds are unknown."""
+    ids = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    stem, explanation = ids("images"), ids("explanation_images")
+    placed = F.struct(F.size(stem).alias("a"), F.size(explanation).alias("b"))
+    wanted = F.when(C("kind") == "stem_image", F.struct(F.lit(1).alias("a"), F.lit(0).alias("b"))).when(C("kind").isin("explanation_image", "table_image"), F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return findings(rows, keys, [("KIND", "error", wanted.isNull()), ("PLACEMENT", "error", wanted.isNotNull() & (placed != wanted)), ("BOTH_PLACEMENTS", "error", F.arrays_overlap(stem, explanation))])
+
+
+# Stems that order events in an awkward way, and the archetypes in which a choice may not stand in the stem.
+AWKWARD, NO_ECHO = r"(?i)medication initiation|was prescribed .* several days after", ("diagnosis", "adverse_effect")
+
+
+def strict_findings(questions: DataFrame, sources: DataFrame) -> DataFrame:
+    """set_id, position, code, detail: thresholds that the source lacks, choices of other classes than the first, choices of two or more words in the stem, awkward stems.
+
+    questions: set_id, position, source_id, stem, choices (label, text), classes (of the choices, in order; null: not told),
+    claims (an array of texts), archetype; sources: source_id, text, one row each. A question whose source isn't there has
+    no findings. Thresholds are those of T16, in choices and claims; comparison is on normalised texts. Nulls are empty.
+    """
+    texts = F.transform(_array("choices", CHOICE), lambda x: F.coalesce(x["text"], F.lit("")))
+    said = F.array_join(F.concat(texts, F.filter(_array("claims", "array<string>"), lambda x: x.isNotNull())), " ")
+    rows = questions.select("set_id", "position", "source_id", F.coalesce("stem", F.lit("")).alias("stem"), texts.alias("texts"), threshold_claims(said).alias("thresholds"), _array("classes", "array<string>").alias("classes"), _text("archetype").alias("archetype"))
+    joined = rows.join(sources.select("source_id", normalize_key(F.coalesce("text", F.lit(""))).alias("known")), "source_id")
+    key = normalize_key(C("stem"))
+    unsupported = F.filter("thresholds", lambda x: ~F.contains(C("known"), x))
+    mixed = F.filter("classes", lambda x: ~F.equal_null(x, F.get("classes", F.lit(0))))
+    echoed = F.filter("texts", lambda x: (F.size(F.split(normalize_key(x), " ")) >= 2) & F.contains(key, normalize_key(x)))
+    none = F.array().cast("array<string>")
+    lists = [
+        ("unsupported_threshold", "error", unsupported), ("mixed_choice_classes", "error", F.array_distinct(mixed)), ("choice_in_stem", "error", F.when(F.lower("archetype").isin(*NO_ECHO), echoed).otherwise(none)),
+        ("awkward_stem", "error", F.when(C("stem").rlike(AWKWARD), F.array("stem")).otherwise(none)),
+    ]
+    return details(joined, ["set_id", "position"], lists).drop("severity")

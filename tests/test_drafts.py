@@ -132,3 +132,32 @@ def test_atomic_lines(spark):
     assert got == {1: ["Oral intake of salt abc", "oral INTAKE of salt", "last line here it is", "Drug: aspirin | 100 mg", "Drug: x", "only cells | here"], None: ["five words in a line"]}
     assert [r.line for r in wrapped.atomic_lines(df, "salt").collect()] == ["Oral intake of salt abc", "oral INTAKE of salt"]
     assert wrapped.atomic_lines(df.where("1 = 0")).count() == 0
+
+
+def test_placements(spark):
+    rows = [(1, "stem_image", ["a"], None), (2, "stem_image", ["a", "b"], []), (3, "table_image", None, ["a"]), (4, "explanation_image", ["a"], ["a"]), (5, "photo", ["a"], []), (6, None, None, None), (7, "table_image", [" "], ["a"])]
+    df = spark.createDataFrame(rows, "k long, kind string, images array<string>, explanation_images array<string>")
+    assert codes(drafts.placement_findings(df, ["k"])) == {2: {"PLACEMENT"}, 4: {"PLACEMENT", "BOTH_PLACEMENTS"}, 5: {"KIND"}, 6: {"KIND"}}
+
+
+def test_strict_findings(spark):
+    q = [
+        (1, 1, "s", "A man with chest pain.", [("A", "give for 5 days"), ("B", "Chest  pain"), ("C", "pain")], ["drug", "drug", None], ["over 12 weeks", None], "Diagnosis"), (1, 2, "s", "Pain after medication initiation", [("A", "after medication")], None, None, "other"),
+        (1, 3, "gone", "x", [("A", "9 weeks")], ["a", "b"], None, None), (1, 4, "s", None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(q, f"set_id long, position long, source_id string, stem string, choices {CHOICE}, classes array<string>, claims array<string>, archetype string")
+    sources = spark.createDataFrame([("s", "Treat   for 5 DAYS.")], "source_id string, text string")
+    got = sorted((r.position, r.code, r.detail or "") for r in drafts.strict_findings(df, sources).collect())
+    assert got == [(1, "choice_in_stem", "Chest  pain"), (1, "mixed_choice_classes", ""), (1, "unsupported_threshold", "12 weeks"), (2, "awkward_stem", "Pain after medication initiation")]
+
+
+def test_user_functions(spark):
+    from quillspark.functions import registry
+
+    assert registry.register(spark) == registry.register(spark)
+    spark.createDataFrame([(1, " A  b\tC\n", 85.0), (1, "xx\nyyy", 60.0), (1, "z", 1.0), (2, None, None)], "g long, t string, p double").createOrReplaceTempView("user_rows")
+    got = spark.sql("SELECT normalize_key(t), clamp_text(t, 3), letter_grade(p) FROM user_rows WHERE g = 1 ORDER BY p DESC").collect()
+    assert [tuple(r) for r in got] == [("a b c", "A b", "B"), ("xx yyy", "xx ", "D"), ("z", "z", "F")]
+    lines = spark.sql("SELECT k, line FROM user_rows, LATERAL text_lines(t) WHERE p = 60 ORDER BY k").collect()
+    assert [tuple(r) for r in lines] == [(1, "xx"), (2, "yyy")]
+    assert {r.g: r.x for r in spark.sql("SELECT g, typical_text(t) AS x FROM user_rows GROUP BY g").collect()} == {1: "xx\nyyy", 2: None}
