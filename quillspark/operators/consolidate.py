@@ -45,11 +45,12 @@ def prepared(concepts: DataFrame, generic: Sequence[str] = ()) -> DataFrame:
     clean = lambda a: F.array_distinct(hashed(F.filter(F.transform(a, normalize_key), lambda x: x != "")))
     values = F.flatten(F.map_values(structured))
     df = concepts.select("deck", "concept", title.alias("title"), facts.alias("facts"), structured.alias("structured"), values.alias("values"), assets.alias("assets"))
-    df = df.withColumn("body", F.array_join(F.concat("facts", "values"), "\n"))
+    # Terms are found once, before anything counts them.
+    df = df.withColumns({"own_terms": terms(F.col("title"), generic), "fact_terms": terms(F.array_join(F.concat("facts", "values"), "\n"), generic)})
     return df.select(
-        "deck", "concept", clean(F.concat(F.array("title"), "facts", "values")).alias("fact_keys"), clean(F.concat("facts", "values")).alias("body_keys"), terms(F.col("title"), generic).alias("own_terms"), terms(F.col("body"), generic).alias("fact_terms"),
+        "deck", "concept", clean(F.concat(F.array("title"), "facts", "values")).alias("fact_keys"), clean(F.concat("facts", "values")).alias("body_keys"), "own_terms", "fact_terms",
         F.map_filter(F.transform_values("structured", lambda _, v: clean(v)), lambda _, v: F.size(v) > 0).alias("structure"),
-        (F.size("facts") * 5 + F.size(F.array_union(terms(F.col("title"), generic), terms(F.col("body"), generic))) + F.col("assets") * 4).cast("long").alias("info"),
+        (F.size("facts") * 5 + F.size(F.array_union("own_terms", "fact_terms")) + F.col("assets") * 4).cast("long").alias("info"),
         (F.col("assets") > 0).alias("rich"), F.lower("title").rlike(RECAP).alias("recap"),
     )
 
