@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import allocation, boxes, consolidate, contracts, markup, packers, question_text, salvage, shared_options, wrapped
+from quillspark.operators import allocation, boxes, consolidate, contracts, drafts, markup, packers, question_text, salvage, shared_options, wrapped
 from quillspark.plans.registry import query
 from quillspark.plans.text_queries import LINES, lines
 
@@ -349,3 +349,33 @@ def messages(t):
 @query("T33_failure_classes", """SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN 'quota' WHEN 1 THEN 'quota' WHEN 2 THEN 'network' WHEN 3 THEN 'network' WHEN 4 THEN 'truncation' WHEN 6 THEN 'network,quota' ELSE '' END AS classes FROM documents""")
 def t33(t):
     return messages(t).select("doc_id", F.array_join(T.failure_classes(C("message")), ",").alias("classes"))
+
+
+@query("V02_question_rules", rf"""SELECT set_id, position, 'error' AS severity, unnest(list_filter([CASE WHEN trim(stem) = '' THEN 'MISSING_STEM' END, CASE WHEN trim(stem) <> '' AND NOT ends_with(stem, ' Which of these fits best?') THEN 'NO_QUESTION' END, CASE WHEN n <> 4 THEN 'CHOICE_COUNT' END,
+ CASE WHEN NOT list_contains(string_split('ABCDEF', '')[1:n], correct) THEN 'KEY' END, CASE WHEN NOT sections THEN 'NO_SECTIONS' END, CASE WHEN objective IS NULL THEN 'PEARL' END, CASE WHEN contains(array_to_string(texts, ' '), 'moron') OR contains(stem, 'moron') THEN 'FORBIDDEN' END], lambda x: x IS NOT NULL)) AS code
+ FROM (SELECT *, len(texts) AS n FROM ({QUESTIONS}))""")
+def v02_rules(t):
+    sections = F.when(C("explanation").isNotNull(), F.array(F.struct(F.lit("why").alias("heading"), C("explanation").alias("body"))))
+    rows = questions(t).withColumns({"sections": sections, "tag": C("target"), "pearl": C("objective")})
+    return drafts.question_findings(rows, ["set_id", "position"], ["moron"])
+
+
+def bundles(t):
+    """A document is a bundle of chunks of six lines; by doc_id it is at fault."""
+    k = C("doc_id") % 8
+    cut = blocks(t, 6).select("doc_id", "block")
+    none = F.array().cast("array<string>")
+    chunk = F.struct(
+        F.when(k == 1, "x").otherwise(F.concat(F.lit("c"), C("block").cast("string"))).alias("chunkId"), F.lit(drafts.SEGMENT_VERSION).alias("schemaVersion"), F.when(k == 4, "song").otherwise("text").alias("chunkType"), (k != 7).alias("grounded"),
+        F.when(k != 5, none).alias("imageRefs"), none.alias("tableRefs"), none.alias("warnings"), none.alias("textBlocks"),
+    )
+    whole = cut.select("doc_id", F.struct("block", chunk.alias("c")).alias("x")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"]).alias("chunks"))
+    return whole.select("doc_id", F.when(k == 3, "v0").otherwise(drafts.BUNDLE_VERSION).alias("schemaVersion"), (F.size("chunks") + F.when(k == 2, 1).otherwise(0)).alias("chunkCount"), F.when(k != 6, C("chunks")).alias("chunks"))
+
+
+@query("V01_bundle_rules", """WITH b AS (SELECT doc_id, doc_id % 8 AS k, CAST(ceil(len(string_split(text, chr(10))) / 6.0) AS INT) AS n FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, k, unnest(range(1, n + 1)) AS place FROM b)
+SELECT doc_id, CAST(NULL AS BIGINT) AS place, CASE k WHEN 2 THEN 'chunkCount' WHEN 3 THEN 'schemaVersion' ELSE 'chunks must be an array' END AS code FROM b WHERE k IN (2, 3, 6)
+UNION ALL SELECT doc_id, place, CASE k WHEN 1 THEN 'repeated chunkId' WHEN 4 THEN 'chunkType' WHEN 5 THEN 'imageRefs must be an array' ELSE 'sourceGrounding must be an object' END FROM c WHERE k IN (4, 5, 7) OR (k = 1 AND place > 1)""")
+def v01_rules(t):
+    return drafts.bundle_findings(bundles(t), "doc_id").withColumn("place", C("place").cast("long"))
