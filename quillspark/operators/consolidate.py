@@ -6,7 +6,6 @@ compared inside their deck only.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -125,7 +124,7 @@ def overlaps(concepts: DataFrame, generic: Sequence[str] = (), direct: int = 500
     """
     hot = _hot_decks(concepts, direct)
     sets = _with_terms(prepared(concepts, generic)).select("deck", "concept", "fact_keys", "terms", "title_terms", "structure")
-    key = F.xxhash64(*(F.array_sort(c) for c in ("fact_keys", "terms", "title_terms")), F.array_sort(F.map_entries("structure")).cast("string"))
+    key = F.xxhash64(*(F.array_sort(c) for c in ("fact_keys", "terms", "title_terms")), F.array_sort(F.map_entries(F.transform_values("structure", lambda _, v: F.array_sort(v)))).cast("string"))
     small, large = (sets, None) if hot is None else (sets.join(hot, "deck", "left_anti"), sets.join(hot, "deck", "left_semi"))
     members = small.repartition("deck") if large is None else small.repartition("deck").unionByName(large)
     members = members.withColumn("representative", F.min("concept").over(Window.partitionBy("deck", key)))

@@ -11,7 +11,7 @@ from quillspark.operators.findings import findings
 from quillspark.operators.tables import numbered
 from quillspark.operators.tables import written as write_once
 from quillspark.plans.registry import query
-from quillspark.plans.table_queries import PAIRS, token_sets
+from quillspark.plans.table_queries import PAIRS
 from quillspark.plans.views import FIGURES, JOB_EVENTS, TURNS, figures, job_events, turns
 
 C = F.col

@@ -5,7 +5,7 @@ import json
 import duckdb
 import pytest
 
-from quillspark.operators import contracts, packers  # noqa: F401
+from quillspark.operators import contracts
 from quillspark.plans import all_queries
 
 STEM = "A man of fifty comes in with pain in his chest that began two hours ago while he was at rest. He has had no fever, cough or injury, takes no drugs, and his blood pressure is normal. Which of these is the best next step?"
