@@ -55,7 +55,7 @@ def test_no_sets(spark):
     assert pairs.count() == 0 and classes.count() == 0
 
 
-COPIED = ["J07_similarity_join"]
+COPIED = ["J07_similarity_join", "D05_consolidate"]
 
 
 @pytest.mark.parametrize("name", COPIED)
