@@ -55,7 +55,7 @@ def test_no_sets(spark):
     assert pairs.count() == 0 and classes.count() == 0
 
 
-COPIED = ["J07_similarity_join", "D05_consolidate", "W12_time_penalty", "D06_clusters_by_type"]
+COPIED = ["J07_similarity_join", "D06_clusters_by_type", "D06_two_thresholds", "D05_consolidate", "W12_time_penalty"]
 
 
 @pytest.mark.parametrize("name", COPIED)
