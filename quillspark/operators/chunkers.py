@@ -6,7 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.operators.tables import fold_groups, slices
 
 HEADING = re.compile(r"^(#+\s+\S.*|[A-Z][A-Z ]{6,})$", re.M)
 
@@ -56,21 +60,41 @@ def chunk_documents(docs: DataFrame, cap: int = 3000, keep_preamble: bool = Fals
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk long, text string")
 
 
+SEGMENTS = "doc_id long, segment long, first long, last long, words long"
+
+
+def cut_lines(lines: list[tuple[int, str]], max_words: int) -> list[list[int]]:
+    """segment, first, last, words of lines (k, l) in order: a segment closes before the line that would pass max_words."""
+    out: list[list[int]] = []
+    for k, line in lines:
+        n = len(line.split())
+        if not out or out[-1][3] + n > max_words:
+            out.append([len(out) + 1, k, k, 0])
+        out[-1][2] = k
+        out[-1][3] += n
+    return out
+
+
 def segments(lines: DataFrame, max_words: int) -> DataFrame:
-    """doc_id, segment, first, last, words of lines (doc_id, k, l): a segment closes before the line that would pass max_words."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        out, total = [], 0
-        for k, line in frame.sort_values("k")[["k", "l"]].itertuples(index=False):
-            n = len(line.split())
-            if not out or total + n > max_words:
-                out.append([frame["doc_id"].iloc[0], len(out) + 1, k, k, 0])
-                total = 0
-            total += n
-            out[-1][3:] = [k, total]
-        return pd.DataFrame(out, columns=["doc_id", "segment", "first", "last", "words"])
-
-    return lines.groupBy("doc_id").applyInPandas(fold, "doc_id long, segment long, first long, last long, words long")
+    """doc_id, segment, first, last, words of lines (doc_id, k, l), one document at a time (see cut_lines)."""
+    names = ("segment", "first", "last", "words")
+
+    def fold(group: list[dict]) -> list[dict]:
+        return [{"doc_id": group[0]["doc_id"], **dict(zip(names, x, strict=True))} for x in cut_lines([(r["k"], r["l"]) for r in group], max_words)]
+
+    return fold_groups(lines.select("doc_id", "k", "l"), ["doc_id"], ["k"], fold, SEGMENTS)
+
+
+def text_segments(docs: DataFrame, max_words: int) -> DataFrame:
+    """`segments` of the lines of docs (doc_id, unique; text). A text is in one row, so nothing is shuffled. Null texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            rows = [(d, *x) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) if t is not None for x in cut_lines(list(enumerate(t.split("\n"), 1)), max_words)]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "segment", "first", "last", "words"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SEGMENTS)
 
 
 QUESTION = re.compile(r"^(?:Question|Item|\*)?\s*(\d+)[.:)]\s*", re.M)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import chunkers
 from quillspark.plans.registry import query
-from quillspark.plans.text_queries import lines
 
 
 @query("C01_chunks")
@@ -16,7 +15,7 @@ def c01(t):
 
 @query("C05_segments")
 def c05(t):
-    return chunkers.segments(lines(t), 200)
+    return chunkers.text_segments(t("documents"), 200)
 
 
 @query("C09_question_blocks")
