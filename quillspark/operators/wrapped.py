@@ -5,16 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.tables import bound_batches, slices
+
 # Words that make a line wait for the next one, or that begin a continuation.
 ALONE = ("empiric", "treatment", "urine", "blood", "sputum", "stool", "serum", "oral", "iv")
 AT_END = ("empiric", "urine", "blood", "sputum", "stool", "serum", "oral", "iv")
 AT_START = ("with", "prior", "to", "for", "while", "and", "or", "but", "plus", "culture", "treatment")
 WHOLE = ("started, consider",)
 LAST_WORDS = ("renal artery",)
+#: Texts that are Python objects at once.
+TEXTS = 50
 #: Words of a line that a continuation may follow, of a line that a short one may follow, and of a short one.
 FEW, SOME, SHORT = 2, 5, 2
 
@@ -63,12 +67,18 @@ def unwrap(docs: DataFrame) -> DataFrame:
     Null and blank texts have no lines; repeated rows are folded each.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(d, k, x) for d, t in zip(frame["doc_id"], frame["text"], strict=True) if t for k, x in enumerate(join_lines(t), 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "k", "line"]).astype({"doc_id": "Int64", "k": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, TEXTS):
+            yield numbered_lines(((r["doc_id"], join_lines(r["text"])) for r in batch.to_pylist() if r["text"]), "doc_id")
+
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, k long, line string")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, k long, line string")
+def numbered_lines(found: Iterator[tuple[int, list[str]]], name: str) -> pa.RecordBatch:
+    out = [(d, k, x) for d, lines in found for k, x in enumerate(lines, 1)]
+    ids, places, texts = zip(*out, strict=True) if out else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.string())], [name, "k", "line"])
 
 
 def atomic_lines(slides: DataFrame, relevant: str = ".") -> DataFrame:
@@ -79,22 +89,25 @@ def atomic_lines(slides: DataFrame, relevant: str = ".") -> DataFrame:
     before, but for case and blanks, goes. Nulls are empty; repeated rows are cut each.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = re.compile(relevant)
-        for frame in frames:
-            out = []
-            for slide, blocks, notes, tables in zip(*(frame[c] for c in ("slide_id", "blocks", "notes", "tables")), strict=True):
-                lines = [x for text in [*(blocks if blocks is not None else ()), notes] if text for x in join_lines(text)]
-                for table in tables if tables is not None else ():
-                    headers = [str(h or "").strip() for h in (table["headers"] if table["headers"] is not None else ())]
-                    for row in table["rows"] if table["rows"] is not None else ():
-                        cells = [c for x in (row if row is not None else ()) if (c := str(x or "").strip())]
-                        if cells:
-                            lines.append((f"{headers[0]}: " if headers and headers[0] else "") + " | ".join(cells))
-                clean = (_SPACE.sub(" ", x).strip(STRIPPED) for x in lines)
-                kept = {x.lower(): x for x in reversed([x for x in clean if 4 <= len(x) <= 260 and wanted.search(x)])}
-                out += [(slide, k, x) for k, x in enumerate(reversed(kept.values()), 1)]
-            yield pd.DataFrame(out, columns=["slide_id", "k", "line"]).astype({"slide_id": "Int64", "k": "Int64"})
+    def cut(blocks: list[str] | None, notes: str | None, tables: list[dict] | None) -> list[str]:
+        lines = [x for text in [*(blocks or ()), notes] if text for x in join_lines(text)]
+        for table in tables or ():
+            headers = [str(h or "").strip() for h in (table["headers"] if table and table["headers"] else ())]
+            for row in table["rows"] if table and table["rows"] else ():
+                cells = [c for x in (row or ()) if (c := str(x or "").strip())]
+                if cells:
+                    lines.append((f"{headers[0]}: " if headers and headers[0] else "") + " | ".join(cells))
+        clean = (_SPACE.sub(" ", x).strip(STRIPPED) for x in lines)
+        kept = {x.lower(): x for x in reversed([x for x in clean if 4 <= len(x) <= 260 and wanted.search(x)])}
+        return list(reversed(kept.values()))
+
+    wanted = re.compile(relevant)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Few slides are Python objects at once, whatever an Arrow batch holds.
+        for batch in slices(batches, TEXTS):
+            yield numbered_lines(((r["slide_id"], cut(r["blocks"], r["notes"], r["tables"])) for r in batch.to_pylist()), "slide_id")
 
     rows = slides.select(F.col("slide_id").cast("long").alias("slide_id"), "blocks", "notes", "tables")
-    return rows.mapInPandas(run, "slide_id long, k long, line string")
+    bound_batches(slides.sparkSession)
+    return rows.mapInArrow(run, "slide_id long, k long, line string")

@@ -21,3 +21,11 @@ def test_segments_of_texts_need_no_shuffle(spark):
     got = sorted(map(tuple, chunkers.text_segments(docs, 4).collect()))
     assert got == sorted(map(tuple, chunkers.segments(lines, 4).collect()))
     assert got == [(1, 1, 1, 1, 2), (1, 2, 2, 4, 4), (3, 1, 1, 1, 0), (4, 1, 1, 1, 9), (4, 2, 2, 2, 1)]
+
+
+def test_few_slides_are_held_at_once(spark, monkeypatch):
+    """Batches of 10,000 texts became frames before."""
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name in ("C14_atomic_lines", "C13_joined_lines"):
+        assert "MapInPandas" not in plan(all_queries.queries()[name](spark, SF)), name
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
