@@ -29,3 +29,8 @@ def test_few_slides_are_held_at_once(spark, monkeypatch):
     for name in ("C14_atomic_lines", "C13_joined_lines"):
         assert "MapInPandas" not in plan(all_queries.queries()[name](spark, SF)), name
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+
+
+def test_passages_are_joined_before_they_are_made_distinct(spark):
+    text = plan(all_queries.queries()["J08_copied_passages"](spark, SF))
+    assert "Exchange hashpartitioning" not in text[text.index("BroadcastHashJoin") :]
