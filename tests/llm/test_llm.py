@@ -489,3 +489,17 @@ def test_bands_follow_good_rows(spark):
     labels = spark.createDataFrame([(k, 1) for k in range(450)] + [(k, 0) for k in range(500, 520)], "doc_id long, quality int")
     kept = {x.doc_id for x in quality.quality(frame, labels).where("kept").collect()}
     assert not any(k in kept for k in range(500, 540)) and sum(k in kept for k in range(500)) >= 490
+
+
+def test_all_good_rows_set_the_bands(spark):
+    from quillspark.llm import quality
+
+    labels = spark.range(120_000).selectExpr("id AS doc_id", "1 AS quality")
+    assert quality.good_rows(labels).count() == 120_000
+    # 1,000 rows between 0 and 1; the good ones reach to 1 quartile distance on either side, but for 5 of them.
+    rows = [(k, "en", 60, 2 + k / 1000) for k in range(1000)] + [(1000 + k, "en", 60, 5.0) for k in range(5)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, log2_perplexity double")
+    wide = quality.bands(scored, scored.select("doc_id"), 0.01, 4.0).first()
+    none = quality.bands(scored, scored.where("1 = 0").select("doc_id"), 0.01, 4.0).first()
+    assert abs(wide.lowest - 1.75) < 0.03 and abs(wide.highest - 3.25) < 0.03
+    assert abs(none.lowest - 0.25) < 0.05 and abs(none.highest - 4.75) < 0.05
