@@ -62,7 +62,11 @@ def t07(t):
     return t("documents").select("doc_id", T.first_sentence(F.col("text")).alias("s"))
 
 
-@query("T08_short_tag", f"SELECT doc_id, substr(upper(substr(s, 1, 1)) || substr(s, 2), 1, 70) AS tag FROM (SELECT doc_id, regexp_extract(regexp_replace({SQUEEZE.format('text')}, '(?i)^(the|of|and)\\s+', ''), '^([^.!?]*)', 1) AS s FROM documents)")
+# DuckDB's upper gives one character for each, and another one for \xdf; letters whose capital is more than one character are listed.
+LONG_CAPITALS = "MAP {" + ", ".join(f"'{chr(c)}': '{chr(c).upper()}'" for c in range(0x80, 0x10000) if len(chr(c).upper()) > 1) + "}"
+
+
+@query("T08_short_tag", f"SELECT doc_id, substr(coalesce({LONG_CAPITALS}[substr(s, 1, 1)], upper(substr(s, 1, 1))) || substr(s, 2), 1, 70) AS tag FROM (SELECT doc_id, regexp_extract(regexp_replace(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' '), '(?i)^(the|of|and)\\s+', ''), '^([^.!?]*)', 1) AS s FROM documents)")
 def t08(t):
     return t("documents").select("doc_id", T.short_tag(F.col("text"), verbs=r"(?i)^(the|of|and)\s+").alias("tag"))
 

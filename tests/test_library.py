@@ -169,3 +169,14 @@ def test_windows_end_as_the_batch(spark, tmp_path):
     got = {(r.start, r.event): r.n for r in replay(spark, tmp_path, progress_windows, "update")}
     batch = events(spark).groupBy(F.window("ts", "30 seconds"), "event").count().collect()
     assert got == {(r.window.start, r.event): r["count"] for r in batch}
+
+
+def test_short_tags_of_odd_first_letters_as_in_sql(spark):
+    """The SQL made one character of a sharp s, and took other blanks than spaces off the ends."""
+    texts = [x + "ab cd. e" for x in "aßŉǰΐﬁé  \ttÿ"] + ["the ßx", " ß" + "y" * 80, None, "", "of the"]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    want = duckdb.connect().execute(all_queries.oracle_sql()["T08_short_tag"]).fetchall()
+    from quillspark.functions import text as T
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in df.select("doc_id", T.short_tag(F.col("text"), verbs=r"(?i)^(the|of|and)\s+")).collect()) == sorted(want)
