@@ -2,6 +2,9 @@
 
 Boxes (page, box, x0, y0, x1, y1) meet by grid cells, not by whole pages. Both operators run in rounds of joins, in which
 what is decided does not depend on how rows are dealt; their results equal those of the loops over one page.
+
+Written tables of boxes are many times larger in memory than as Parquet, and more so in grid cells. So every join here asks for a
+merge: by the size of the files Spark would take such tables for small, and gather them in the driver for a broadcast.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.tables import written
+from quillspark.operators.tables import free_shuffles, written
 
 CELL = 200
 
@@ -40,7 +43,7 @@ def meeting(boxes: DataFrame, extra: list[str], margin: int = 0, cell: int = CEL
     dealt = cells(boxes, margin, cell).select("page", "cx", "cy", *names, low["x0"].alias("fx"), low["y0"].alias("fy"))
     a, b = (dealt.select("page", "cx", "cy", *(F.col(c).alias(f"{p}_{c}") for c in (*names, "fx", "fy"))) for p in "ab")
     first = (F.col("cx") == F.greatest("a_fx", "b_fx")) & (F.col("cy") == F.greatest("a_fy", "b_fy"))
-    return a.join(b, ["page", "cx", "cy"]).where((F.col("a_box") != F.col("b_box")) & first).drop("cx", "cy", "a_fx", "a_fy", "b_fx", "b_fy")
+    return a.join(b.hint("merge"), ["page", "cx", "cy"]).where((F.col("a_box") != F.col("b_box")) & first).drop("cx", "cy", "a_fx", "a_fy", "b_fx", "b_fy")
 
 
 def quality(score: Column, visual: Column, textual: Column, box_area: Column) -> Column:
@@ -79,20 +82,20 @@ def suppress(boxes: DataFrame, rounds: int = 1000) -> DataFrame:
             break
         # A box that is above another and below none stays: what it covers goes.
         below = open_edges.select("page", F.col("box").alias("above")).distinct()
-        sure = open_edges.join(below, ["page", "above"], "left_anti")
+        sure = open_edges.join(below.hint("merge"), ["page", "above"], "left_anti")
         gone = sure.groupBy("page", "box").agg(F.min("rank").alias("rank"))
         dropped = written(gone if dropped is None else dropped.unionByName(gone), "box-dropped")
-        lost = dropped.select("page", "box")
+        lost = dropped.select("page", "box").hint("merge")
         # Edges from what is gone cover nothing, edges to it are settled.
-        open_edges = written(open_edges.join(lost, ["page", "box"], "left_anti").join(lost.withColumnRenamed("box", "above"), ["page", "above"], "left_anti"), "box-edges")
+        open_edges = written(open_edges.join(lost, ["page", "box"], "left_anti").join(lost.withColumnRenamed("box", "above").hint("merge"), ["page", "above"], "left_anti"), "box-edges")
     else:
         raise RuntimeError("suppression did not settle")
     if dropped is None:
         return boxes.select("*", ranked_quality(boxes), F.lit(True).alias("kept"), F.lit(None).cast(boxes.schema["box"].dataType).alias("suppressed_by"))
     # Of all that stayed, the first one that covers it.
-    stayed = edges.join(dropped.select("page", F.col("box").alias("above")), ["page", "above"], "left_anti")
+    stayed = edges.join(dropped.select("page", F.col("box").alias("above")).hint("merge"), ["page", "above"], "left_anti")
     by = stayed.groupBy("page", "box").agg(F.min_by("above", "rank").alias("suppressed_by"))
-    return boxes.select("*", ranked_quality(boxes)).join(by, ["page", "box"], "left").withColumn("kept", F.col("suppressed_by").isNull())
+    return boxes.select("*", ranked_quality(boxes)).join(by.hint("merge"), ["page", "box"], "left").withColumn("kept", F.col("suppressed_by").isNull())
 
 
 def ranked_quality(boxes: DataFrame) -> Column:
@@ -120,13 +123,16 @@ def merge(boxes: DataFrame, margin: int, width: int, height: int, rounds: int =
         # Either of the two may be the one that reaches the other.
         both = met.unionByName(met.select("page", F.col("other").alias("box"), F.col("box").alias("other")))
         to = written(both.groupBy("page", "box").agg(F.min("other").alias("to")), "box-links")
+        free_shuffles(boxes.sparkSession)
         if to.isEmpty():
             return current.select("page", *coordinates, "boxes") if done is None else done.unionByName(current.select("page", *coordinates, "boxes"))
-        still = current.join(to.select("page").distinct(), "page", "left_anti").select("page", *coordinates, "boxes")
+        changed = to.select("page").distinct().hint("merge")
+        still = current.join(changed, "page", "left_anti").select("page", *coordinates, "boxes")
         done = written(still if done is None else done.unionByName(still), "boxes-done")
-        moving = current.join(to.select("page").distinct(), "page", "left_semi").join(to, ["page", "box"], "left").withColumn("group", F.least("box", F.coalesce("to", "box")))
+        moving = current.join(changed, "page", "left_semi").join(to.hint("merge"), ["page", "box"], "left").withColumn("group", F.least("box", F.coalesce("to", "box")))
         united = moving.groupBy("page", "group").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("boxes").alias("boxes")).drop("group")
         # Boxes united into one and the same box are one.
         united = united.groupBy("page", *coordinates).agg(F.sum("boxes").alias("boxes"))
         current = written(united.withColumn("box", F.struct("y0", "x0", "y1", "x1")), "boxes")
+        free_shuffles(boxes.sparkSession)
     raise RuntimeError("boxes did not settle")

@@ -328,6 +328,16 @@ def test_suppression_equals_the_loop(spark, parts):
     assert 0 < sum(v is None for v in got.values()) < len(got)
 
 
+def test_no_table_of_boxes_is_broadcast(spark, monkeypatch):
+    """Written boxes are small as files and large in memory: gathered for broadcasts, they filled the driver at 1 GB."""
+    plans, write = [], boxes.written
+    monkeypatch.setattr(boxes, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    df = spark.createDataFrame([(p, k, k * 30, 0, k * 30 + 40, 50, 0.5, 0.5, 0.5) for p in range(3) for k in range(9)], "page long, box long, x0 long, y0 long, x1 long, y1 long, score double, visual double, textual double")
+    assert boxes.merge(df, 2, 400, 400).count() == 3
+    plans.append(boxes.suppress(df)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_boxes_on_the_edges(spark):
     df = spark.createDataFrame([(None, 1, 0, 0, 9, 9, 1.0, 1.0, 1.0), (None, 2, 0, 0, 9, 9, 1.0, 1.0, 1.0), (1, 1, None, 0, 9, 9, 1.0, 1.0, 1.0)], BOXES)
     assert [r.kept for r in boxes.suppress(df).collect()] == [True] * 3
