@@ -52,6 +52,21 @@ def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
+def test_encoder_keeps_the_pieces_that_are_met_again(monkeypatch):
+    """A full cache forgot all its pieces; now those of every text are encoded once, and rare ones still go."""
+    from tokenizers import Tokenizer
+
+    e, library, asked = Encoder(tokenizer_path(), 60), Tokenizer.from_file(tokenizer_path()), collections.Counter()
+    encoded = e._encoded
+    monkeypatch.setattr(e, "_encoded", lambda pieces: asked.update(pieces) or encoded(pieces))
+    for k in range(40):
+        text = " ".join(f"common{n} rare{k}x{n}" for n in range(20))
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(e.known) <= 100
+    assert {asked[f" common{n}".encode()] for n in range(1, 20)} == {1}
+
+
 def test_encoder_equals_the_library(texts):
     from tokenizers import Tokenizer
 
