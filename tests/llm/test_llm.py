@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import decontamination, jaccard_join, line_dedup, packing, pii, quality, registry, suffix_tree, token_files, url_filter, warc
 from quillspark.llm.shared import new_folder
-from quillspark.llm.tokens import Encoder, tokenizer_path
+from quillspark.llm.tokens import Encoder, shared_encoder, tokenizer_path
 from quillspark.llm.words import words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,6 +53,27 @@ def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
+def test_counting_ngrams_holds_little_beside_a_slice(monkeypatch):
+    """A task held counters of all possible n-grams (102 MB in five languages) on top of what its worker had kept from packing."""
+    shared_encoder(tokenizer_path())
+    monkeypatch.setattr(quality, "SLICE", 4000)
+    texts = [" ".join(words(60, k)) for k in range(200)] + [None, ""]
+    langs = [("de", "en", "es", "fr", None)[k % 5] for k in range(len(texts))]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[k : k + 50], pa.string()), "lang": pa.array(langs[k : k + 50], pa.string())}) for k in range(0, len(texts), 50)]
+    want = collections.Counter()
+    for t, lang in zip(texts, langs, strict=True):
+        codes, _ = quality.ngrams(pa.array([t], pa.string()), quality.symbol_table())
+        want.update((codes + quality.slots_of(pa.array([lang], pa.string()))[0] * quality.SYMBOLS**quality.ORDER).tolist())
+    tracemalloc.start()
+    try:
+        got = list(quality.ngram_counts(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {k: n for b in got for k, n in zip(b["code"].to_pylist(), b["n"].to_pylist(), strict=True)} == want
+    assert peak < 40_000_000 and shared_encoder.cache_info().currsize == 0
+
+
 def test_encoder_keeps_the_pieces_that_are_met_again(monkeypatch):
     """A full cache forgot all its pieces; now those of every text are encoded once, and rare ones still go."""
     from tokenizers import Tokenizer
