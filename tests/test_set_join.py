@@ -7,6 +7,7 @@ from itertools import combinations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import set_join
 from quillspark.plans import all_queries
@@ -31,6 +32,8 @@ def made(n: int = 260) -> dict[int, list[int]]:
 def test_join_equals_all_pairs(spark, monkeypatch, threshold, small):
     if small:  # few pairs at once (in the driver's own process and in new tasks)
         monkeypatch.setattr(set_join, "PAIRS", 7)
+        monkeypatch.setattr(set_join, "ELEMENTS_A_RANGE", 900)
+        monkeypatch.setattr(set_join, "BROADCAST_IDS", 0)
     sets = {k: [x * 7919 - 5_000_000 for x in v] for k, v in made().items()}
     pairs, classes = set_join.similar(spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, elements array<long>"), threshold)
     first = {}
@@ -50,6 +53,16 @@ def test_unlike_sets_that_share_an_element_are_not_written(spark):
     assert set_join.candidates(df, 0.65).count() == 0
 
 
+def test_large_sets_travel_once_a_range(spark, tmp_path):
+    """A profile for each element took bytes by the square of a set's size: 14 MB for these forty sets, of 0.96 MB each way."""
+    dice = random.Random(3)
+    base = [dice.getrandbits(62) for _ in range(6000)]
+    sets = [(k, sorted(dice.sample(base, 3000))) for k in range(40)]
+    df = spark.createDataFrame(sets, "id long, elements array<long>")
+    sent = set_join.entries(df, 0.65).agg(F.sum(F.length("data"))).first()[0]
+    assert sent < 1_000_000
+
+
 def test_no_sets(spark):
     pairs, classes = set_join.similar(spark.createDataFrame([(1, []), (2, None)], "id long, elements array<long>"), 0.65)
     assert pairs.count() == 0 and classes.count() == 0
