@@ -32,8 +32,6 @@ def made(n: int = 260) -> dict[int, list[int]]:
 def test_join_equals_all_pairs(spark, monkeypatch, threshold, small):
     if small:  # few pairs at once (in the driver's own process and in new tasks)
         monkeypatch.setattr(set_join, "PAIRS", 7)
-        monkeypatch.setattr(set_join, "ELEMENTS_A_RANGE", 900)
-        monkeypatch.setattr(set_join, "BROADCAST_IDS", 0)
     sets = {k: [x * 7919 - 5_000_000 for x in v] for k, v in made().items()}
     pairs, classes = set_join.similar(spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, elements array<long>"), threshold)
     first = {}
@@ -53,6 +51,15 @@ def test_unlike_sets_that_share_an_element_are_not_written(spark):
     assert set_join.candidates(df, 0.65).count() == 0
 
 
+def test_join_in_many_ranges_without_broadcasts(spark, monkeypatch):
+    """Few elements a range, and ids of copies and pairs joined by shuffles: the same pairs and classes as in one range."""
+    df = spark.createDataFrame([(k, [x * 7919 - 5_000_000 for x in v]) for k, v in made().items()], "id long, elements array<long>")
+    want = [sorted(map(tuple, x.collect())) for x in set_join.similar(df, 0.65)]
+    monkeypatch.setattr(set_join, "ELEMENTS_A_RANGE", 900)
+    monkeypatch.setattr(set_join, "BROADCAST_IDS", 0)
+    assert [sorted(map(tuple, x.collect())) for x in set_join.similar(df, 0.65)] == want and want[0]
+
+
 def test_large_sets_travel_once_a_range(spark):
     """A profile for each element took bytes by the square of a set's size: 44 MB of profiles for these forty sets of 0.96 MB."""
     dice = random.Random(3)
