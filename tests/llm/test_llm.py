@@ -540,3 +540,15 @@ def test_all_good_rows_set_the_bands(spark):
     none = quality.bands(scored, scored.where("1 = 0").select("doc_id"), 0.01, 4.0).first()
     assert abs(wide.lowest - 1.75) < 0.03 and abs(wide.highest - 3.25) < 0.03
     assert abs(none.lowest - 0.25) < 0.05 and abs(none.highest - 4.75) < 0.05
+
+
+def test_rejected_rows_are_broadcast_by_count(spark):
+    """By the size of their files, some 46,000 rejected rows were joined by a shuffle of all texts."""
+    docs = spark.createDataFrame([(k, "word " * (k * 10), "en") for k in range(12)], "doc_id long, text string, lang string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = quality.keep_good(docs)
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert kept.count() < 12
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
