@@ -6,7 +6,11 @@ it, in sorted arrays, to the range of hashes that counts them, and gets back the
 is gathered grows with the corpus, a hot event takes one place a slice, and nothing is broadcast.
 
 The same exchange serves all that a context needs. Each event belongs to one of the slices that hold it in training; this one adds, for
-the event's context, 1 to the distinct next tokens and the event's term to the divergence from the suffix.
+the event's context, 1 to the distinct next tokens and the event's term to the divergence from the suffix. Whether a context is
+retained is decided where its terms meet, so that one bit goes back and not the divergence.
+
+Slices, and the ranges of an exchange, are taken in PASSES passes, each of which frees its shuffle before the next begins: so what is
+written and its copy in a shuffle don't lie on disk together as wholes.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from quillspark.llm.words import mixed, numbered, owners, word_hashes, words_of
 
 #: Bytes of text in a slice, and tokens for which there is a range of hashes.
 SLICE, TOKENS_A_RANGE = 6_000_000, 2_000_000
+#: Parts of slices and of ranges that are shuffled one after the other.
+PASSES = 4
 #: Divergences travel as whole numbers of 1e-4 nats, which add up alike in any order.
 UNIT = 1e4
 SENT = "range long, slice long, keys binary, a binary, b binary"
@@ -76,10 +82,10 @@ def slices(docs: DataFrame) -> DataFrame:
 class Slice:
     """The tokens of a slice, and what is known of their events and contexts after each exchange."""
 
-    def __init__(self, row: dict, depth: int, cost: float):
+    def __init__(self, row: dict, depth: int):
         self.doc_ids = pa.array(row["doc_ids"], pa.int64())
         ends, hashes, self.which = unpacked(row["ends"], np.int64), np.cumsum(unpacked(row["hashes"], np.uint64), dtype=np.uint64), unpacked(row["which"], np.int32)
-        self.doc, self.depth, self.cost = owners(ends), depth, cost
+        self.doc, self.depth = owners(ends), depth
         self.held = held_out(self.doc_ids)
         self.train = ~self.held[self.doc]
         self.place = np.arange(len(self.which)) - ends[:-1][self.doc]
@@ -155,10 +161,10 @@ class Slice:
             return
         use = self.reachable(trip) & self.kept[trip - 1]
         size = int(use.sum())
-        gain, one = np.zeros(len(use)), np.zeros(len(use))
-        gain[use], one[use] = a[:size] / UNIT, b[:size]
+        one, kept = np.zeros(len(use)), np.zeros(len(use), bool)
+        one[use], kept[use] = b[:size], (a[:size] > 0) | (b[:size] == 0)
         self.sums.append(one)
-        self.kept.append(use & (gain >= self.cost * one))
+        self.kept.append(kept)
         if trip < self.depth:
             n, more, of = np.zeros(len(use), np.int64), self.open(trip + 1), np.zeros(len(use), bool)
             n[more], of[more] = a[size:], mine[size:]
@@ -190,8 +196,11 @@ def ask(part: Slice, number: int, trip: int, ranges: int) -> pa.Table:
     return pa.table({"range": full, "slice": np.full(len(full), number), "keys": pa.array([step(k) for k in full], pa.binary()), "a": pa.array([piece(a, k) for k in full], pa.binary()), "b": pa.array([piece(b, k) for k in full], pa.binary())})
 
 
-def summed(trip: int) -> Callable[[pa.Table], pa.Table]:
-    """For a range of keys: the totals over all slices, given back to each slice; words: how many tokens of the range occur in training."""
+def summed(trip: int, cost: float) -> Callable[[pa.Table], pa.Table]:
+    """For a range of keys: the totals over all slices, given back to each slice; words: how many tokens of the range occur in training.
+
+    Of a context, which alone has distinct next tokens (b), a is 1 if it is retained, else 0.
+    """
 
     def total(sent: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in sent["keys"].to_pylist()]
@@ -201,6 +210,8 @@ def summed(trip: int) -> Callable[[pa.Table], pa.Table]:
         sums = [np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)]
         np.add.at(sums[0], back, a)
         np.add.at(sums[1], back, b)
+        context = sums[1] > 0
+        sums[0][context] = sums[0][context] / UNIT >= cost * sums[1][context]
         # The first slice that holds an event in training owns it.
         holds = np.flatnonzero(a > 0)[::-1]
         first = np.full(len(found), -1)
@@ -239,21 +250,30 @@ def scores(docs: DataFrame, depth: int = 2, cost: float = 1.0, discount: float =
         order = rows.select(["trip", "range"]).to_pandas().sort_values(["trip", "range"], kind="stable").index.to_numpy()
         rows = rows.take(pa.array(order))
         first = rows.slice(0, 1).to_pylist()[0]
-        part, trips = Slice(first, depth, cost), rows["trip"].to_numpy()
+        part, trips = Slice(first, depth), rows["trip"].to_numpy()
         for t in range(made):
             of = rows.filter(pa.array(trips == t))
             a, b, owned = (np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in of[c].to_pylist())]) for c, kind in (("a", np.int64), ("b", np.int64), ("owned", np.uint8)))
             part.learn(t, a, b, owned.astype(bool), trained)
         return first["slice"], part
 
-    def with_totals(totals: list[DataFrame]) -> DataFrame:
+    def with_totals(number: int) -> DataFrame:
+        """The slices of a pass with all their totals so far."""
         back = [t.select("slice", "trip", "range", "a", "b", "owned", F.lit(None).cast("array<bigint>").alias("doc_ids"), *empty("ends", "hashes", "which")) for t in totals]
-        return reduce(DataFrame.unionByName, back, own)
+        return reduce(DataFrame.unionByName, back, own).where(F.pmod(F.xxhash64("slice"), F.lit(PASSES)) == number)
+
+    def in_passes(part: Callable[[int], DataFrame], name: str) -> DataFrame:
+        """All parts, each written before the next is begun, and its shuffle freed."""
+        out = []
+        for number in range(PASSES):
+            out.append(written(part(number), name))
+            free_shuffles(docs.sparkSession)
+        return reduce(DataFrame.unionByName, out)
 
     def send_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from ask(Slice(row, depth, cost), row["slice"], 0, ranges).to_batches()
+                yield from ask(Slice(row, depth), row["slice"], 0, ranges).to_batches()
 
     def send(trip: int) -> Callable[[pa.Table], pa.Table]:
         def asks(rows: pa.Table) -> pa.Table:
@@ -264,20 +284,19 @@ def scores(docs: DataFrame, depth: int = 2, cost: float = 1.0, discount: float =
 
     totals: list[DataFrame] = []
     for trip in range(depth + 1):
-        sent = with_totals(totals).groupBy("slice").applyInArrow(send(trip), SENT) if trip else parts.mapInArrow(send_first, SENT)
-        if trip:  # so that the shuffle of the slices goes before that of the keys comes
-            sent = written(sent, f"asked-{trip}")
+        if trip:
+            sent = in_passes(lambda k: with_totals(k).groupBy("slice").applyInArrow(send(trip), SENT), f"asked-{trip}")  # noqa: B023
+            totals.append(in_passes(lambda k: sent.where(F.col("range") % PASSES == k).groupBy("range").applyInArrow(summed(trip, cost), TOTALS), f"totals-{trip}"))  # noqa: B023
+            discard(docs.sparkSession, f"asked-{trip}")
+        else:
+            totals.append(written(parts.mapInArrow(send_first, SENT).groupBy("range").applyInArrow(summed(trip, cost), TOTALS), f"totals-{trip}"))
             free_shuffles(docs.sparkSession)
-        totals.append(written(sent.groupBy("range").applyInArrow(summed(trip), TOTALS), f"totals-{trip}"))
-        del sent
-        discard(docs.sparkSession, f"asked-{trip}")
-        free_shuffles(docs.sparkSession)
     distinct = totals[0].agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
 
     def score(rows: pa.Table) -> pa.Table:
         return pa.table(known(rows, depth + 1)[1].scores(distinct, discount))
 
-    out = with_totals(totals).groupBy("slice").applyInArrow(score, SCORES)
+    out = in_passes(lambda k: with_totals(k).groupBy("slice").applyInArrow(score, SCORES), "scores")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trained).cast("long").alias("train_tokens"), "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("score_per_token"))
 
 

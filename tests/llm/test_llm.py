@@ -552,3 +552,23 @@ def test_rejected_rows_are_broadcast_by_count(spark):
         assert kept.count() < 12
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_retained_contexts_go_back_as_bits_in_passes(spark, monkeypatch):
+    """Divergences went back to every slice as 64-bit numbers, and all slices lay in one shuffle beside their tables."""
+    dice = random.Random(2)
+    texts = [" ".join(dice.choice("abcdefgh") for _ in range(60)) for _ in range(40)]
+    monkeypatch.setattr(suffix_tree, "SLICE", 300)
+    seen, write = collections.defaultdict(list), suffix_tree.written
+
+    def kept(df, name):
+        out = write(df, name)
+        seen[name].append(out.toArrow().to_pylist())
+        return out
+
+    monkeypatch.setattr(suffix_tree, "written", kept)
+    assert suffix_tree.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 40
+    parts = [{r["slice"] for r in x} for x in seen["asked-1"]]
+    assert len(parts) == suffix_tree.PASSES and sum(map(len, parts)) == len(set().union(*parts)) == len(seen["slices"][0])
+    a, b = (np.concatenate([suffix_tree.unpacked(r[c], np.int64) for x in seen["totals-1"] for r in x]) for c in "ab")
+    assert (b > 0).any() and set(a[b > 0].tolist()) <= {0, 1}
