@@ -51,12 +51,46 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 def packed(x: np.ndarray) -> bytes:
     """x with the equal bytes of its numbers side by side, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+    rows = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)
+    planes = np.empty(rows.shape[::-1], np.uint8)
+    for k in range(len(planes)):  # byte by byte: numpy copies a transposed array many times slower
+        planes[k] = rows[:, k]
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1).T.tobytes(), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    rows = np.empty(planes.shape[::-1], np.uint8)
+    for k in range(len(planes)):
+        rows[:, k] = planes[k]
+    return rows.reshape(-1).view(kind)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct uint64 keys, ascending, and which of them each key is.
+
+    Numbers that hold a key's highest bits and its place are sorted, as numpy sorts numbers several times faster than it finds
+    their order. Different keys that agree in these bits are rare; np.unique takes over where they come out of order.
+    """
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    least = keys.min()
+    both = (keys - least) << np.uint64(64 - max(1, int(keys.max() - least).bit_length()))
+    both &= ~low
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    both &= low
+    order = both.view(np.int64)
+    ascending = keys[order]
+    fresh = np.ones(len(keys), bool)
+    np.not_equal(ascending[1:], ascending[:-1], out=fresh[1:])
+    found = ascending[fresh]
+    if (found[1:] <= found[:-1]).any():
+        return np.unique(keys, return_inverse=True)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    return found, back
 
 
 def slices(docs: DataFrame) -> DataFrame:
@@ -66,11 +100,11 @@ def slices(docs: DataFrame) -> DataFrame:
         first = TaskContext.get().partitionId() << 32
         for k, batch in enumerate(text_slices(batches, "text", SLICE)):
             ends, words = words_of(batch["text"], lower=True)
-            which, distinct = numbered(words)
+            which, spelt = numbered(words)
             # An end after each text. Hashes ascend, so that their differences can be sent.
-            which = np.insert(which, ends[1:], len(distinct))
+            which = np.insert(which, ends[1:], len(spelt))
             ends = ends + np.arange(len(ends))
-            hashes, rank = np.unique(np.append(word_hashes(distinct), np.uint64(0)), return_inverse=True)
+            hashes, rank = distinct(np.append(word_hashes(spelt), np.uint64(0)))
             which = rank.astype(np.int32)[which]
             trained = int(np.diff(ends)[~held_out(batch["doc_id"])].sum())
             row = {"slice": [first + k], "n_tokens": [len(which)], "n_trained": [trained], "doc_ids": pa.array([batch["doc_id"].to_pylist()], pa.list_(pa.int64())), "ends": [packed(ends)], "hashes": [packed(np.diff(hashes, prepend=np.uint64(0)))], "which": [packed(which)]}
@@ -89,6 +123,7 @@ class Slice:
         self.held = held_out(self.doc_ids)
         self.train = ~self.held[self.doc]
         self.place = np.arange(len(self.which)) - ends[:-1][self.doc]
+        self.starts, self.finals = ends[:-1], ends[1:] - 1
         #: Keys of tokens are even, all others odd, so that ranges can count the tokens.
         self.word_keys = mixed(hashes + np.uint64(0x632BE59BD9B4E019)) & ~np.uint64(1)
         self.event = [self.word_keys[self.which]]
@@ -105,14 +140,22 @@ class Slice:
         """The values of the token before each; at the start of a text that of the end, as no text goes on after its end."""
         out = np.empty_like(values)
         out[1:] = values[:-1]
-        at = self.place == 0
-        out[at] = values[np.cumsum(np.bincount(self.doc))[self.doc[at]] - 1]
+        out[self.starts] = values[self.finals]
         return out
 
     def reachable(self, d: int) -> np.ndarray:
         """Tokens with a context of d places, the start of the text among them, that occurs twice in training."""
         return (self.place >= d - 1) & (self.before(self.n[d - 1]) >= 2)
 
+    def keys(self, trip: int) -> np.ndarray:
+        """Keys (with repeats) of exchange `trip`, as `asked` gives them."""
+        if trip == 0:
+            return np.concatenate([self.word_keys, self.event[1]]) if self.depth else self.word_keys
+        keys = self.before(self.event[trip - 1])[self.reachable(trip) & self.kept[trip - 1]]
+        if trip < self.depth:
+            keys = np.concatenate([keys, mixed(self.event[trip + 1][self.open(trip + 1)]) | np.uint64(1)])
+        return keys
+
     def asked(self, trip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys (with repeats), and their two addends, of exchange `trip`.
 
@@ -121,9 +164,8 @@ class Slice:
         """
         if trip == 0:
             times = np.bincount(self.which, self.train, len(self.word_keys)).astype(np.int64)
-            longer = self.event[1] if self.depth else np.zeros(0, np.uint64)
-            keys, a = np.concatenate([self.word_keys, longer]), np.concatenate([times, self.train[: len(longer)]])
-            return keys, a.astype(float), np.zeros(len(keys))
+            a = np.concatenate([times, self.train]) if self.depth else times
+            return self.keys(trip), a.astype(float), np.zeros(len(a))
         use = self.reachable(trip) & self.kept[trip - 1]
         t = use & self.owned[trip]
         n, of = self.n[trip], self.before(self.n[trip - 1])
@@ -132,11 +174,11 @@ class Slice:
         gain, one = np.zeros(len(n)), np.zeros(len(n))
         gain[t] = n[t] * np.log(n[t] / of[t] * (suffix if trip == 1 else suffix[t]) / self.n[trip - 1][t]) * UNIT
         one[t] = 1
-        keys, a, b = self.before(self.event[trip - 1])[use], gain[use], one[use]
+        a, b = gain[use], one[use]
         if trip < self.depth:
             more = self.open(trip + 1)
-            keys, a, b = np.concatenate([keys, mixed(self.event[trip + 1][more]) | np.uint64(1)]), np.concatenate([a, self.train[more]]), np.concatenate([b, np.zeros(more.sum())])
-        return keys, a, b
+            a, b = np.concatenate([a, self.train[more]]), np.concatenate([b, np.zeros(more.sum())])
+        return self.keys(trip), a, b
 
     def open(self, d: int) -> np.ndarray:
         """Tokens whose event after d places has to be asked for: one that never occurs after d - 1 places doesn't after d."""
@@ -145,7 +187,7 @@ class Slice:
     def learn(self, trip: int, a: np.ndarray, b: np.ndarray, owned: np.ndarray, total: int) -> None:
         """Takes the totals of exchange `trip`, in the order of its distinct keys."""
         self.total = total
-        keys, back = np.unique(self.asked(trip)[0], return_inverse=True)
+        keys, back = distinct(self.keys(trip))
         first = np.empty(len(keys), np.int64)
         first[back] = np.arange(len(back))
         mine = np.zeros(len(back), bool)
@@ -171,8 +213,8 @@ class Slice:
             self.n.append(n)
             self.owned.append(of)
 
-    def scores(self, distinct: int, discount: float) -> dict[str, object]:
-        base = (self.n[0] + 1) / (self.total + distinct + 1)
+    def scores(self, words: int, discount: float) -> dict[str, object]:
+        base = (self.n[0] + 1) / (self.total + words + 1)
         p = base.copy()
         for d in range(1, self.depth + 1):
             one, kept = self.sums[d - 1], self.kept[d]
@@ -186,7 +228,7 @@ class Slice:
 def ask(part: Slice, number: int, trip: int, ranges: int) -> pa.Table:
     """The distinct keys of an exchange and the sums of their addends, a row for each range of keys (SENT)."""
     keys, a, b = part.asked(trip)
-    found, back = np.unique(keys, return_inverse=True)
+    found, back = distinct(keys)
     a, b = (np.rint(np.bincount(back, x, len(found))).astype(np.int64) for x in (a, b))
     bounds = [(r << 64) // ranges for r in range(ranges)]
     cuts = np.append(np.searchsorted(found, np.array(bounds, np.uint64)), len(found))
@@ -204,7 +246,7 @@ def summed(trip: int, cost: float) -> Callable[[pa.Table], pa.Table]:
 
     def total(sent: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in sent["keys"].to_pylist()]
-        found, back = np.unique(np.concatenate(keys), return_inverse=True)
+        found, back = distinct(np.concatenate(keys))
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         a, b = (np.concatenate([unpacked(x, np.int64) for x in sent[c].to_pylist()]) for c in ("a", "b"))
         sums = [np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)]
@@ -291,10 +333,10 @@ def scores(docs: DataFrame, depth: int = 2, cost: float = 1.0, discount: float =
         else:
             totals.append(written(parts.mapInArrow(send_first, SENT).groupBy("range").applyInArrow(summed(trip, cost), TOTALS), f"totals-{trip}"))
             free_shuffles(docs.sparkSession)
-    distinct = totals[0].agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
+    words = totals[0].agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
 
     def score(rows: pa.Table) -> pa.Table:
-        return pa.table(known(rows, depth + 1)[1].scores(distinct, discount))
+        return pa.table(known(rows, depth + 1)[1].scores(words, discount))
 
     out = in_passes(lambda k: with_totals(k).groupBy("slice").applyInArrow(score, SCORES), "scores")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trained).cast("long").alias("train_tokens"), "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("score_per_token"))

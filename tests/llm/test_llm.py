@@ -572,3 +572,29 @@ def test_retained_contexts_go_back_as_bits_in_passes(spark, monkeypatch):
     assert len(parts) == suffix_tree.PASSES and sum(map(len, parts)) == len(set().union(*parts)) == len(seen["slices"][0])
     a, b = (np.concatenate([suffix_tree.unpacked(r[c], np.int64) for x in seen["totals-1"] for r in x]) for c in "ab")
     assert (b > 0).any() and set(a[b > 0].tolist()) <= {0, 1}
+
+
+def test_suffix_tree_finds_distinct_keys_by_sorting_numbers():
+    """Keys were put in order by np.unique, and bytes side by side by copies of transposed arrays: over half of the CPU seconds."""
+    dice = np.random.default_rng(3)
+    far = dice.integers(0, 2**64, 5000, np.uint64)
+    cases = [far[:0], far[:1], far, far[dice.integers(0, 5000, 20000)], far >> np.uint64(50), np.append(far, np.array([0, 2**64 - 1], np.uint64))]
+    close = np.concatenate([far[:50] + np.uint64(k) for k in range(40)])  # they agree in their highest bits
+    for keys in (*cases, close, np.append(close[dice.permutation(len(close))], far)):
+        for got, want in zip(suffix_tree.distinct(keys), np.unique(keys, return_inverse=True), strict=True):
+            assert got.tolist() == want.tolist()
+    for x in (far, far[:0], far.view(np.int64)[::3], (far % np.uint64(2)).astype(np.uint8), far.astype(np.int32)):
+        assert suffix_tree.unpacked(suffix_tree.packed(x), x.dtype).tolist() == x.tolist()
+
+
+def test_suffix_tree_learns_by_keys_alone(monkeypatch):
+    """A slice worked out all divergences anew to find the order of its keys, each time that it was read."""
+    words = np.arange(12, dtype=np.int32) % 5
+    ends = np.array([0, 12])
+    row = {"doc_ids": [3], "ends": suffix_tree.packed(ends), "hashes": suffix_tree.packed(np.ones(5, np.uint64)), "which": suffix_tree.packed(words)}
+    part = suffix_tree.Slice(row, 2)
+    sent = [suffix_tree.ask(part, 0, 0, 1)]
+    monkeypatch.setattr(suffix_tree.Slice, "asked", None)
+    total = suffix_tree.summed(0, 1.0)(sent[0]).to_pylist()[0]
+    part.learn(0, *(suffix_tree.unpacked(total[c], k) for c, k in (("a", np.int64), ("b", np.int64))), suffix_tree.unpacked(total["owned"], np.uint8).astype(bool), 12)
+    assert part.n[0].tolist() == [3, 3, 2, 2, 2, 3, 3, 2, 2, 2, 3, 3]
