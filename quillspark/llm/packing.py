@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import bound_batches, text_slices, written
+from quillspark.llm.shared import bound_batches, text_slices, tidy, written
 from quillspark.llm.tokens import shared_encoder, tokenizer_path
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -51,7 +51,7 @@ def token_pieces(docs: DataFrame, capacity: int, unit: int, end_id: int, tokeniz
             })
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return written(texts.mapInArrow(cut, f"{_PIECE}, units long, part long, place long"), "pieces")
+    return written(texts.mapInArrow(tidy(cut), f"{_PIECE}, units long, part long, place long"), "pieces")
 
 
 def _best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -598,3 +598,17 @@ def test_suffix_tree_learns_by_keys_alone(monkeypatch):
     total = suffix_tree.summed(0, 1.0)(sent[0]).to_pylist()[0]
     part.learn(0, *(suffix_tree.unpacked(total[c], k) for c, k in (("a", np.int64), ("b", np.int64))), suffix_tree.unpacked(total["owned"], np.uint8).astype(bool), 12)
     assert part.n[0].tolist() == [3, 3, 2, 2, 2, 3, 3, 2, 2, 2, 3, 3]
+
+
+def test_join_tasks_drop_the_encoder_of_an_earlier_packing(spark, monkeypatch):
+    """Workers held the pieces of an earlier packing all through near_duplicates."""
+    docs, made = spark.createDataFrame([(0, "a b c d e f")], "doc_id long, text string"), []
+    call = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: made.append(f) or call(self, f, schema))
+    sets, sent = jaccard_join.sets_of(docs), jaccard_join.shared_signatures(docs, 8)
+    assert len(made) == 2 and sets.count() == 1 and sent.columns[0] == "sig"
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1], "text": ["a b c d e f", "a b"]})
+    for f in made:
+        assert shared_encoder(tokenizer_path()) is not None
+        assert sum(r.num_rows for r in f(iter([batch])))
+        assert shared_encoder.cache_info().currsize == 0
