@@ -54,13 +54,15 @@ def prepared(concepts: DataFrame, generic: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _linked(sets: DataFrame) -> DataFrame:
+def _linked(sets: DataFrame, by_deck: bool = False) -> DataFrame:
     """Pairs (deck, a, b) that may have a reason: they share one of the rarest elements that a part's bound asks for.
 
     Of a set of n elements a similar one has `need` at least, so it has one of the n - need + 1 rarest; of two sets whose
     overlap counts by the smaller one, that holds for the smaller, whatever of the larger it meets. Elements that only one
     concept of the deck has are the rarest and meet nothing, so they leave after the first shuffle, and with them the sets
     that have too few others.
+
+    by_deck: sets lie deck by deck, and stay there: the concepts of an element are paired within its list.
     """
     kind = lambda name, bound, values: F.struct(F.lit(name).alias("kind"), F.lit(float(bound)).alias("bound"), values.alias("elements"))
     parts = F.array(kind("fact", FACT_REASON, F.col("fact_keys")), kind("term", TERM_REASON, F.col("terms")), kind("title", TITLE_SCORE / TITLE_WEIGHT, F.col("title_terms")))
@@ -72,8 +74,17 @@ def _linked(sets: DataFrame) -> DataFrame:
     own = Window.partitionBy("deck", "concept", "part")
     ranked = met.withColumn("others", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("sets", "element")))
     ranked = ranked.withColumn("head", F.col("rank") <= F.col("others") - F.col("need") + 1).where("head OR by_smaller")
+    if by_deck:
+        side = F.struct("concept", "n", "need", "head")
+        lists = ranked.groupBy("deck", "part", "element").agg(F.first("by_smaller").alias("by_smaller"), F.collect_list(side).alias("y")).where("size(y) > 1")
+        heads = lists.select("deck", "by_smaller", "y", F.explode(F.filter("y", lambda v: v["head"])).alias("x"))
+        both = heads.select("deck", "by_smaller", "x", F.explode("y").alias("y")).select("deck", "by_smaller", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "xy" for c in ("concept", "n", "need", "head")))
+        return _fitting(both.where("x_concept <> y_concept"))
     x, y = (ranked.select("deck", "part", "element", "by_smaller", *(F.col(c).alias(f"{p}_{c}") for c in ("concept", "n", "need", "head"))) for p in "xy")
-    both = x.where("x_head").join(y.drop("by_smaller"), ["deck", "part", "element"]).where("x_concept <> y_concept")
+    return _fitting(x.where("x_head").join(y.drop("by_smaller"), ["deck", "part", "element"]).where("x_concept <> y_concept"))
+
+
+def _fitting(both: DataFrame) -> DataFrame:
     fits = F.when(F.col("by_smaller"), F.col("x_n") <= F.col("y_n")).otherwise(F.col("y_head") & (F.greatest("x_need", "y_need") <= F.least("x_n", "y_n")))
     return both.where(fits).select("deck", F.least("x_concept", "y_concept").alias("a"), F.greatest("x_concept", "y_concept").alias("b")).distinct()
 
@@ -82,10 +93,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
 
 
-def scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (deck, a, b) with score and reasons, worked out from the whole sets."""
+def scored(pairs: DataFrame, sets: DataFrame, by_deck: bool = False) -> DataFrame:
+    """pairs (deck, a, b) with score and reasons, worked out from the whole sets.
+
+    by_deck: both lie deck by deck, and stay there: of a deck's concepts, few as they are, the pair's are picked out.
+    """
     side = lambda p: sets.select("deck", F.col("concept").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("fact_keys", "terms", "title_terms", "structure")))
-    both = pairs.join(side("a"), ["deck", "a"]).join(side("b"), ["deck", "b"])
+    if by_deck:
+        # Spark takes no key from a condition within coalesce, and so moves nothing by it.
+        x, y = (side(p).withColumnsRenamed({"deck": f"{p}_deck", p: f"{p}_concept"}) for p in "ab")
+        both = pairs.join(x, F.col("deck") == F.col("a_deck")).where(F.coalesce(F.col("a") == F.col("a_concept"), F.lit(False)))
+        both = both.join(y, F.col("deck") == F.col("b_deck")).where(F.coalesce(F.col("b") == F.col("b_concept"), F.lit(False)))
+    else:
+        both = pairs.join(side("a"), ["deck", "a"]).join(side("b"), ["deck", "b"])
     c = F.col
     fact = F.size(F.array_intersect("a_fact_keys", "b_fact_keys")) / F.greatest(F.lit(1), F.least(F.size("a_fact_keys"), F.size("b_fact_keys")))
     none = F.array().cast("array<long>")
@@ -120,7 +140,8 @@ def overlaps(concepts: DataFrame, generic: Sequence[str] = (), direct: int = 500
     share one of the rarest elements that the bound asks for, in any of the four parts; none is lost. Nulls are empty,
     empty sets overlap with nothing, concepts without a deck with none. No concepts: none.
 
-    Sets of decks of up to `direct` concepts move once, deck by deck; larger decks are dealt by their elements.
+    Sets of decks of up to `direct` concepts move deck by deck, once to find equal ones and once to be compared, where they stay;
+    larger decks are dealt by their elements.
     """
     hot = _hot_decks(concepts, direct)
     sets = _with_terms(prepared(concepts, generic)).select("deck", "concept", "fact_keys", "terms", "title_terms", "structure")
@@ -129,11 +150,12 @@ def overlaps(concepts: DataFrame, generic: Sequence[str] = (), direct: int = 500
     members = small.repartition("deck") if large is None else small.repartition("deck").unionByName(large)
     members = members.withColumn("representative", F.min("concept").over(Window.partitionBy("deck", key)))
     chosen = written(members.where("concept = representative").drop("representative"), "concepts")
-    if hot is None:
-        linked = _linked(chosen.repartition("deck"))
-    else:
-        linked = _linked(chosen.join(hot, "deck", "left_anti").repartition("deck")).unionByName(_linked(chosen.join(hot, "deck", "left_semi")))
-    pairs = scored(linked, chosen).where((F.col("score") >= REPORT) & (F.size("reasons") > 0))
+    few = (chosen if hot is None else chosen.join(hot, "deck", "left_anti")).where("deck IS NOT NULL").repartition("deck")
+    pairs = scored(_linked(few, by_deck=True), few, by_deck=True)
+    if hot is not None:
+        many = chosen.join(hot, "deck", "left_semi")
+        pairs = pairs.unionByName(scored(_linked(many), many))
+    pairs = pairs.where((F.col("score") >= REPORT) & (F.size("reasons") > 0))
     return pairs, members.select("deck", "concept", "representative")
 
 

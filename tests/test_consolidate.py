@@ -129,3 +129,16 @@ def test_consolidation_on_the_edges(spark):
     assert got == [(1, "1", "low_information"), (1, "1", "low_information"), (1, "None", "low_information"), (2, "5", "keep")]
     none = df.where("1 = 0")
     assert consolidate.consolidate(none).count() == 0 and all(x.count() == 0 for x in consolidate.overlaps(none))
+
+
+def test_sets_of_small_decks_stay_where_they_lie(spark):
+    """Elements were dealt anew to meet, and whole sets moved twice more to be compared once pairs were too many for a broadcast."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs, _ = consolidate.overlaps(spark.createDataFrame(some(2, 60, decks=2), SCHEMA))
+        moved = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", pairs._jdf.queryExecution().executedPlan().toString())
+        assert moved and all(re.fullmatch(r"deck#\d+L?", x) for x in moved)
+        assert pairs.count() > 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
