@@ -121,3 +121,19 @@ def test_thinned_links_reach_the_same(spark):
     thin = links.thinned(df)
     assert thin.count() <= 170 * 2 + 40
     assert sorted(map(tuple, links.components(thin).collect())) == sorted(tuple(r) for r in links.components(df.where("a <> b")).collect())
+
+
+@pytest.mark.parametrize("block, ids", [(3, 0), (512, 300_000)])
+def test_all_pairs_of_copies_are_linked(spark, tmp_path, monkeypatch, block, ids):
+    """Each copy was linked with the smallest one only, and stood for none of its pairs with other texts."""
+    monkeypatch.setattr(set_join, "BLOCK", block)
+    monkeypatch.setattr(set_join, "BROADCAST_IDS", ids)
+    base = [a + b for a in ("amber", "cedar", "delta") for b in ("wick", "ford", "mere", "stone")]
+    texts = [" ".join(base[:9]), " ".join(base[:10]), " ".join(base[2:11]), "other words stand alone"]
+    rows = [(7 * k % 60, texts[0 if k < 20 else 1 if k < 35 else 2 + k % 2 * (k < 50)] + " 12" * k) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {k: frozenset(w for w in x.split() if w.isalpha()) for k, x in rows}
+    want = {(a, b): len(rows[a] & rows[b]) / len(rows[a] | rows[b]) for a, b in combinations(sorted({7 * k % 60 for k in range(60)}), 2)}
+    want = {p: s for p, s in want.items() if s >= 0.65}
+    got = all_queries.queries()["J07_similarity_join"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.similarity for r in got} == {p: round(s, 6) for p, s in want.items()}
