@@ -137,3 +137,5 @@ def test_all_pairs_of_copies_are_linked(spark, tmp_path, monkeypatch, block, ids
     want = {p: s for p, s in want.items() if s >= 0.65}
     got = all_queries.queries()["J07_similarity_join"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r.a, r.b): r.similarity for r in got} == {p: round(s, 6) for p, s in want.items()}
+    got = all_queries.queries()["W12_time_penalty"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.score for r in got} == {(a, b): round(s - 0.2 * (b - a > 10), 6) for (a, b), s in want.items()}
