@@ -612,3 +612,92 @@ def test_join_tasks_drop_the_encoder_of_an_earlier_packing(spark, monkeypatch):
         assert shared_encoder(tokenizer_path()) is not None
         assert sum(r.num_rows for r in f(iter([batch])))
         assert shared_encoder.cache_info().currsize == 0
+
+
+def test_no_two_code_points_fall_together():
+    """Beyond ASCII, code points that differ by a multiple of ten were one symbol; so were capitals and small letters, all digits, and most marks."""
+    points = np.array([p for p in range(0x110000) if p not in (9, 10, 11, 12, 13, 32) and not 0xD800 <= p < 0xE000], np.uint32)
+    found, ends = quality.symbols(points, np.arange(len(points) + 1), quality.symbol_table())
+    assert found.min() > 0 and found.max() < quality.SYMBOLS and set(np.diff(ends)) == {1, 2}
+    first, second = found[ends[:-1]].astype(np.int64), np.where(np.diff(ends) == 2, found[ends[1:] - 1], 0)
+    assert len(np.unique(first * quality.SYMBOLS + second)) == len(points)
+    assert not set(first[np.diff(ends) == 1]) & set(first[np.diff(ends) == 2])
+
+
+def kneser_ney(taught, size):
+    """The probability of a list of symbols' last one after the others, learned from lists of symbols: by loops over dictionaries."""
+    counts = {4: collections.Counter(tuple(t[k : k + 4]) for t in taught for k in range(len(t) - 3))}
+    for order in (3, 2, 1):
+        counts[order] = collections.Counter(g[1:] for g in counts[order + 1])
+    off, after = {}, {}
+    for order, c in counts.items():
+        n = [sum(x == k for x in c.values()) for k in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if all(n[1:]) else 0
+        off[order] = [0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3)] if all(n[1:]) else [0, 0.5, 0.75, 0.75]
+        after[order] = collections.defaultdict(list)
+        for g, x in c.items():
+            after[order][g[:-1]].append(x)
+
+    def p(gram):
+        if not gram:
+            return 1 / size
+        order, there = len(gram), after[len(gram)].get(gram[:-1])
+        if not there:
+            return p(gram[1:])
+        n = counts[order].get(gram, 0)
+        return (n - off[order][min(n, 3)] + sum(off[order][min(x, 3)] for x in there) * p(gram[1:])) / sum(there)
+
+    return p
+
+
+def test_perplexity_by_loops_in_any_language(spark, monkeypatch):
+    """Languages but four shared one model, and it counted what fails the base rule with the rest."""
+    monkeypatch.setattr(quality, "FILE", 700)
+    dice = random.Random(4)
+    letters = {"ru": "абвгдежзиклмнопр", "ja": "あいうえ日本語学\U0001f600", "en": "abcdefgABC#12", None: "xyzé", "": "xyzw"}
+    word = lambda lang: "".join(dice.choice(letters[lang]) for _ in range(dice.randint(1, 5)))
+    rows = [(k, " \n".join(word(lang) for _ in range(dice.choice((8, 55, 70)))), lang) for k, lang in enumerate(list(letters) * 16)]
+    labels = spark.createDataFrame([(k, int(k % 4 < 2)) for k, _, lang in rows if lang == "ru"], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    half = {r.doc_id: r.h for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(2)).alias("h")).collect()}
+    of = lambda c: (" ",) if c.isspace() else (c,) if ord(c) < quality.SINGLE else ((ord(c) // (quality.SYMBOLS - 1),), ord(c) % (quality.SYMBOLS - 1))
+    stream = {k: [" "] * 3 + [x for c in re.sub(r"\s+", " ", t) for x in of(c)] + [" "] for k, t, _ in rows}
+    got = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
+    for lang in letters:
+        for h in (0, 1):
+            other = [k for k, _, x in rows if x == lang and half[k] != h and not got[k].base_failed]
+            other = [k for k in other if lang != "ru" or k % 4 < 2]
+            assert other
+            p = kneser_ney([stream[k] for k in other], quality.SYMBOLS)
+            for k in [k for k, _, x in rows if x == lang and half[k] == h][:3]:
+                grams = [tuple(stream[k][j : j + 4]) for j in range(len(stream[k]) - 3)]
+                assert abs(got[k].log2_perplexity + sum(math.log2(p(g)) for g in grams) / len(grams)) < 1e-4, (lang, k)
+
+
+def test_counting_with_more_languages_than_slots(monkeypatch):
+    langs = [f"x{k % 9}" if k % 9 else None for k in range(40)]
+    texts = [" ".join(words(10, k)) for k in range(40)]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[k : k + 2]), "lang": pa.array(langs[k : k + 2], pa.string())}) for k in range(0, 40, 2)]
+    totals = []
+    for slots, held in ((2000, 10**6), (6, 100)):
+        monkeypatch.setattr(quality, "SLOTS", slots)
+        monkeypatch.setattr(quality, "HELD", held)
+        sums = collections.Counter()
+        for b in quality.ngram_counts(iter(batches), lambda batch: np.array([len(x) % 3 for x in batch["text"].to_pylist()])):
+            assert max(b["code"].to_pylist()) < 2**63 - 1 and max(b["code"].to_pylist()) // quality.SYMBOLS**quality.ORDER <= slots
+            for model, code, *n in zip(*(b[c].to_pylist() for c in ("model", "code", "n", "passing", "good")), strict=True):
+                for k, x in enumerate(n):
+                    sums[model, code % quality.SYMBOLS**quality.ORDER, k] += x
+        totals.append(+sums)
+    assert totals[0] == totals[1] and len({m for m, _, _ in totals[0]}) == 9
+
+
+def test_letters_that_were_one_symbol_are_told_apart(spark):
+    """Thirty texts in letters ten places on had the same symbols as the good ones, and were kept."""
+    dice = random.Random(6)
+    good = [" ".join("".join(dice.choice("абвгде") for _ in range(4)) for _ in range(70)) for _ in range(450)]
+    moved = [" ".join("".join(chr(ord(dice.choice("абвгде")) + 10) for _ in range(4)) for _ in range(70)) for _ in range(30)]
+    docs = spark.createDataFrame([(k, t, "ru") for k, t in enumerate(good + moved)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in range(440)], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.quality(docs, labels).where("kept").collect()}
+    assert not kept & set(range(450, 480)) and len(kept) >= 435
